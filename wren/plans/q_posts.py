@@ -99,7 +99,7 @@ _CORR = ",\n  ".join(
 @register("feature_importance", "D8", V(f"""
 SELECT feature, round(CASE WHEN mx > 0 THEN corr / mx ELSE corr END, 6) + 0.0 AS importance
 FROM (SELECT feature, corr, max(corr) OVER () AS mx FROM (
-  UNPIVOT INCLUDE NULLS (SELECT {_CORR} FROM fposts) ON {", ".join(_FEATS)} INTO NAME feature VALUE corr))""", "fposts"))
+  (SELECT {_CORR} FROM fposts) UNPIVOT INCLUDE NULLS (corr FOR feature IN ({", ".join(_FEATS)}))))""", "fposts"))
 def q_feature_importance(spark, sf):
     return A.feature_importance(featured(spark, sf))
 
