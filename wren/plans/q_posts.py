@@ -267,3 +267,137 @@ SELECT count(*) AS samples, count_if(engagement_eda > (SELECT quantile_cont(enga
   AS high_engagement, round(avg(engagement_eda), 6) AS mean_engagement FROM sposts""", "sposts"))
 def q_training_summary(spark, sf):
     return A.training_summary(scored(spark, sf))
+
+
+# --------------------------------------------------------------------------
+# Filters, projections, top-k (B*, F*)
+# --------------------------------------------------------------------------
+from ..operators import selection as S  # noqa: E402
+
+_NEEDS_WORK_SQL = """(processed IS NULL OR processed = '' OR text_length IS NULL OR sentiment IS NULL
+  OR topics IS NULL OR topics IN ('', '[]', 'null'))"""
+_NOT_DONE_SQL = "(processed IS NULL OR processed NOT IN ('completed', 'skipped', 'error'))"
+
+
+@register("post_by_id", "B1", V("SELECT * FROM posts WHERE uniqueid = 't7'", "posts"))
+def q_post_by_id(spark, sf):
+    return S.post_by_id(FX.posts(spark, sf), "t7")
+
+
+@register("unprocessed_posts", "B2", V("""
+SELECT uniqueid, processed, text_length, sentiment FROM posts
+WHERE text_length IS NULL OR sentiment IS NULL OR processed IS NULL OR processed = ''
+ORDER BY uniqueid LIMIT 100""", "posts"))
+def q_unprocessed_posts(spark, sf):
+    return S.unprocessed_posts(FX.posts(spark, sf)).select("uniqueid", "processed", "text_length", "sentiment")
+
+
+@register("posts_to_process", "B3", V(f"""
+SELECT uniqueid, processed, topics FROM posts WHERE {_NEEDS_WORK_SQL} AND {_NOT_DONE_SQL}
+ORDER BY uniqueid LIMIT 50""", "posts"))
+def q_posts_to_process(spark, sf):
+    return S.posts_to_process(FX.posts(spark, sf)).select("uniqueid", "processed", "topics")
+
+
+@register("processed_posts", "B4", V("""
+SELECT uniqueid, text_length, sentiment, topics FROM posts
+WHERE text_length IS NOT NULL AND sentiment IS NOT NULL AND topics IS NOT NULL ORDER BY uniqueid LIMIT 100""", "posts"))
+def q_processed_posts(spark, sf):
+    return S.processed_posts(FX.posts(spark, sf)).select("uniqueid", "text_length", "sentiment", "topics")
+
+
+SIMILAR_QUERY = "Is and retitioning ouen the of, nterti thorreou ndernt. Is ndble"
+
+
+@register("similar_posts", "B5", V(f"""
+SELECT uniqueid, author_username FROM posts
+WHERE text_length IS NOT NULL AND sentiment IS NOT NULL AND topics IS NOT NULL
+  AND contains(lower(text), lower('{SIMILAR_QUERY[:50]}'))
+ORDER BY uniqueid LIMIT 5""", "posts"))
+def q_similar_posts(spark, sf):
+    return S.similar_posts(FX.posts(spark, sf), SIMILAR_QUERY).select("uniqueid", "author_username")
+
+
+@register("short_reply", "B6", V(r"""
+SELECT uniqueid, length(text) AS text_length,
+  len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS word_count,
+  0.0::DOUBLE AS sentiment, 'short reply' AS topics, 'skipped' AS processed
+FROM posts
+WHERE starts_with(text, '@') AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 3""",
+                                   "posts"))
+def q_short_reply(spark, sf):
+    return S.short_reply_updates(FX.posts(spark, sf))
+
+
+@register("feature_projection", "B7 S1 S2 S3 S23", V("""
+SELECT uniqueid, text_length, sentiment, hashtag_count, mention_count, url_count, emoji_count, word_count,
+  round(avg_word_length, 6) AS avg_word_length, round(flesch_reading_ease, 6) + 0.0 AS flesch_reading_ease,
+  engagement_score FROM fposts""", "fposts"))
+def q_feature_projection(spark, sf):
+    out = S.feature_projection(featured(spark, sf))
+    return out.withColumns({"avg_word_length": A.rnd(F.col("avg_word_length")),
+                            "flesch_reading_ease": A.rnd(F.col("flesch_reading_ease"))})
+
+
+@register("top_posts_recent", "B8", V(f"""
+SELECT uniqueid, text, author_username, engagement_score, created_at, topics FROM sposts
+WHERE created_at >= {ASOF_SQL} - INTERVAL 7 DAY
+ORDER BY engagement_score DESC NULLS LAST, uniqueid LIMIT 10""", "sposts"))
+def q_top_posts_recent(spark, sf):
+    return S.top_posts_recent(scored(spark, sf), FX.as_of_lit())
+
+
+@register("training_rows", "B9", V("""
+SELECT uniqueid, text, engagement_score, topics, created_at FROM sposts WHERE engagement_score IS NOT NULL
+ORDER BY created_at DESC NULLS LAST, uniqueid LIMIT 1000""", "sposts"))
+def q_training_rows(spark, sf):
+    return S.training_rows(scored(spark, sf))
+
+
+@register("recent_count", "B13", V(f"""
+SELECT count_if(created_at >= {ASOF_SQL} - INTERVAL 7 DAY) AS recent_tweets FROM posts""", "posts"))
+def q_recent_count(spark, sf):
+    return S.recent_count(FX.posts(spark, sf), FX.as_of_lit())
+
+
+@register("verify_update", "B14 C5", V(f"""
+SELECT count(*) AS checked,
+  count_if((processed = 'completed' AND text_length IS NOT NULL AND sentiment IS NOT NULL AND topics IS NOT NULL
+            AND topics <> '') OR processed = 'skipped') AS verified
+FROM posts WHERE uniqueid IN (SELECT concat('t', cast(seq AS varchar)) FROM history WHERE actual_engagement IS NOT NULL)""",
+                                       "posts", "history"))
+def q_verify_update(spark, sf):
+    p = FX.posts(spark, sf)
+    ids = FX.history(spark, sf, p).filter(F.col("actual_engagement").isNotNull()) \
+        .select(F.concat(F.lit("t"), F.col("seq").cast("string")).alias("uniqueid"))
+    return S.verify_update(p, ids)
+
+
+@register("error_posts", "B15", V("SELECT uniqueid FROM posts WHERE processed = 'error'", "posts"))
+def q_error_posts(spark, sf):
+    return S.error_posts(FX.posts(spark, sf))
+
+
+@register("backlog_count", "B16", V(f"SELECT count_if({_NEEDS_WORK_SQL}) AS backlog FROM posts", "posts"))
+def q_backlog_count(spark, sf):
+    return S.backlog_count(FX.posts(spark, sf))
+
+
+@register("recent_posts", "F1", V("""
+SELECT uniqueid, author_username, created_at FROM posts ORDER BY created_at DESC NULLS LAST, uniqueid LIMIT 100""",
+                                 "posts"))
+def q_recent_posts(spark, sf):
+    return S.recent_posts(FX.posts(spark, sf), 100)
+
+
+@register("top_topic_vocabulary", "F5 C2", V("""
+SELECT topic, count(*) AS n FROM (SELECT trim(t, ' ') AS topic FROM posts, unnest(string_split(coalesce(topics, ''), ',')) AS u(t))
+WHERE topic <> '' GROUP BY topic ORDER BY n DESC, topic LIMIT 100""", "posts"))
+def q_top_topic_vocabulary(spark, sf):
+    return S.top_topic_vocabulary(FX.posts(spark, sf))
+
+
+@register("episode_sample", "F6")
+def q_episode_sample(spark, sf):
+    p = scored(spark, sf).select("uniqueid", "text", "engagement_score")
+    return S.episode_sample(p, "uniqueid", episodes=10, n=32)
