@@ -122,7 +122,7 @@ def _order(names: tuple[str, ...]) -> list[str]:
     return seen
 
 
-def with_views(sql: str, *names: str, extra: tuple[str, ...] = ()) -> str:
+def with_views(sql: str, *names: str, extra: tuple[str, ...] = (), recursive: bool = False) -> str:
     """Prefix ``sql`` with the CTEs for ``names`` plus extra CTE strings."""
     ctes = [VIEW_SQL[n] for n in _order(names)] + list(extra)
-    return "WITH " + ",\n".join(ctes) + "\n" + sql
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + sql
