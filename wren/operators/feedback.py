@@ -45,11 +45,18 @@ def _grams(s: Column, q: int) -> Column:
                             .otherwise(F.array().cast("array<string>")))
 
 
+# Needles without an inner token are rare (a prefix made of one or two long
+# words).  Up to this many are matched with a broadcast containment join,
+# which reads the documents once; more of them use 3-gram blocking.
+MAX_BROADCAST_NEEDLES = 10_000
+
+
 def containment_matches(needles: DataFrame, docs: DataFrame, qid: str = "qid", needle: str = "needle",
                         doc_key: str = "uniqueid", text: str = "text") -> DataFrame:
     """All (qid, doc_key) with ``lower(text)`` containing ``needle`` (already lower-cased)."""
-    q = needles.select(F.col(qid).alias("_qid"), F.col(needle).alias("_needle")) \
-        .filter(F.col("_needle").isNotNull() & (F.length("_needle") > 0))
+    q = (needles.select(F.col(qid).alias("_qid"), F.col(needle).alias("_needle"))
+         .filter(F.col("_needle").isNotNull() & (F.length("_needle") > 0))
+         .persist())
     d = docs.select(F.col(doc_key).alias("_doc"), F.lower(F.col(text)).alias("_text"))
 
     # --- token blocking --------------------------------------------------
@@ -59,31 +66,39 @@ def containment_matches(needles: DataFrame, docs: DataFrame, qid: str = "qid", n
                       .alias("_tok"))
              .join(wanted, "_tok", "left_semi"))
     dfreq = d_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
+    # one row per needle: small, kept for the count below and the final plan
     rarest = (q_tok.join(dfreq, "_tok", "left")
               .groupBy("_qid")
-              .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok")))
+              .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok"))
+              .persist())
     cand = rarest.join(d_tok, "_tok").select("_qid", "_doc")
+    verified = (cand.join(q, "_qid").join(d, "_doc")
+                .filter(F.col("_text").contains(F.col("_needle")))
+                .select("_qid", "_doc"))
 
-    # --- fallback for needles without an inner token -----------------------
+    # --- needles without an inner token ------------------------------------
     no_tok = q.join(rarest.select("_qid"), "_qid", "left_anti")
-    if no_tok.limit(1).count() > 0:
+    n_no_tok = no_tok.count()
+    if 0 < n_no_tok <= MAX_BROADCAST_NEEDLES:
+        # size checked above: at most MAX_BROADCAST_NEEDLES short strings
+        extra = (d.join(F.broadcast(no_tok), F.col("_text").contains(F.col("_needle")))
+                 .select("_qid", "_doc"))
+        verified = verified.unionByName(extra)
+    elif n_no_tok > MAX_BROADCAST_NEEDLES:
         for qlen, cond in ((3, F.length("_needle") >= 3), (2, F.length("_needle") == 2),
                            (1, F.length("_needle") == 1)):
             sub = no_tok.filter(cond)
-            if sub.limit(1).count() == 0:
-                continue
             g = sub.select("_qid", F.explode(_grams(F.col("_needle"), qlen)).alias("_g"))
             d_g = (d.select("_doc", F.explode(_grams(F.col("_text"), qlen)).alias("_g"))
                    .join(g.select("_g").distinct(), "_g", "left_semi"))
             gfreq = d_g.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
             rare_g = (g.join(gfreq, "_g", "left").groupBy("_qid")
                       .agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g")))
-            cand = cand.unionByName(rare_g.join(d_g, "_g").select("_qid", "_doc"))
-
-    verified = (cand.join(q, "_qid").join(d, "_doc")
-                .filter(F.col("_text").contains(F.col("_needle")))
-                .select(F.col("_qid").alias(qid), F.col("_doc").alias(doc_key)))
-    return verified
+            c2 = rare_g.join(d_g, "_g").select("_qid", "_doc")
+            verified = verified.unionByName(
+                c2.join(sub, "_qid").join(d, "_doc").filter(F.col("_text").contains(F.col("_needle")))
+                .select("_qid", "_doc"))
+    return verified.select(F.col("_qid").alias(qid), F.col("_doc").alias(doc_key))
 
 
 def needle_of(text: Column, n: int = NEEDLE_CHARS) -> Column:
@@ -269,7 +284,8 @@ def _compose(f: Column, g: Column) -> Column:
                     _clamp(f.getField("hi") * ag, g.getField("lo"), g.getField("hi")).alias("hi"))
 
 
-IDENTITY = F.struct(F.lit(1.0).alias("a"), F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
+def _identity() -> Column:
+    return F.struct(F.lit(1.0).alias("a"), F.lit(-INF).alias("lo"), F.lit(INF).alias("hi"))
 
 
 def epsilon_fold(obs: DataFrame, key: str, seq: str, ratio: str, eps0: float = 0.1, fanout: int = 1024) -> DataFrame:
@@ -287,7 +303,7 @@ def epsilon_fold(obs: DataFrame, key: str, seq: str, ratio: str, eps0: float = 0
         level = (level.groupBy("_k", F.floor(F.col("_pos") / fanout).alias("_b"))
                  .agg(F.sort_array(F.collect_list(F.struct("_pos", "_m"))).alias("_xs"))
                  .select("_k", F.col("_b").alias("_pos"),
-                         F.aggregate("_xs", IDENTITY, lambda acc, x: _compose(acc, x.getField("_m"))).alias("_m")))
+                         F.aggregate("_xs", _identity(), lambda acc, x: _compose(acc, x.getField("_m"))).alias("_m")))
         width = (width + fanout - 1) // fanout
     m = F.col("_m")
     eps = _clamp(m.getField("a") * F.lit(eps0), m.getField("lo"), m.getField("hi"))
