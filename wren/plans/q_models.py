@@ -1 +1,203 @@
-"""Named queries (filled in below)."""
+"""Model jobs as named queries.
+
+These have no exact SQL oracle (trees, k-means and boosting are not
+bit-comparable across libraries); the checks are rows-only plus the property
+tests in ``tests/test_models.py``.  Label-only metrics on given labels (D38-D40)
+do have SQL oracles.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import CountVectorizer
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import lexicon as LX
+from ..operators import ml as ML
+from ..operators import optimize as OPT
+from ..operators.aggregates import cluster_stats, cluster_top_tags, rnd
+from ..operators.enrich import with_tags
+from ..operators.feedback import episode_overall, episode_summary
+from ..operators.landing import upsert, write_results
+from ..session import scratch_path
+from ..sources import fixtures as FX
+from .catalog import register
+from .views_sql import with_views as V
+
+
+def model_posts(spark: SparkSession, sf: str) -> DataFrame:
+    from .q_posts import scored
+    return scored(spark, sf).withColumn("processed_text", LX.preprocess_text("text"))
+
+
+class EngagementModel:
+    """Text features + lexicon sentiment + topic indicators -> scaled GBT (M6, M8)."""
+
+    def __init__(self, spark: SparkSession, max_iter: int = 100):
+        self.spark = spark
+        self.max_iter = max_iter
+        self.lexicon = LX.lexicon_table(spark)
+        self.topic_words = LX.topic_words_table(spark)
+
+    def _features(self, df: DataFrame, key: str) -> DataFrame:
+        sent = LX.sentiment(df, self.lexicon, key, "text")
+        feats = ML.numeric_features(df.select(key, "text", *[c for c in df.columns if c not in (key, "text")]))
+        feats = feats.drop("sentiment", "subjectivity").join(sent, key, "left")
+        topics = LX.extract_topics(df.select(key, "text"), self.topic_words, key, "text")
+        return feats.join(topics, key, "left")
+
+    def fit(self, train: DataFrame, key: str = "uniqueid", label: str = "engagement_score") -> "EngagementModel":
+        f = self._features(train.select(key, "text", label), key)
+        self.cv = CountVectorizer(inputCol="topics_list", outputCol="topic_vec", binary=True, vocabSize=100).fit(f)
+        self.model = ML.train_regressor(self.cv.transform(f), label, "topic_vec", max_iter=self.max_iter)
+        return self
+
+    def score(self, df: DataFrame, key: str = "uniqueid") -> DataFrame:
+        f = self.cv.transform(self._features(df, key))
+        return ML.predict(self.model, f)
+
+
+def _trained(spark, sf, max_iter=100):
+    p = model_posts(spark, sf)
+    train = p.filter(ML.split_flag(F.col("uniqueid")))
+    return p, EngagementModel(spark, max_iter).fit(train)
+
+
+@register("tfidf_features", "M1 S11")
+def q_tfidf_features(spark, sf):
+    out, _ = ML.tfidf(model_posts(spark, sf))
+    from pyspark.ml.functions import vector_to_array
+    arr = vector_to_array("tfidf")
+    return out.select("uniqueid", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
+                      rnd(F.sqrt(F.aggregate(arr, F.lit(0.0), lambda a, x: a + x * x))).alias("l2_norm"))
+
+
+@register("cluster_posts", "M2 M1")
+def q_cluster_posts(spark, sf):
+    feats, _ = ML.tfidf(model_posts(spark, sf))
+    clustered, _ = ML.cluster_posts(feats, 5)
+    return clustered.select("uniqueid", "cluster")
+
+
+@register("train_test_split", "M3")
+def q_train_test_split(spark, sf):
+    return FX.posts(spark, sf).select("uniqueid", ML.split_flag(F.col("uniqueid")).alias("is_train"))
+
+
+@register("median_label", "D38", V("""
+SELECT uniqueid, cast(engagement_eda > (SELECT quantile_cont(engagement_eda, 0.5) FROM sposts) AS INTEGER) AS label
+FROM sposts""", "sposts"))
+def q_median_label(spark, sf):
+    from .q_posts import scored
+    return ML.median_label(scored(spark, sf), "engagement_eda").select("uniqueid", "label")
+
+
+_GIVEN = "SELECT doc_id % 2 AS actual, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS predicted FROM posts"
+
+
+def _given_labels(spark, sf):
+    p = FX.posts(spark, sf)
+    return p.select((F.col("doc_id") % 2).cast("int").alias("label"),
+                    F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("prediction"))
+
+
+@register("confusion_matrix", "D39", V(f"""
+SELECT actual, predicted, count(*) AS n FROM ({_GIVEN}) GROUP BY 1, 2""", "posts"))
+def q_confusion_matrix(spark, sf):
+    return ML.confusion_matrix(_given_labels(spark, sf))
+
+
+@register("classification_report", "D40", V(f"""
+WITH cm AS (SELECT actual, predicted, count(*) AS n FROM ({_GIVEN}) GROUP BY 1, 2),
+cls AS (SELECT actual AS c FROM cm UNION SELECT predicted FROM cm),
+per AS (SELECT c, coalesce((SELECT sum(n) FROM cm WHERE actual = c), 0) AS support,
+          coalesce((SELECT sum(n) FROM cm WHERE predicted = c), 0) AS pn,
+          coalesce((SELECT sum(n) FROM cm WHERE actual = c AND predicted = c), 0) AS tp FROM cls),
+m AS (SELECT c, CASE WHEN pn = 0 THEN 0.0 ELSE tp / pn END AS p, CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS r,
+        support, tp FROM per),
+f AS (SELECT *, CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1 FROM m),
+t AS (SELECT sum(support) AS total, sum(tp) AS correct FROM f)
+SELECT cast(c AS VARCHAR) AS label, round(p, 6) AS precision, round(r, 6) AS recall, round(f1, 6) AS f1,
+  cast(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', round(correct / total, 6), round(correct / total, 6), round(correct / total, 6),
+  cast(total AS BIGINT) FROM t
+UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1), 6), cast(any_value(total) AS BIGINT)
+  FROM f, t
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / any_value(total), 6), round(sum(r * support) / any_value(total), 6),
+  round(sum(f1 * support) / any_value(total), 6), cast(any_value(total) AS BIGINT) FROM f, t""", "posts")
+          .replace("WITH _n AS", "WITH _n AS", 1).replace("\nWITH cm AS", ",\ncm AS", 1))
+def q_classification_report(spark, sf):
+    return ML.classification_report(ML.confusion_matrix(_given_labels(spark, sf)))
+
+
+def _classifier(spark, sf):
+    p = ML.median_label(model_posts(spark, sf), "engagement_eda")
+    feats, pipe = ML.tfidf(p)
+    train = feats.filter(ML.split_flag(F.col("uniqueid")))
+    test = feats.filter(~ML.split_flag(F.col("uniqueid")))
+    model = ML.train_classifier(train, "tfidf", "label")
+    return model, pipe, model.transform(test)
+
+
+@register("engagement_classifier", "M4 M3 D39 D40")
+def q_engagement_classifier(spark, sf):
+    _, _, pred = _classifier(spark, sf)
+    return ML.classification_report(ML.confusion_matrix(pred, "label", "prediction"))
+
+
+@register("classifier_importance", "M5")
+def q_classifier_importance(spark, sf):
+    model, pipe, _ = _classifier(spark, sf)
+    vocab = [s for s in pipe.stages if hasattr(s, "vocabulary")][0].vocabulary
+    return ML.classifier_importance(model, vocab, spark)
+
+
+@register("engagement_regressor", "M6 M8 M13 C9 S20")
+def q_engagement_regressor(spark, sf):
+    p, em = _trained(spark, sf)
+    path = scratch_path(spark, "models/engagement_gbt")
+    ML.save_model(em.model, path)
+    em.model = ML.load_model(path)
+    test = p.filter(~ML.split_flag(F.col("uniqueid"))).select("uniqueid", "text", "engagement_score")
+    return em.score(test).select("uniqueid", "engagement_score", rnd(F.col("predicted_engagement"))
+                                 .alias("predicted_engagement"))
+
+
+@register("optimize_posts", "M9 M10 M8 S19 S25")
+def q_optimize_posts(spark, sf):
+    p, em = _trained(spark, sf, max_iter=20)
+
+    def scorer(df):
+        keyed = df.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in df.columns if c != "text"]))
+        s = em.score(keyed.select("_k", "text"), key="_k").select("_k", F.col("predicted_engagement").alias("score"))
+        return keyed.join(s, "_k").drop("_k")
+
+    hist = OPT.optimize_posts(p.select("uniqueid", "text"), scorer, n_iterations=3, n_variations=5, epsilon=0.1)
+    return OPT.optimization_records(hist).select("uniqueid", rnd(F.col("improvement")).alias("improvement"),
+                                                 F.md5("optimized_text").alias("optimized_md5"))
+
+
+@register("simulate_training", "M12 F6 D37")
+def q_simulate_training(spark, sf):
+    p, em = _trained(spark, sf, max_iter=20)
+
+    def scorer(df):
+        keyed = df.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in df.columns if c != "text"]))
+        s = em.score(keyed.select("_k", "text"), key="_k").select("_k", F.col("predicted_engagement").alias("score"))
+        return keyed.join(s, "_k").drop("_k")
+
+    rows = OPT.simulate_training(p, scorer, episodes=5, batch_size=20)
+    return episode_summary(rows)
+
+
+@register("cluster_pipeline", "M15 A12 A13 D23 D24 S6 S11 S12")
+def q_cluster_pipeline(spark, sf):
+    p = with_tags(model_posts(spark, sf))
+    feats, _ = ML.tfidf(p)
+    clustered, _ = ML.cluster_posts(feats, 5)
+    labels = clustered.select("uniqueid", "processed_text", F.col("engagement_eda").alias("engagement_score"),
+                              "cluster").checkpoint(eager=True)
+    snap, _ = upsert(FX.posts(spark, sf), labels, ["processed_text", "engagement_score", "cluster"])
+    write_results(cluster_top_tags(clustered), scratch_path(spark, "results/cluster_top_tags"), "json")
+    write_results(snap.select("uniqueid", "cluster"), scratch_path(spark, "results/post_clusters"), "parquet")
+    return cluster_stats(labels.withColumnRenamed("engagement_score", "engagement_eda"), "cluster", "engagement_eda")
