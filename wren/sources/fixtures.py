@@ -67,6 +67,28 @@ def post_text(doc_id: Column, text: Column, source: Column, lang: Column) -> Col
     )
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _memo(name: str):
+    """Reuse the (immutable, lazy) plan of a view per session and folder:
+    building it costs driver round trips, not data work."""
+    def deco(fn):
+        def wrapper(spark: SparkSession, sf_dir: str, *args):
+            if args and args[0] is not None:
+                return fn(spark, sf_dir, *args)
+            key = (name, id(spark), spark.sparkContext.applicationId, sf_dir)
+            df = _PLANS.get(key)
+            if df is None:
+                df = _PLANS[key] = fn(spark, sf_dir)
+            return df
+        wrapper.__name__ = fn.__name__
+        wrapper.__doc__ = fn.__doc__
+        return wrapper
+    return deco
+
+
+@_memo("posts")
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
@@ -116,6 +138,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo("history")
 def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Optimization history: one entry per post, 4 iterations per run."""
     p = posts(spark, sf_dir) if p is None else p
@@ -138,6 +161,7 @@ def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> Dat
     )
 
 
+@_memo("prompts")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prompt log: one prompt version per benchmark item."""
     b = Tables(spark, sf_dir).benchmark.select("item_id", "text")
@@ -162,6 +186,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo("requests")
 def requests(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Request log: one scoring request per event, text taken from a post."""
     t = Tables(spark, sf_dir)
@@ -192,6 +217,7 @@ def requests(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> Da
     )
 
 
+@_memo("landing")
 def landing(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Raw landed scraper items: one JSON document per row in column ``raw``."""
     p = posts(spark, sf_dir) if p is None else p
