@@ -23,6 +23,10 @@ URL = r"https?://\S+"
 #   symbols, U+2600-U+27BF miscellaneous symbols and dingbats.
 EMOJI = r"[\x{1F1E6}-\x{1F1FF}\x{1F300}-\x{1F6FF}\x{1F900}-\x{1F9FF}\x{1FA70}-\x{1FAFF}\x{2600}-\x{27BF}]"
 VOWEL_GROUP = r"[aeiouy]+"
+NON_WORD = r"[^\p{L}\p{N}_]+"
+# a whole word token (not preceded or followed by a word character) that
+# contains none of the vowels a, e, i, o, u, y
+VOWELLESS_WORD = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_&&[^aeiouy]]+(?![\p{L}\p{N}_])"
 SENTENCE_END = r"[.!?]+"
 # Suffixes of the reference's fallback rewrites.
 ROCKET = "\U0001F680"
@@ -75,10 +79,25 @@ def url_count(text: str | Column) -> Column:
 
 
 def avg_word_length(text: str | Column) -> Column:
-    """Mean length of the word tokens; null when there are none."""
-    w = words(text)
-    total = F.aggregate(w, F.lit(0).cast("long"), lambda acc, x: acc + F.length(x))
-    return F.when(F.size(w) > 0, total / F.size(w))
+    """Mean length of the word tokens; null when there are none.
+
+    Removing every non-word character leaves exactly the concatenated tokens,
+    so the total token length is one ``regexp_replace`` (codegen, no lambda).
+    """
+    low = F.lower(_c(text))
+    n = count_matches(low, WORD)
+    total = F.length(F.regexp_replace(low, NON_WORD, ""))
+    return F.when(n > 0, total / n)
+
+
+def syllables(text: str | Column) -> Column:
+    """Vowel groups per word token, at least one per token, summed.
+
+    A vowel group is a run of letters, so it never crosses a token boundary:
+    the sum over tokens is the number of vowel groups in the whole text plus
+    the number of tokens without a vowel."""
+    low = F.lower(_c(text))
+    return count_matches(low, VOWEL_GROUP) + count_matches(low, VOWELLESS_WORD)
 
 
 def flesch_reading_ease(text: str | Column) -> Column:
@@ -87,16 +106,11 @@ def flesch_reading_ease(text: str | Column) -> Column:
     syllables: vowel groups per word, at least one; sentences: runs of
     ``.!?``, at least one; 0 when the text has no words.
     """
-    w = words(text)
-    n_words = F.size(w)
-    syllables = F.aggregate(
-        w, F.lit(0).cast("long"),
-        lambda acc, x: acc + F.greatest(F.lit(1), F.regexp_count(x, F.lit(VOWEL_GROUP))),
-    )
+    n_words = word_count(text)
     sentences = F.greatest(F.lit(1), count_matches(text, SENTENCE_END))
     score = (F.lit(206.835) - F.lit(1.015) * (n_words / sentences)
-             - F.lit(84.6) * (syllables / n_words))
-    return F.when(F.coalesce(n_words, F.lit(0)) > 0, score).otherwise(F.lit(0.0))
+             - F.lit(84.6) * (syllables(text) / n_words))
+    return F.when(n_words > 0, score).otherwise(F.lit(0.0))
 
 
 def is_short_reply(text: str | Column) -> Column:

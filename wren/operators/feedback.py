@@ -155,6 +155,10 @@ def _arr_quantile(a: Column, p: float) -> Column:
     return v_lo + (v_hi - v_lo) * (pos - lo)
 
 
+def _char_count(v: Column, ch: str) -> Column:
+    return F.length(v) - F.length(F.replace(v, F.lit(ch), F.lit("")))
+
+
 def variation_metrics(entries: DataFrame, scores: str = "scores", variations: str = "variations",
                       initial: str = "initial_score") -> DataFrame:
     """Per entry statistics of its candidates, computed inside the row with
@@ -176,10 +180,10 @@ def variation_metrics(entries: DataFrame, scores: str = "scores", variations: st
         rnd(F.when(init != 0, (best / init - 1) * 100)).alias("improvement_rate"),
         rnd(F.when(mean != 0, 1 - std_pop / mean)).alias("consistency"),
         rnd(mean_of(F.length)).alias("avg_length"),
-        rnd(mean_of(lambda v: F.length(v) - F.length(F.regexp_replace(v, "#", "")))).alias("hashtag_ratio"),
+        rnd(mean_of(lambda v: _char_count(v, "#"))).alias("hashtag_ratio"),
         rnd(mean_of(lambda v: T.count_matches(v, T.EMOJI))).alias("emoji_ratio"),
-        rnd(mean_of(lambda v: F.length(v) - F.length(F.regexp_replace(v, r"\?", "")))).alias("question_ratio"),
-        rnd(mean_of(lambda v: F.length(v) - F.length(F.regexp_replace(v, "!", "")))).alias("exclamation_ratio"),
+        rnd(mean_of(lambda v: _char_count(v, "?"))).alias("question_ratio"),
+        rnd(mean_of(lambda v: _char_count(v, "!"))).alias("exclamation_ratio"),
     )
 
 

@@ -102,7 +102,7 @@ def insert_new(target: DataFrame, batch: DataFrame, key: str = "uniqueid") -> tu
     """Rows of ``batch`` to append, and the insert report.
 
     Null keys are rejected; within the batch the first row per key (by the
-    remaining columns' JSON, deterministic) wins; keys already in the target
+    smallest value of the remaining columns, deterministic) wins; keys already in the target
     are rejected (left anti join).  Returns ``(rows_to_append, report)``.
     """
     tagged = batch.withColumn("_null_key", F.col(key).isNull())
@@ -110,8 +110,7 @@ def insert_new(target: DataFrame, batch: DataFrame, key: str = "uniqueid") -> tu
     cols = [c for c in keyed.columns]
     first = (keyed.groupBy(key)
              .agg(F.count(F.lit(1)).alias("_n"),
-                  F.min_by(F.struct(*[F.col(c) for c in cols if c != key]),
-                           F.to_json(F.struct(*[F.col(c) for c in cols if c != key]))).alias("_row")))
+                  F.min(F.struct(*[F.col(c) for c in cols if c != key])).alias("_row")))
     fresh = first.join(target.select(key), key, "left_anti")
     rows = fresh.select(key, "_row.*").select(*cols)
     report = tagged.agg(

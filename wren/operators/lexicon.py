@@ -78,10 +78,16 @@ def extract_topics(posts: DataFrame, topic_words: DataFrame, key: str = "uniquei
                     .otherwise(F.coalesce("topics_list", F.array().cast("array<string>"))).alias("topics_list")))
 
 
-def preprocess_text(text: str = "text"):
-    """lower -> word tokens -> drop English stop words -> join with spaces."""
-    stop = F.array(*[F.lit(w) for w in ENGLISH_STOP_WORDS])
-    return F.array_join(F.filter(T.words(text), lambda w: ~F.array_contains(stop, w)), " ")
+def with_processed_text(df: DataFrame, text: str = "text", out: str = "processed_text") -> DataFrame:
+    """lower -> word tokens -> drop English stop words -> join with spaces.
+
+    The stop-word test is Spark ML's ``StopWordsRemover`` (a hash-set lookup
+    in the JVM), not a per-token scan of the list."""
+    from pyspark.ml.feature import StopWordsRemover
+    toks = df.withColumn("_tok", T.words(text))
+    rm = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=list(ENGLISH_STOP_WORDS),
+                          caseSensitive=True)
+    return rm.transform(toks).withColumn(out, F.array_join("_kept", " ")).drop("_tok", "_kept")
 
 
 def topic_one_hot(df: DataFrame, topics_col: str = "topics_list", vocab_size: int = 100):

@@ -43,26 +43,30 @@ def exact_percentiles(df: DataFrame, column: str, probs: list[float],
             starts.append(acc)
             acc += r["n"]
 
-        cache: dict[int, float] = {}
-
-        def value_at(rank: int) -> float:
-            if rank in cache:
-                return cache[rank]
+        def locate(rank: int) -> tuple[int, int]:
             i = max(k for k in range(len(parts)) if starts[k] <= rank)
-            local = rank - starts[i]
-            w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            row = (ranged.filter(F.col("pid") == parts[i]["pid"])
-                   .select("v", (F.sum("c").over(w) - F.col("c")).alias("before"), "c")
-                   .filter((F.col("before") <= local) & (F.col("before") + F.col("c") > local))
-                   .select("v").first())
-            cache[rank] = row["v"]
-            return row["v"]
+            return parts[i]["pid"], rank - starts[i]
 
+        positions = [p * (total - 1) for p in probs]
+        ranks = sorted({r for pos in positions for r in (math.floor(pos), math.ceil(pos))})
+        wanted = {r: locate(r) for r in ranks}
+        # one job: order only the partitions that hold a wanted rank (each
+        # holds ~1/partitions of the distinct values) and keep the rows whose
+        # rank interval covers one
+        w = Window.partitionBy("pid").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cond = F.lit(False)
+        for pid, local in wanted.values():
+            cond = cond | ((F.col("pid") == pid) & (F.col("before") <= local) & (F.col("before") + F.col("c") > local))
+        hits = (ranged.filter(F.col("pid").isin(sorted({pid for pid, _ in wanted.values()})))
+                .select("pid", "v", "c", (F.sum("c").over(w) - F.col("c")).alias("before"))
+                .filter(cond).collect())
+        value = {}
+        for r, (pid, local) in wanted.items():
+            value[r] = next(h["v"] for h in hits if h["pid"] == pid and h["before"] <= local < h["before"] + h["c"])
         out = []
-        for p in probs:
-            pos = p * (total - 1)
+        for pos in positions:
             lo_r, hi_r = math.floor(pos), math.ceil(pos)
-            lo, hi = value_at(lo_r), value_at(hi_r)
+            lo, hi = value[lo_r], value[hi_r]
             out.append(lo + (hi - lo) * (pos - lo_r))
         return out
     finally:

@@ -27,7 +27,7 @@ from .views_sql import with_views as V
 
 def model_posts(spark: SparkSession, sf: str) -> DataFrame:
     from .q_posts import scored
-    return scored(spark, sf).withColumn("processed_text", LX.preprocess_text("text"))
+    return LX.with_processed_text(scored(spark, sf))
 
 
 class EngagementModel:

@@ -53,7 +53,7 @@ _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_ST
 SELECT uniqueid, array_to_string(list_filter(regexp_extract_all(lower(text), {W_SQL}),
   lambda w: NOT list_contains({_STOP_SQL}, w)), ' ') AS processed_text FROM posts""", "posts"))
 def q_preprocess_text(spark, sf):
-    return FX.posts(spark, sf).select("uniqueid", LX.preprocess_text("text").alias("processed_text"))
+    return LX.with_processed_text(FX.posts(spark, sf).select("uniqueid", "text")).select("uniqueid", "processed_text")
 
 
 @register("parse_list", "S12", V("""
