@@ -87,3 +87,12 @@ def test_processing_options():
     o = L.ProcessingOptions.from_json('{"batch_size": 10, "max_tweets": 50, "min_word_count": 3, "foo": 1}')
     assert (o.batch_size, o.max_tweets, o.min_word_count, o.extra) == (10, 50, 3, {"foo": 1})
     assert L.ProcessingOptions.from_json(None).batch_size == 50
+
+
+def test_history_json_array_file(spark, tmp_path):
+    """The reference stores its history as one JSON array per file."""
+    f = tmp_path / "optimization_history.json"
+    f.write_text(json.dumps([{"seq": 1, "tweet": "a", "predicted_engagement": 1.5, "variations": ["a", "b"]},
+                             {"seq": 2, "tweet": "b", "predicted_engagement": 2.0, "actual_engagement": 3.0}]))
+    df = L.load_history(spark, str(f), multi_line=True)
+    assert [r["seq"] for r in df.orderBy("seq").collect()] == [1, 2]

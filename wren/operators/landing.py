@@ -166,8 +166,14 @@ def write_snapshot(df: DataFrame, base: str, version: int, fmt: str = "parquet")
 
 
 # A13 / A14 / A15
+JSON_TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"  # keep microseconds
+
+
 def write_results(df: DataFrame, path: str, fmt: str = "json") -> str:
-    df.write.mode("overwrite").format(fmt).save(path)
+    w = df.write.mode("overwrite").format(fmt)
+    if fmt == "json":
+        w = w.option("timestampFormat", JSON_TIMESTAMP_FORMAT)
+    w.save(path)
     return path
 
 
@@ -178,11 +184,15 @@ METRICS_SCHEMA = ("mean_absolute_error double, mean_relative_error double, explo
                   "exploitation_error double, sample_size long")
 
 
-def load_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def load_json_table(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
     """Read JSON with a fixed schema; an absent path gives an empty table and
-    corrupt records become null rows instead of failing the job."""
+    corrupt records become null rows instead of failing the job.
+
+    ``multi_line=True`` reads files that hold one JSON document each (a
+    top-level array of entries, as the reference writes its history); the
+    default reads JSON Lines, as Spark writes them."""
     try:
-        return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", "true")
+        return (spark.read.schema(schema).option("mode", "PERMISSIVE").option("multiLine", str(multi_line).lower())
                 .json(path))
     except Exception as e:  # noqa: BLE001 - missing path
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e):
@@ -190,12 +200,12 @@ def load_json_table(spark: SparkSession, path: str, schema: str) -> DataFrame:
         raise
 
 
-def load_history(spark: SparkSession, path: str) -> DataFrame:
-    return load_json_table(spark, path, HISTORY_SCHEMA)
+def load_history(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return load_json_table(spark, path, HISTORY_SCHEMA, multi_line)
 
 
-def load_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return load_json_table(spark, path, METRICS_SCHEMA)
+def load_metrics(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return load_json_table(spark, path, METRICS_SCHEMA, multi_line)
 
 
 # A16

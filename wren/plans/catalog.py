@@ -34,5 +34,5 @@ def register(name: str, ids: str, sql: str | None = None):
 def load_all() -> dict[str, Query]:
     # Importing the plan modules fills the registry.
     from . import (q_posts, q_landing, q_history, q_requests, q_text,  # noqa: F401
-                   q_models, q_streaming)
+                   q_models, q_streaming, q_hooks)
     return QUERIES

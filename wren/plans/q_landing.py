@@ -152,3 +152,68 @@ def q_update_clusters(spark, sf):
                       (F.col("doc_id") % 5).alias("cluster")))
     snap, _ = L.upsert(p, labels, ["engagement_score", "cluster"])
     return snap.select("uniqueid", "engagement_score", "cluster")
+
+
+# --------------------------------------------------------------------------
+# Result files and job options
+# --------------------------------------------------------------------------
+from ..operators.aggregates import sample_types  # noqa: E402
+from ..operators.feedback import prediction_performance  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+import uuid  # noqa: E402
+
+_HIST_COLS = "seq, run_id, iteration, tweet, predicted_engagement, is_exploration, actual_engagement, " \
+             "feedback_collected_at, variations"
+
+
+@register("load_history", "A13 A14", V(f"SELECT {_HIST_COLS}, NULL::INTEGER AS selected_idx FROM history", "history"))
+def q_load_history(spark, sf):
+    """Write the history as JSON (A13) and read it back with the fixed schema."""
+    path = scratch_path(spark, f"results/history-{uuid.uuid4().hex[:12]}")
+    L.write_results(FX.history(spark, sf), path, "json")
+    return L.load_history(spark, path)
+
+
+@register("load_metrics", "A13 A15 D28", V("""
+SELECT round(avg(abs(predicted_engagement - actual_engagement)), 6) AS mean_absolute_error,
+  round(avg(abs((predicted_engagement - actual_engagement)
+        / CASE WHEN actual_engagement = 0 THEN 0.001 ELSE actual_engagement END)), 6) AS mean_relative_error,
+  round(avg(abs(predicted_engagement - actual_engagement)) FILTER (WHERE is_exploration), 6) AS exploration_error,
+  round(avg(abs(predicted_engagement - actual_engagement)) FILTER (WHERE NOT is_exploration), 6) AS exploitation_error,
+  count(*) AS sample_size
+FROM history WHERE actual_engagement IS NOT NULL""", "history"))
+def q_load_metrics(spark, sf):
+    path = scratch_path(spark, f"results/metrics-{uuid.uuid4().hex[:12]}")
+    L.write_results(prediction_performance(FX.history(spark, sf)), path, "json")
+    return L.load_metrics(spark, path)
+
+
+# The processing options file shipped with the reference.
+SHIPPED_OPTIONS = ('{"batch_size": 10, "process_topics": true, "max_retries": 3, "delay_between": 1, '
+                   '"max_tweets": 50, "skip_short_replies": true, "min_word_count": 3, "process_engagement": true}')
+
+
+@register("processing_options", "A16 B3 B6", V(r"""
+SELECT uniqueid, processed FROM posts
+WHERE (processed IS NULL OR processed = '' OR text_length IS NULL OR sentiment IS NULL
+       OR topics IS NULL OR topics IN ('', '[]', 'null'))
+  AND (processed IS NULL OR processed NOT IN ('completed', 'skipped', 'error'))
+  AND NOT coalesce(starts_with(text, '@')
+      AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 3, false)
+  AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 3
+ORDER BY uniqueid LIMIT 10""", "posts"))
+def q_processing_options(spark, sf):
+    """One batch of the feature job under the shipped options: short replies
+    skipped, fewer than ``min_word_count`` words skipped, ``batch_size`` rows."""
+    from ..functions import text as T
+    o = L.ProcessingOptions.from_json(SHIPPED_OPTIONS)
+    todo = S.posts_to_process(FX.posts(spark, sf), None)
+    if o.skip_short_replies:
+        todo = todo.filter(~T.is_short_reply("text"))
+    todo = todo.filter(F.size(T.whitespace_words("text")) >= o.min_word_count)
+    return todo.orderBy("uniqueid").limit(min(o.batch_size, o.max_tweets)).select("uniqueid", "processed")
+
+
+@register("sample_types", "D45")
+def q_sample_types(spark, sf):
+    return sample_types(FX.posts(spark, sf))
