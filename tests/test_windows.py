@@ -41,3 +41,12 @@ def test_running_sum_property(spark, rows):
     exp = sorted(df.withColumn("running", F.sum("v").over(w)).collect())
     got = sorted(running_sum(df, "key", ["t", "id"], "v", partitions=3).select("id", "key", "t", "v", "running").collect())
     assert got == exp
+
+
+def test_previous_value_equals_lag(spark):
+    from wren.operators.windows import previous_value
+    df = _skewed(spark)
+    exp = df.withColumn("prev", F.lag("t").over(Window.partitionBy("key").orderBy("t", "id")))
+    for parts in (1, 4, 11):
+        got = previous_value(df.repartition(3), "key", ["t", "id"], "t", "prev", partitions=parts)
+        assert sorted(got.select(*exp.columns).collect()) == sorted(exp.collect())

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import rnd
-from .windows import running_sum
+from .windows import previous_value, running_sum
 
 # Request bounds and defaults, limits, histogram buckets.
 TEXT_MIN, TEXT_MAX = 1, 280
@@ -147,10 +147,9 @@ def admission(req: DataFrame, limit: int = REQUESTS_PER_MINUTE, window_s: int =
     """
     window_us = window_s * 1_000_000
     base = req.select("request_id", "client_id", F.unix_micros("started_at").alias("t_us"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("client_id").orderBy("t_us", "request_id")
-    gap = (F.col("t_us") - F.lag("t_us").over(w) >= window_us).cast("int")
-    seg = base.withColumn("_gap", F.coalesce(gap, F.lit(1)))
+    prev = previous_value(base, "client_id", ["t_us", "request_id"], "t_us", "_prev_t")
+    gap = (F.col("t_us") - F.col("_prev_t") >= window_us).cast("int")
+    seg = prev.withColumn("_gap", F.coalesce(gap, F.lit(1))).drop("_prev_t")
     seg = running_sum(seg, "client_id", ["t_us", "request_id"], "_gap", "_segment")
     n = partitions or int(req.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clustered = (seg.repartition(n, "client_id", "_segment")

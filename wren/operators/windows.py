@@ -54,6 +54,25 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str
             .drop("_rng", "_local", "_off"))
 
 
+def previous_value(df: DataFrame, key: str, order: list[str], value: str, name: str = "prev",
+                   partitions: int | None = None) -> DataFrame:
+    """``lag(value) over (partition by key order by order)`` without a hot task.
+
+    Ranges of (key, order) get their local ``lag``; the first row of a key in
+    a range takes the last value of the same key in the closest earlier range
+    (a table with one row per range and key)."""
+    ranged = _ranges(df, [key, *order], partitions)
+    local = Window.partitionBy("_rng", key).orderBy(*order)
+    ends = ranged.groupBy("_rng", key).agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    w_prev = Window.partitionBy(key).orderBy("_rng")
+    carry = ends.select("_rng", key, F.lag("_last").over(w_prev).alias("_carry"))
+    return (ranged.withColumn("_lag", F.lag(value).over(local))
+            .withColumn("_first", F.row_number().over(local) == 1)
+            .join(carry, ["_rng", key])
+            .withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_lag")))
+            .drop("_rng", "_lag", "_first", "_carry"))
+
+
 def top_n_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """``row_number() <= n`` per group; Spark plans a partial group limit before
     the shuffle, so a hot group sends at most n rows per task."""
