@@ -142,16 +142,16 @@ def prediction_performance(history: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- D29/D30 --
-def _arr_mean(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x) / F.size(a)
+def _arr_sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _arr_quantile(a: Column, p: float) -> Column:
-    s = F.array_sort(a)
-    pos = F.lit(p) * (F.size(s) - 1)
+def _quantile_sorted(s: Column, n: Column, p: float) -> Column:
+    """Linear-interpolated quantile of a sorted array of size n (numpy 'linear')."""
+    pos = F.lit(p) * (n - 1)
     lo = F.floor(pos).cast("int")
     v_lo = F.element_at(s, lo + 1)
-    v_hi = F.element_at(s, F.least(lo + 2, F.size(s)))
+    v_hi = F.element_at(s, F.least(lo + 2, n))
     return v_lo + (v_hi - v_lo) * (pos - lo)
 
 
@@ -162,28 +162,40 @@ def _char_count(v: Column, ch: str) -> Column:
 def variation_metrics(entries: DataFrame, scores: str = "scores", variations: str = "variations",
                       initial: str = "initial_score") -> DataFrame:
     """Per entry statistics of its candidates, computed inside the row with
-    array functions (a candidate list is small and belongs to one row)."""
-    sc, vs = F.col(scores), F.col(variations)
-    mean = _arr_mean(sc)
-    std_pop = F.sqrt(F.aggregate(sc, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean)) / F.size(sc))
-    best = F.array_max(sc)
-    init = F.col(initial)
+    array functions (a candidate list is small and belongs to one row).
 
-    def mean_of(fn) -> Column:
-        return _arr_mean(F.transform(vs, lambda v: fn(v).cast("double")))
-
-    return entries.select(
+    Intermediate arrays and moments are separate projections, so every text
+    is scanned once per statistic instead of once per use of a shared term."""
+    base = entries.select(
         "*",
+        F.array_sort(F.col(scores)).alias("_s"),
+        F.transform(F.col(variations), lambda v: F.struct(
+            F.length(v).alias("len"), _char_count(v, "#").alias("hash"),
+            T.count_matches(v, T.EMOJI).alias("emoji"), _char_count(v, "?").alias("q"),
+            _char_count(v, "!").alias("x"))).alias("_v"))
+    moments = base.select("*", F.size("_s").alias("_n"), (_arr_sum(F.col("_s")) / F.size("_s")).alias("_mean"))
+    st = moments.select(
+        "*", F.sqrt(F.aggregate("_s", F.lit(0.0), lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean")))
+                    / F.col("_n")).alias("_std"))
+    s, n, mean, init = F.col("_s"), F.col("_n"), F.col("_mean"), F.col(initial)
+    best, worst = F.element_at(s, -1), F.element_at(s, 1)
+
+    def mean_of(field: str) -> Column:
+        return F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x.getField(field).cast("double")) / F.size("_v")
+
+    return st.select(
+        *[c for c in entries.columns],
         rnd(mean).alias("avg_engagement"), rnd(best).alias("max_engagement"),
-        rnd(F.array_min(sc)).alias("min_engagement"), rnd(best - F.array_min(sc)).alias("engagement_range"),
-        rnd(_arr_quantile(sc, 0.9)).alias("top_percentile"), rnd(_arr_quantile(sc, 0.1)).alias("bottom_percentile"),
+        rnd(worst).alias("min_engagement"), rnd(best - worst).alias("engagement_range"),
+        rnd(_quantile_sorted(s, n, 0.9)).alias("top_percentile"),
+        rnd(_quantile_sorted(s, n, 0.1)).alias("bottom_percentile"),
         rnd(F.when(init != 0, (best / init - 1) * 100)).alias("improvement_rate"),
-        rnd(F.when(mean != 0, 1 - std_pop / mean)).alias("consistency"),
-        rnd(mean_of(F.length)).alias("avg_length"),
-        rnd(mean_of(lambda v: _char_count(v, "#"))).alias("hashtag_ratio"),
-        rnd(mean_of(lambda v: T.count_matches(v, T.EMOJI))).alias("emoji_ratio"),
-        rnd(mean_of(lambda v: _char_count(v, "?"))).alias("question_ratio"),
-        rnd(mean_of(lambda v: _char_count(v, "!"))).alias("exclamation_ratio"),
+        rnd(F.when(mean != 0, 1 - F.col("_std") / mean)).alias("consistency"),
+        rnd(mean_of("len")).alias("avg_length"),
+        rnd(mean_of("hash")).alias("hashtag_ratio"),
+        rnd(mean_of("emoji")).alias("emoji_ratio"),
+        rnd(mean_of("q")).alias("question_ratio"),
+        rnd(mean_of("x")).alias("exclamation_ratio"),
     )
 
 
