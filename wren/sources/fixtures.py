@@ -91,7 +91,13 @@ def _memo(name: str):
 @_memo("posts")
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
-    docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars")
+    # Hash-partition the documents on the join key: at scale this is the
+    # shuffle the sort-merge join with the (large) engagement aggregate needs
+    # anyway (both sides then share hashpartitioning(doc_id, n), so no second
+    # exchange).  The explicit count also keeps AQE from coalescing a small but
+    # CPU-heavy text table (well-compressed shuffle bytes) into one task.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars").repartition(n_parts, "doc_id")
     eng = engagement_by_post(t.events, _doc_key_modulus(t.documents.select("doc_id")))
     labels = t.labels.select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
     # c_custkey is the customer key, so the slice below has at most 39 rows:
