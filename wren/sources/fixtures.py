@@ -149,10 +149,13 @@ def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> Dat
     """Optimization history: one entry per post, 4 iterations per run."""
     p = posts(spark, sf_dir) if p is None else p
     d = F.col("doc_id")
+    def w(x: float) -> Column:  # exact decimal weights: the sum does not depend on float rounding
+        return F.lit(str(x)).cast("decimal(2,1)")
+
     actual = (
-        F.col("like_count") * F.lit(1.0) + F.col("retweet_count") * F.lit(2.0)
-        + F.col("reply_count") * F.lit(1.5) + F.col("quote_count") * F.lit(1.8)
-        + F.col("bookmark_count") * F.lit(1.2)
+        F.col("like_count") * w(1.0) + F.col("retweet_count") * w(2.0)
+        + F.col("reply_count") * w(1.5) + F.col("quote_count") * w(1.8)
+        + F.col("bookmark_count") * w(1.2)
     )
     return p.select(
         d.alias("seq"),
