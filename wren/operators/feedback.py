@@ -64,7 +64,8 @@ def containment_matches(needles: DataFrame, docs: DataFrame, qid: str = "qid", n
     wanted = q_tok.select("_tok").distinct()
     d_tok = (d.select("_doc", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(T.WORD), 0)))
                       .alias("_tok"))
-             .join(wanted, "_tok", "left_semi"))
+             .join(wanted, "_tok", "left_semi")
+             .persist())  # read twice: document frequencies, then candidates
     dfreq = d_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
     # one row per needle: small, kept for the count below and the final plan
     rarest = (q_tok.join(dfreq, "_tok", "left")
