@@ -22,6 +22,15 @@ def featured(spark: SparkSession, sf: str) -> DataFrame:
     return with_text_features(scored(spark, sf))
 
 
+@register("scan_posts", "A1", V("""
+SELECT uniqueid, text, author_username, created_at, like_count, retweet_count, reply_count, topics FROM posts""",
+                                "posts"))
+def q_scan_posts(spark, sf):
+    """The analysis jobs' full load, projected to the columns they use."""
+    return FX.posts(spark, sf).select("uniqueid", "text", "author_username", "created_at", "like_count",
+                                      "retweet_count", "reply_count", "topics")
+
+
 @register("total_and_avg", "D1", V("""
 SELECT count(*) AS total_tweets, coalesce(round(avg(engagement_score), 6), 0.0) AS avg_engagement FROM sposts""", "sposts"))
 def q_total_and_avg(spark, sf):
