@@ -21,14 +21,19 @@ def _ranges(df: DataFrame, order: list[str], partitions: int | None) -> DataFram
 
 def dense_sequence(df: DataFrame, order: list[str], name: str = "seq_no",
                    partitions: int | None = None) -> DataFrame:
-    """Global ``row_number()`` (1-based) over ``order``; ``order`` must be a total order."""
-    ranged = _ranges(df, order, partitions)
+    """Global ``row_number()`` (1-based) over ``order``; ``order`` must be a total order.
+
+    One range shuffle: each range is sorted in place and numbered by its
+    position (``monotonically_increasing_id`` minus the partition's base,
+    deterministic for a sorted partition), plus the size of the earlier ranges
+    taken from a table of one row per range (broadcast: bounded by the range
+    count)."""
+    ranged = _ranges(df, order, partitions).sortWithinPartitions(*order)
+    ranged = ranged.withColumn(
+        "_local", F.monotonically_increasing_id() - F.col("_rng").cast("long") * F.lit(1 << 33) + 1)
     sizes = ranged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
-    # per-range offsets: a running sum over at most `partitions` rows
     offs = sizes.select("_rng", (F.sum("_n").over(Window.orderBy("_rng")) - F.col("_n")).alias("_off"))
-    local = Window.partitionBy("_rng").orderBy(*order)
-    return (ranged.withColumn("_local", F.row_number().over(local))
-            .join(F.broadcast(offs), "_rng")
+    return (ranged.join(F.broadcast(offs), "_rng")
             .withColumn(name, F.col("_local") + F.col("_off"))
             .drop("_rng", "_local", "_off"))
 
