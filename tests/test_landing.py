@@ -96,3 +96,11 @@ def test_history_json_array_file(spark, tmp_path):
                              {"seq": 2, "tweet": "b", "predicted_engagement": 2.0, "actual_engagement": 3.0}]))
     df = L.load_history(spark, str(f), multi_line=True)
     assert [r["seq"] for r in df.orderBy("seq").collect()] == [1, 2]
+
+
+def test_insert_empty_batch(spark):
+    target = spark.createDataFrame([("k1", "old")], "uniqueid string, text string")
+    batch = spark.createDataFrame([], "uniqueid string, text string")
+    rows, report = L.insert_new(target, batch)
+    assert rows.count() == 0
+    assert tuple(report.first()) == (0, 0, 0, 0, 0)

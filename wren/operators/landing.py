@@ -101,26 +101,25 @@ def cap_per_author(posts: DataFrame, as_of: Column, within_days: int, lang: str
 def insert_new(target: DataFrame, batch: DataFrame, key: str = "uniqueid") -> tuple[DataFrame, DataFrame]:
     """Rows of ``batch`` to append, and the insert report.
 
-    Null keys are rejected; within the batch the first row per key (by the
-    smallest value of the remaining columns, deterministic) wins; keys already in the target
-    are rejected (left anti join).  Returns ``(rows_to_append, report)``.
+    Null keys are rejected; within the batch the first row per key (smallest
+    value of the remaining columns, deterministic) wins; keys already in the
+    target are rejected.  One aggregation of the batch by key (a null key is
+    one group) feeds both outputs.  Returns ``(rows_to_append, report)``.
     """
-    tagged = batch.withColumn("_null_key", F.col(key).isNull())
-    keyed = tagged.filter(~F.col("_null_key")).drop("_null_key")
-    cols = [c for c in keyed.columns]
-    first = (keyed.groupBy(key)
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  F.min(F.struct(*[F.col(c) for c in cols if c != key])).alias("_row")))
-    fresh = first.join(target.select(key), key, "left_anti")
-    rows = fresh.select(key, "_row.*").select(*cols)
-    report = tagged.agg(
-        F.count(F.lit(1)).alias("offered"),
-        F.count_if(F.col("_null_key")).alias("rejected_null_key"),
-    ).crossJoin(first.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("rejected_duplicate"))) \
-     .crossJoin(fresh.agg(F.count(F.lit(1)).alias("inserted")))
-    report = report.withColumn(
-        "rejected_existing",
-        F.col("offered") - F.col("rejected_null_key") - F.col("rejected_duplicate") - F.col("inserted"))
+    cols = [c for c in batch.columns if c != key]
+    per_key = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
+                                     F.min(F.struct(*[F.col(c) for c in cols])).alias("_row"))
+    existing = target.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_exists", F.lit(True))
+    marked = per_key.join(existing, key, "left")
+    k, n, ex = F.col(key), F.col("_n"), F.coalesce(F.col("_exists"), F.lit(False))
+    rows = marked.filter(k.isNotNull() & ~ex).select(key, "_row.*").select(key, *cols)
+    report = marked.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("offered"),
+        F.coalesce(F.sum(F.when(k.isNull(), n)), F.lit(0)).alias("rejected_null_key"),
+        F.coalesce(F.sum(F.when(k.isNotNull(), n - 1)), F.lit(0)).alias("rejected_duplicate"),
+        F.count_if(k.isNotNull() & ~ex).alias("inserted"),
+        F.count_if(k.isNotNull() & ex).alias("rejected_existing"),
+    )
     return rows, report
 
 
