@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import engagement as E
 from ..operators import feedback as FB
 from ..operators import selection as S
-from ..operators.aggregates import hashtags, rnd
+from ..operators.aggregates import hashtags
 from ..operators.windows import dense_sequence
 from ..sources import fixtures as FX
 from .catalog import register
@@ -210,6 +210,17 @@ def q_episode_summary(spark, sf):
     return FB.episode_summary(rows)
 
 
+@register("episode_overall", "D37", V("""
+SELECT round(avg(avg_improvement), 6) + 0.0 AS mean_improvement, max(avg_improvement) AS best_improvement,
+  round(avg(episode_reward), 6) + 0.0 AS mean_reward
+FROM (SELECT round(avg(imp), 6) + 0.0 AS avg_improvement, round(sum(imp), 6) + 0.0 AS episode_reward
+      FROM (SELECT run_id, (actual_engagement - predicted_engagement) / predicted_engagement * 100 AS imp
+            FROM history WHERE actual_engagement IS NOT NULL)
+      GROUP BY run_id % 10)""", "history"))
+def q_episode_overall(spark, sf):
+    return FB.episode_overall(q_episode_summary(spark, sf))
+
+
 @register("prompt_versions", "W1", V("""
 SELECT version, timestamp, row_number() OVER (ORDER BY timestamp, version) AS prompt_no FROM prompts""", "prompts"))
 def q_prompt_versions(spark, sf):

@@ -17,7 +17,7 @@ from ..operators import ml as ML
 from ..operators import optimize as OPT
 from ..operators.aggregates import cluster_stats, cluster_top_tags, rnd
 from ..operators.enrich import with_tags
-from ..operators.feedback import episode_overall, episode_summary
+from ..operators.feedback import episode_summary
 from ..operators.landing import upsert, write_results
 from ..session import scratch_path
 from ..sources import fixtures as FX
@@ -125,7 +125,7 @@ UNION ALL SELECT 'macro avg', round(avg(p), 6), round(avg(r), 6), round(avg(f1),
   FROM f, t
 UNION ALL SELECT 'weighted avg', round(sum(p * support) / any_value(total), 6), round(sum(r * support) / any_value(total), 6),
   round(sum(f1 * support) / any_value(total), 6), cast(any_value(total) AS BIGINT) FROM f, t""", "posts")
-          .replace("WITH _n AS", "WITH _n AS", 1).replace("\nWITH cm AS", ",\ncm AS", 1))
+          .replace("\nWITH cm AS", ",\ncm AS", 1))
 def q_classification_report(spark, sf):
     return ML.classification_report(ML.confusion_matrix(_given_labels(spark, sf)))
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import engagement as E
 from ..operators import requests as RQ
-from ..operators.aggregates import rnd
 from ..operators.feedback import history_progress
 from ..sources import fixtures as FX
 from .catalog import register
