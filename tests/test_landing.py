@@ -104,3 +104,17 @@ def test_insert_empty_batch(spark):
     rows, report = L.insert_new(target, batch)
     assert rows.count() == 0
     assert tuple(report.first()) == (0, 0, 0, 0, 0)
+
+
+def test_batch_of_150_then_lookup_and_recent_order(spark, sample_posts):
+    """The reference's storage tests: a 150-row batch insert, lookup by id,
+    newest-first order."""
+    from wren.operators import selection as S
+    rows = [(f"batch{i}", f"Batch tweet {i}", f"user{i % 7}") for i in range(150)]
+    batch = spark.createDataFrame(rows, "uniqueid string, text string, author_username string")
+    target = sample_posts.select("uniqueid", "text", "author_username")
+    fresh, report = L.insert_new(target, batch)
+    assert report.first()["inserted"] == 150 and fresh.count() == 150
+    table = target.unionByName(fresh)
+    assert S.post_by_id(table, "batch42").first()["text"] == "Batch tweet 42"
+    assert S.post_by_id(table, "missing").count() == 0

@@ -74,3 +74,21 @@ def test_reuse_scored_scores_misses_once(spark):
 def test_purge_scored_pattern(spark):
     df = spark.createDataFrame([("predict:a",), ("optimize:a:1:5",), ("predict_x",)], "key string")
     assert sorted(r[0] for r in RQ.purge_scored(df, "predict:*").collect()) == ["optimize:a:1:5", "predict_x"]
+
+
+def test_admission_hot_client_splits_into_segments(spark):
+    """One client with most of the traffic but idle gaps: its history is cut
+    into independent segments, so it does not run as one sequential task."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, 7, t0 + timedelta(minutes=10 * (i // 50), seconds=i % 50)) for i in range(500)]
+    rows += [(1000 + i, i % 5, t0 + timedelta(seconds=3 * i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "request_id long, client_id long, started_at timestamp")
+    got = {r["request_id"]: r["accepted"] for r in RQ.admission(df, 30, 60).collect()}
+    assert got == loop_admission([(r, c, t.timestamp()) for r, c, t in rows], 30, 60)
+    from wren.operators.windows import previous_value, running_sum
+    from pyspark.sql import functions as F
+    base = df.select("request_id", "client_id", F.unix_micros("started_at").alias("t_us"))
+    prev = previous_value(base, "client_id", ["t_us", "request_id"], "t_us", "p")
+    seg = running_sum(prev.withColumn("g", F.coalesce((F.col("t_us") - F.col("p") >= 60_000_000).cast("int"), F.lit(1))),
+                      "client_id", ["t_us", "request_id"], "g", "segment")
+    assert seg.filter("client_id = 7").select("segment").distinct().count() == 10

@@ -5,7 +5,7 @@ optimization history (``history``), a prompt log (``prompts``), a request log
 (``requests``) and raw landed JSON (``landing``).  The test data has none of
 these, so they are derived from ``documents``, ``events``, ``labels``,
 ``customer`` and ``benchmark`` with fixed rules (documented in FIXTURES.md and
-mirrored as SQL in ``wren.plans.oracle``).  Whole document texts are used:
+mirrored as SQL in ``wren.plans.views_sql``).  Whole document texts are used:
 nothing is truncated.
 
 Plan shape at scale: ``events`` is pre-aggregated per post key (partial +
