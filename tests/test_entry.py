@@ -35,3 +35,28 @@ def test_text_scan_is_pruned(spark):
     df = entry.queries()["top_authors"](spark, "/root/testdata/sf0.001")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "text:string" not in plan  # the author report never reads document texts
+
+
+def _rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+@pytest.mark.parametrize("name", ["top_topics", "cluster_top_tags", "in_flight", "prompt_versions",
+                                  "iqr_outliers", "feedback_match"])
+def test_results_do_not_depend_on_partitioning(spark, name):
+    q = entry.queries()[name]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        a = _rows(q(spark, "/root/testdata/sf0.001"))
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        b = _rows(q(spark, "/root/testdata/sf0.001"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == b
+
+
+def test_top_n_per_author_limits_before_the_shuffle(spark):
+    df = entry.queries()["cap_per_author"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 2  # partial (map side) and final
