@@ -52,7 +52,13 @@ def fit_tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1
 
 
 def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000) -> tuple[DataFrame, PipelineModel]:
-    model = fit_tfidf(df, text, max_features)
+    # The vocabulary and idf fits each read the input: keep it for those
+    # passes (spills to disk when large; a lost block is recomputed).
+    cached = df.persist()
+    try:
+        model = fit_tfidf(cached, text, max_features)
+    finally:
+        cached.unpersist()
     out = model.transform(df).drop("_tok", "_uni", "_bi", "_terms", "_tf", "_tfidf")
     return out, model
 
