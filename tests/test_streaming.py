@@ -57,3 +57,21 @@ def test_progress_metrics(spark):
     rows = J.progress_metrics(b, 40).orderBy("batch_id").collect()
     assert [r["progress_percentage"] for r in rows] == [25.0, 50.0]
     assert rows[1]["rows_per_second"] == 5.0 and rows[1]["estimated_time_remaining"] == 4.0
+
+
+def test_stream_features_resume_from_checkpoint(spark):
+    """A second run with the same output folder only processes new files and
+    the combined output equals the batch result."""
+    p = FX.posts(spark, SF001)
+    src = J.run_folder(spark, "test-resume-src")
+    out = J.run_folder(spark, "test-resume-out")
+    cut = p.agg(F.expr("percentile(unix_micros(created_at), 0.5)")).first()[0]
+    first = p.filter(F.unix_micros("created_at") <= cut)
+    second = p.filter(F.unix_micros("created_at") > cut)
+    J.stage_files(first, src, "created_at", 2)
+    n1 = J.stream_features(spark, src, p.schema, out).count()
+    J.stage_files(second, src, "created_at", 2)
+    got = J.stream_features(spark, src, p.schema, out)
+    exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()))
+    assert 0 < n1 < got.count()
+    assert sorted(got.collect()) == sorted(exp.collect())
