@@ -113,15 +113,15 @@ def in_flight(req: DataFrame) -> DataFrame:
 # T4 (batch form)
 def _admit_fn(limit: int, window_us: int):
     def run(batches):
-        cur_client, accepted = None, deque()
+        cur_group, accepted = None, deque()
         for pdf in batches:
-            clients = pdf["client_id"].to_numpy()
+            groups = pdf["_group"].to_numpy()
             times = pdf["t_us"].to_numpy()
             out = np.empty(len(pdf), dtype=bool)
             for i in range(len(pdf)):
-                c, t = clients[i], int(times[i])
-                if c != cur_client:  # input is sorted by client: previous state can go
-                    cur_client, accepted = c, deque()
+                g, t = groups[i], int(times[i])
+                if g != cur_group:  # input is sorted by group: the previous state can go
+                    cur_group, accepted = g, deque()
                 while accepted and accepted[0] <= t - window_us:
                     accepted.popleft()
                 if len(accepted) >= limit:
@@ -129,7 +129,7 @@ def _admit_fn(limit: int, window_us: int):
                 else:
                     accepted.append(t)
                     out[i] = True
-            yield pd.DataFrame({"request_id": pdf["request_id"], "client_id": clients,
+            yield pd.DataFrame({"request_id": pdf["request_id"], "client_id": pdf["client_id"],
                                 "t_us": times, "accepted": out})
     return run
 
@@ -154,8 +154,10 @@ def admission(req: DataFrame, limit: int = REQUESTS_PER_MINUTE, window_s: int =
     n = partitions or int(req.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     clustered = (seg.repartition(n, "client_id", "_segment")
                  .sortWithinPartitions("client_id", "_segment", "t_us", "request_id")
-                 .select("request_id", F.struct("client_id", "_segment").cast("string").alias("client_id"), "t_us"))
+                 .select("request_id", "client_id", "t_us",
+                         F.struct("client_id", "_segment").cast("string").alias("_group")))
+    client_type = req.schema["client_id"].dataType.simpleString()
     admitted = clustered.mapInPandas(_admit_fn(limit, window_us),
-                                     "request_id long, client_id string, t_us long, accepted boolean")
-    return admitted.select("request_id", "accepted").join(req.select("request_id", "client_id", "started_at"),
-                                                          "request_id")
+                                     f"request_id long, client_id {client_type}, t_us long, accepted boolean")
+    return admitted.select("request_id", "accepted", "client_id",
+                           F.timestamp_micros("t_us").alias("started_at"))
