@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules
+from . import decontaminate, quality_rules, sharding, url_rules
 from .bpe import token_digests
 
 QUERIES = {}
@@ -48,3 +48,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_quality_rules", quality_rules.DIGEST_SQL)
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op6_sharding")
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op10_url_rules")
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
