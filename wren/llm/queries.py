@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality_rules, sharding, url_rules
+from . import decontaminate, jaccard_join, quality_rules, sharding, url_rules
 from .bpe import token_digests
 
 QUERIES = {}
@@ -58,3 +58,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_url_rules")
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.url_verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_jaccard_join")
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
