@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, quality_rules, sharding, url_rules
+from . import decontaminate, jaccard_join, personal_data, quality_rules, sharding, url_rules
 from .bpe import token_digests
 
 QUERIES = {}
@@ -63,3 +63,8 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_jaccard_join")
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op9_personal_data")
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digests(table(spark, sf_dir, "documents"))
