@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, personal_data, quality_rules, sharding, url_rules
+from . import decontaminate, html_text, jaccard_join, personal_data, quality_rules, sharding, url_rules
 from .bpe import token_digests
 
 QUERIES = {}
@@ -68,3 +68,8 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_personal_data")
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.personal_data_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.page_texts(table(spark, sf_dir, "pages"))
