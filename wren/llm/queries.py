@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, line_dedup, personal_data, quality_rules, sharding, url_rules
+from . import decontaminate, html_text, jaccard_join, line_dedup, personal_data, quality_classifier, quality_rules, sharding, url_rules
 from .bpe import token_digests
 
 QUERIES = {}
@@ -78,3 +78,8 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_line_dedup", line_dedup.DIGEST_SQL)
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
