@@ -199,6 +199,8 @@ def sign_documents(docs: DataFrame, size: int, num: int, den: int, frequent: np.
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             sigs.clear()
             nodes.clear()
+            if not len(sig):
+                return
             order = np.lexsort((node, sig))
             sig, node = sig[order], node[order]
             first, u, v = _meet(sig, node)
