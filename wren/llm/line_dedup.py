@@ -8,8 +8,8 @@ Candidates that follow each other make a run, and a run of more than
 ``MIN_WORDS`` words is removed after its chunks were compared byte by byte with
 their first occurrence.
 
-Only digests are shuffled to count chunks; whole texts move once to be compared
-and once to be rewritten, by document.
+Only numbers are shuffled to count chunks.  Whole texts move by document: for the
+first occurrences to be cut out, and to be compared with them and rewritten.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wren.session import ensure_checkpoint_dir
+
 #: Lines of short chunks on average, and words from which a line is a chunk by itself.
 DIVISOR, LONG_LINE = 2, 12
 #: A run of repeated chunks must have more words than this to be removed.
@@ -30,27 +32,27 @@ def _lines(text: Column) -> Column:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """``(id, th, pos, digest, words)`` of every line of every distinct document of ``(id, text)``."""
-    lines = docs.select("id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(
-        _lines(F.col("text")), lambda x: F.struct(F.md5(x.cast("binary")).alias("digest"),
+    """``(id, th, pos, digest, words)`` of every line of every distinct document of ``(id, text)``; digests have 60 bits."""
+    digest = lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 15), 16, 10).cast("long")
+    lines = docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(
+        _lines(F.col("text")), lambda x: F.struct(digest(x).alias("digest"),
                                                  F.size(F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("words")))))
-    return lines.select("id", "th", "pos", "col.digest", "col.words").where("id IS NOT NULL")
+    return lines.select("id", "th", "pos", "col.digest", "col.words")
 
 
 def chunk_table(lines: DataFrame) -> DataFrame:
     """``(id, th, chunk, first, n, words, key)`` of the chunks; ``first`` and ``n`` count lines."""
     doc = Window.partitionBy("id", "th").orderBy("pos")
-    rolled = F.md5(F.concat(F.lag("digest", 1, "").over(doc), F.col("digest")).cast("binary"))
-    hit = F.conv(F.substring(rolled, 1, 8), 16, 10).cast("long") % DIVISOR == 0
+    pair = F.concat_ws(",", F.lag("digest", 1, 0).over(doc).cast("string"), F.col("digest").cast("string"))
+    hit = F.conv(F.substring(F.md5(pair.cast("binary")), 1, 8), 16, 10).cast("long") % DIVISOR == 0
     long_line = F.col("words") >= LONG_LINE
     ends = hit | long_line | (F.lead("words", 1, 0).over(doc) >= LONG_LINE)
     marked = lines.dropDuplicates(["id", "th", "pos"]).withColumn("ends", ends)
     before = doc.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = marked.withColumn("chunk", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)))
+    numbered = marked.withColumn("chunk", F.coalesce(F.sum(F.col("ends").cast("int")).over(before), F.lit(0)).cast("int"))
     return numbered.groupBy("id", "th", "chunk").agg(
-        F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("words").alias("words"),
-        F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "digest"))), lambda s: s["digest"]), ","
-                           ).cast("binary")).alias("key"))
+        F.min("pos").alias("first"), F.count(F.lit(1)).cast("int").alias("n"), F.sum("words").cast("int").alias("words"),
+        F.xxhash64(F.transform(F.sort_array(F.collect_list(F.struct("pos", "digest"))), lambda s: s["digest"])).alias("key"))
 
 
 def repeated_runs(chunks: DataFrame) -> DataFrame:
@@ -58,28 +60,28 @@ def repeated_runs(chunks: DataFrame) -> DataFrame:
     place = F.struct("id", "first", "th")
     keys = chunks.groupBy("key").agg(F.count(F.lit(1)).alias("times"), F.min(place).alias("origin")).where("times > 1")
     again = chunks.join(keys, "key").where(
-        ~(F.col("id").eqNullSafe(F.col("origin.id")) & (F.col("first") == F.col("origin.first"))
-          & (F.col("th") == F.col("origin.th"))))
+        (F.col("id") != F.col("origin.id")) | (F.col("first") != F.col("origin.first")) | (F.col("th") != F.col("origin.th")))
     doc = Window.partitionBy("id", "th").orderBy("chunk")
     again = again.withColumn("run", F.col("chunk") - F.row_number().over(doc))
     run = Window.partitionBy("id", "th", "run")
-    return again.withColumn("run_words", F.sum("words").over(run)).where(F.col("run_words") > MIN_WORDS)
+    return again.withColumn("run_words", F.sum("words").over(run)).where(F.col("run_words") > MIN_WORDS).select(
+        "id", "th", "first", "n", "key", "origin")
+
 
+def removable_pieces(docs: DataFrame) -> DataFrame:
+    """``(id, th, places)`` from ``(id, text)``: arrays of ``struct(first, n, piece)``, line ranges with the text of their first occurrence.
 
-def removable_lines(docs: DataFrame) -> DataFrame:
-    """``(id, th, gone)`` from ``(id, text)``: arrays of ``struct(first, n)``, the line ranges to remove, byte-compared."""
-    runs = repeated_runs(chunk_table(line_table(docs)))
-    texts = docs.where("id IS NOT NULL").select("id", F.xxhash64("text").alias("th"), "text")
-    later = runs.select("id", "th", F.struct("first", "n", "key", F.lit(True).alias("later")).alias("place"))
-    origin = runs.select("origin.id", "origin.th", F.struct(
-        F.col("origin.first").alias("first"), "n", "key", F.lit(False).alias("later")).alias("place"))
-    wanted = later.unionByName(origin).groupBy("id", "th").agg(F.collect_set("place").alias("places"))
-    # One row per place with its text: a document's own lines only, cut out where the document is.
-    pieces = texts.join(wanted, ["id", "th"]).select("id", "th", _lines(F.col("text")).alias("lines"), F.explode("places").alias("p"))
-    pieces = pieces.select("id", "th", "p.*", F.array_join(F.slice("lines", F.col("p.first") + 1, F.col("p.n")), "\n").alias("piece"))
-    first = pieces.where("NOT later").select("key", F.col("piece").alias("origin_piece")).dropDuplicates(["key"])
-    same = pieces.where("later").join(first, "key").where(F.col("piece") == F.col("origin_piece"))
-    return same.groupBy("id", "th").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    Only first occurrences are cut out and sent, to the documents that repeat them.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    runs = repeated_runs(chunk_table(line_table(docs))).checkpoint(eager=True)  # numbers only
+    origins = runs.select("origin.id", "origin.th", F.col("origin.first").alias("first"), "n", "key").dropDuplicates(["key"])
+    wanted = origins.groupBy("id", "th").agg(F.collect_list(F.struct("first", "n", "key")).alias("wanted"))
+    texts = docs.select("id", "text", F.xxhash64("text").alias("th"))
+    pieces = texts.join(wanted, ["id", "th"]).select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w")).select(
+        "w.key", F.array_join(F.slice("lines", F.col("w.first") + 1, F.col("w.n")), "\n").alias("piece"))
+    return runs.select("id", "th", "first", "n", "key").join(pieces, "key").groupBy("id", "th").agg(
+        F.collect_set(F.struct("first", "n", "piece")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,18 +91,21 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat both id and text are one document and change alike; rows without id
     are left as they are.  Columns whose names clash with the counts give way.
     """
-    work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    gone = removable_lines(work)
+    places = removable_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("g")
     joined = docs.drop("n_lines", "n_removed").withColumn("__th", F.xxhash64(text_col)).alias("d").join(
-        gone.alias("g"), (F.col(f"d.{id_col}") == F.col("g.id")) & (F.col("d.__th") == F.col("g.th")), "left")
-    lines, ranges = _lines(F.col(f"d.{text_col}")), F.col("g.gone")
-    kept = F.filter(lines, lambda _, i: ~F.exists(ranges, lambda r: (r["first"] <= i) & (i < r["first"] + r["n"])))
-    text = F.when(ranges.isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
-    n_removed = F.aggregate(F.coalesce(ranges, F.array().cast("array<struct<first:int,n:int>>")), F.lit(0).cast("long"),
-                            lambda a, r: a + r["n"])
+        places, (F.col(f"d.{id_col}") == F.col("g.id")) & (F.col("d.__th") == F.col("g.th")), "left")
+    lines = _lines(F.col(f"d.{text_col}"))
+    joined = joined.withColumn("__lines", lines)
+    # the byte comparison: a place is removed if its lines are those of the first occurrence
+    same = F.filter("g.places", lambda p: F.array_join(F.slice("__lines", p["first"] + 1, p["n"]), "\n") == p["piece"])
+    joined = joined.withColumn("__gone", F.transform(same, lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))))
+    kept = F.filter("__lines", lambda _, i: ~F.exists("__gone", lambda r: (r["first"] <= i) & (i < r["first"] + r["n"])))
+    text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
+    n_removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(
+        F.aggregate("__gone", F.lit(0).cast("long"), lambda a, r: a + r["n"]))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
-                         F.when(F.col(f"d.{text_col}").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+                         F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
                          n_removed.alias("n_removed"))
 
 
@@ -112,8 +117,8 @@ def dedup_report(docs: DataFrame) -> DataFrame:
 DIGEST_SQL = r"""
 WITH ln AS (SELECT doc_id, text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line
             FROM documents WHERE text IS NOT NULL),
-lw AS (SELECT doc_id, pos, line, md5(line) AS digest, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM ln),
-le AS (SELECT *, ('0x' || substr(md5(lag(digest, 1, '') OVER w || digest), 1, 8))::BIGINT % 2 = 0
+lw AS (SELECT doc_id, pos, line, ('0x' || substr(md5(line), 1, 15))::BIGINT AS digest, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words FROM ln),
+le AS (SELECT *, ('0x' || substr(md5((lag(digest, 1, 0) OVER w)::VARCHAR || ',' || digest::VARCHAR), 1, 8))::BIGINT % 2 = 0
               OR words >= 12 OR lead(words, 1, 0) OVER w >= 12 AS ends FROM lw WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 lc AS (SELECT *, coalesce(sum(ends::INT) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM le),
 ch AS (SELECT doc_id, chunk, min(pos) AS first, count(*) AS n, sum(words) AS words, list(line ORDER BY pos) AS piece FROM lc GROUP BY 1, 2),
