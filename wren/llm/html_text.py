@@ -16,7 +16,9 @@ all pages is many tasks.
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -263,7 +265,16 @@ def main_text(blocks: list[tuple[int, str]], shares) -> str:
     return "\n\n".join(kept)
 
 
-BLOCKS = T.StructType([T.StructField("roles", T.ArrayType(T.ByteType())), T.StructField("blocks", T.ArrayType(T.StringType()))])
+#: Blocks of a page on their way to the task that compares them: text compresses well page by page.
+PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
+
+
+def pack(blocks: list[tuple[int, str]]) -> bytes:
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+
+
+def unpack(packed: bytes) -> list[tuple[int, str]]:
+    return json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -280,14 +291,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         "host", F.ceil(F.col("size") / GROUP_BYTES).cast("int").alias("parts"))
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
 
-    def cut(texts: list) -> list[dict]:
-        out = []
-        for t in texts:
-            found = blocks_of(t)
-            out.append({"roles": [r for r, _ in found], "blocks": [b for _, b in found]})
-        return out
-
-    cut_pages = map_text(read.withColumn("salt", F.xxhash64("id", "url")), "html", cut, BLOCKS).drop("html")
+    cut_pages = map_text(read.withColumn("salt", F.xxhash64("id", "url")), "html",
+                         lambda texts: [{"packed": pack(blocks_of(t))} for t in texts], PACKED).drop("html")
     dealt = cut_pages.join(broadcast_if_small(large, MAX_BROADCAST_HOSTS), "host", "left").withColumn(
         "part", F.pmod("salt", F.coalesce("parts", F.lit(1)))).drop("parts", "salt")
     fields = {f.name: f.dataType for f in read.schema.fields}
@@ -299,13 +304,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     arrow = to_arrow_schema(result)
 
     def compare(table):
-        roles, blocks = table.column("roles").to_pylist(), table.column("blocks").to_pylist()
-        shares = covered_shares(blocks)
-        found = [list(zip(r, b)) for r, b in zip(roles, blocks)]
+        found = [unpack(p) for p in table.column("packed").to_pylist()]
+        shares = covered_shares([[t for _, t in f] for f in found])
         return pa.table([
             table.column("id").cast(arrow.field("id").type), table.column("url").cast(pa.string()),
             pa.array([main_text(f, s) for f, s in zip(found, shares)], pa.string()),
-            pa.array([len(b) for b in blocks], pa.int64()),
+            pa.array([len(f) for f in found], pa.int64()),
             pa.array([int((s >= COVERED).sum()) for s in shares], pa.int64())], schema=arrow)
 
     return dealt.groupBy("host", "part").applyInArrow(compare, result).withColumnsRenamed({"id": id_col, "url": url_col})
