@@ -68,20 +68,23 @@ def repeated_runs(chunks: DataFrame) -> DataFrame:
         "id", "th", "first", "n", "key", "origin")
 
 
-def removable_pieces(docs: DataFrame) -> DataFrame:
-    """``(id, th, places)`` from ``(id, text)``: arrays of ``struct(first, n, piece)``, line ranges with the text of their first occurrence.
+def removable_pieces(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(g_id, g_th, places)``: arrays of ``struct(first, n, piece)``, line ranges with the text of their first occurrence.
 
-    Only first occurrences are cut out and sent, to the documents that repeat them.
+    ``base`` has the digest ``__th`` of the text.  Only first occurrences are cut
+    out and sent, to the documents that repeat them.
     """
-    ensure_checkpoint_dir(docs.sparkSession)
-    runs = repeated_runs(chunk_table(line_table(docs))).checkpoint(eager=True)  # numbers only
+    ensure_checkpoint_dir(base.sparkSession)
+    work = base.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    runs = repeated_runs(chunk_table(line_table(work))).checkpoint(eager=True)  # numbers only
     origins = runs.select("origin.id", "origin.th", F.col("origin.first").alias("first"), "n", "key").dropDuplicates(["key"])
-    wanted = origins.groupBy("id", "th").agg(F.collect_list(F.struct("first", "n", "key")).alias("wanted"))
-    texts = docs.select("id", "text", F.xxhash64("text").alias("th"))
-    pieces = texts.join(wanted, ["id", "th"]).select(_lines(F.col("text")).alias("lines"), F.explode("wanted").alias("w")).select(
+    wanted = origins.groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(
+        F.collect_list(F.struct("first", "n", "key")).alias("wanted"))
+    found = base.join(wanted, (F.col(id_col) == F.col("w_id")) & (F.col("__th") == F.col("w_th")))
+    pieces = found.select(_lines(F.col(text_col)).alias("lines"), F.explode("wanted").alias("w")).select(
         "w.key", F.array_join(F.slice("lines", F.col("w.first") + 1, F.col("w.n")), "\n").alias("piece"))
-    return runs.select("id", "th", "first", "n", "key").join(pieces, "key").groupBy("id", "th").agg(
-        F.collect_set(F.struct("first", "n", "piece")).alias("places"))
+    return runs.select("id", "th", "first", "n", "key").join(pieces, "key").groupBy(
+        F.col("id").alias("g_id"), F.col("th").alias("g_th")).agg(F.collect_set(F.struct("first", "n", "piece")).alias("places"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,11 +94,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeat both id and text are one document and change alike; rows without id
     are left as they are.  Columns whose names clash with the counts give way.
     """
-    places = removable_pieces(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("g")
-    joined = docs.drop("n_lines", "n_removed").withColumn("__th", F.xxhash64(text_col)).alias("d").join(
-        places, (F.col(f"d.{id_col}") == F.col("g.id")) & (F.col("d.__th") == F.col("g.th")), "left")
-    lines = _lines(F.col(f"d.{text_col}"))
-    joined = joined.withColumn("__lines", lines)
+    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # Both joins below shuffle this frame by the same keys, so Spark can shuffle it once.
+    base = docs.select(columns).where(F.col(id_col).isNotNull()).withColumn("__th", F.xxhash64(text_col))
+    places = removable_pieces(base, id_col, text_col)
+    joined = base.alias("d").join(places.alias("g"), (F.col(f"d.{id_col}") == F.col("g.g_id"))
+                                  & (F.col("d.__th") == F.col("g.g_th")), "left")
+    joined = joined.withColumn("__lines", _lines(F.col(f"d.{text_col}")))
     # the byte comparison: a place is removed if its lines are those of the first occurrence
     same = F.filter("g.places", lambda p: F.array_join(F.slice("__lines", p["first"] + 1, p["n"]), "\n") == p["piece"])
     joined = joined.withColumn("__gone", F.transform(same, lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))))
@@ -103,10 +108,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
     n_removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate("__gone", F.lit(0).cast("long"), lambda a, r: a + r["n"]))
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
-                         F.when(F.col("__lines").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"),
-                         n_removed.alias("n_removed"))
+    n_lines = lambda lines: F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
+    out = joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
+                        n_lines(F.col("__lines")), n_removed.alias("n_removed"))
+    nameless = docs.where(F.col(id_col).isNull()).select(
+        *[F.col(f"`{c}`") for c in columns], n_lines(_lines(F.col(text_col))), F.lit(0).cast("long").alias("n_removed"))
+    return out.unionByName(nameless)
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
