@@ -50,3 +50,20 @@ def test_previous_value_equals_lag(spark):
     for parts in (1, 4, 11):
         got = previous_value(df.repartition(3), "key", ["t", "id"], "t", "prev", partitions=parts)
         assert sorted(got.select(*exp.columns).collect()) == sorted(exp.collect())
+
+
+def test_helpers_with_payload_columns(spark):
+    """More rows than a bounds sample sees, and columns that one branch doesn't need: equal to plain windows."""
+    n = 60_000
+    df = (spark.range(n).select(F.col("id"), (F.col("id") % 3).alias("key"), F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("t"),
+                                (F.col("id") % 7 - 3).alias("v"), F.sha2(F.col("id").cast("string"), 256).alias("payload")))
+    w = Window.partitionBy("key").orderBy("t", "id")
+    plain = df.select("id", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("want_sum"), F.lag("t").over(w).alias("want_prev"))
+    from wren.operators.windows import previous_value
+    got = running_sum(df.repartition(5), "key", ["t", "id"], "v", partitions=6).join(plain, "id")
+    assert got.where("running <> want_sum OR payload IS NULL").count() == 0 and got.count() == n
+    got = previous_value(df.repartition(5), "key", ["t", "id"], "t", "prev", partitions=6).join(plain, "id")
+    assert got.where("NOT (prev <=> want_prev)").count() == 0 and got.count() == n
+    seq = dense_sequence(df.repartition(5), ["t", "id"], partitions=6)
+    want = df.select("id", F.row_number().over(Window.orderBy("t", "id")).alias("want"))
+    assert seq.join(want, "id").where("seq_no <> want").count() == 0 and seq.select("seq_no").distinct().count() == n

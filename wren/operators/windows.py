@@ -13,10 +13,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 
 def _ranges(df: DataFrame, order: list[str], partitions: int | None) -> DataFrame:
+    """``df`` in sorted ranges of ``order`` with the range number ``_rng`` and the place in it ``_local``, both stored.
+
+    Range bounds come from a sample, and two evaluations of one plan may sample
+    (or be pruned) differently; the ranged rows are therefore written once to the
+    checkpoint folder, and totals and rows are both read from there.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *order).withColumn("_rng", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_rng", F.spark_partition_id())
+    base = F.col("_rng").cast("long") * F.lit(1 << 33)
+    return ranged.withColumn("_local", F.monotonically_increasing_id() - base + 1).checkpoint(eager=True)
 
 
 def dense_sequence(df: DataFrame, order: list[str], name: str = "seq_no",
@@ -24,13 +35,9 @@ def dense_sequence(df: DataFrame, order: list[str], name: str = "seq_no",
     """Global ``row_number()`` (1-based) over ``order``; ``order`` must be a total order.
 
     One range shuffle: each range is sorted in place and numbered by its
-    position (``monotonically_increasing_id`` minus the partition's base,
-    deterministic for a sorted partition), plus the size of the earlier ranges
-    taken from a table of one row per range (broadcast: bounded by the range
-    count)."""
-    ranged = _ranges(df, order, partitions).sortWithinPartitions(*order)
-    ranged = ranged.withColumn(
-        "_local", F.monotonically_increasing_id() - F.col("_rng").cast("long") * F.lit(1 << 33) + 1)
+    position, plus the size of the earlier ranges taken from a table of one row
+    per range (broadcast: bounded by the range count)."""
+    ranged = _ranges(df, order, partitions)
     sizes = ranged.groupBy("_rng").agg(F.count(F.lit(1)).alias("_n"))
     offs = sizes.select("_rng", (F.sum("_n").over(Window.orderBy("_rng")) - F.col("_n")).alias("_off"))
     return (ranged.join(F.broadcast(offs), "_rng")
@@ -46,7 +53,7 @@ def running_sum(df: DataFrame, key: str, order: list[str], value: str, name: str
     over many ranges; each range sums locally and adds the totals of the
     earlier ranges of the same key.
     """
-    ranged = _ranges(df, [key, *order], partitions)
+    ranged = _ranges(df, [key, *order], partitions).drop("_local")
     totals = ranged.groupBy("_rng", key).agg(F.sum(value).alias("_tot"))
     w_prev = Window.partitionBy(key).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("_rng", key, F.coalesce(F.sum("_tot").over(w_prev), F.lit(0)).alias("_off"))
@@ -66,7 +73,7 @@ def previous_value(df: DataFrame, key: str, order: list[str], value: str, name:
     Ranges of (key, order) get their local ``lag``; the first row of a key in
     a range takes the last value of the same key in the closest earlier range
     (a table with one row per range and key)."""
-    ranged = _ranges(df, [key, *order], partitions)
+    ranged = _ranges(df, [key, *order], partitions).drop("_local")
     local = Window.partitionBy("_rng", key).orderBy(*order)
     ends = ranged.groupBy("_rng", key).agg(F.max_by(value, F.struct(*order)).alias("_last"))
     w_prev = Window.partitionBy(key).orderBy("_rng")
