@@ -118,3 +118,20 @@ def test_batch_of_150_then_lookup_and_recent_order(spark, sample_posts):
     table = target.unionByName(fresh)
     assert S.post_by_id(table, "batch42").first()["text"] == "Batch tweet 42"
     assert S.post_by_id(table, "missing").count() == 0
+
+
+def test_last_update_of_a_key_wins(spark):
+    target = spark.createDataFrame([("a", 1), ("b", 2)], "uniqueid string, n long")
+    upd = spark.createDataFrame([("a", 10, 1), ("a", 30, 3), ("a", 20, 2), (None, 5, 9), ("c", 7, 1)], "uniqueid string, n long, seq long")
+    snap, changed = L.upsert(target, upd, ["n"], sequence="seq")
+    assert sorted(map(tuple, snap.collect())) == [("a", 30), ("b", 2)] and changed.first()[0] == 1
+    assert L.upsert(target, upd.drop("seq"), ["n"])[0].count() == 2
+
+
+def test_insert_keeps_texts_out_of_sorted_aggregates(spark):
+    target = spark.createDataFrame([("a", "x", 1)], "uniqueid string, text string, n long")
+    batch = spark.createDataFrame([("b", "y", 1), ("b", "z", 2), ("a", "q", 3), (None, "r", 4)], "uniqueid string, text string, n long")
+    rows, report = L.insert_new(target, batch)
+    assert [r["uniqueid"] for r in rows.collect()] == ["b"]
+    plan = rows._jdf.queryExecution().executedPlan().toString() + report._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan

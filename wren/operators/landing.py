@@ -13,6 +13,8 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from .windows import top_n_per_group
 from pyspark.sql import types as TT
 
 ITEM_SCHEMA = ("type string, id string, text string, likeCount string, "
@@ -86,7 +88,6 @@ def cap_per_author(posts: DataFrame, as_of: Column, within_days: int, lang: str
     ``row_number() <= n`` per author is planned with a partial window group
     limit, so a hot author contributes at most n rows per task to the shuffle.
     """
-    from .windows import top_n_per_group
     cond = ((F.col("created_at") >= as_of - F.make_dt_interval(days=F.lit(within_days)))
             & (F.coalesce("like_count", F.lit(0)) >= min_likes)
             & (F.coalesce("retweet_count", F.lit(0)) >= min_retweets)
@@ -101,18 +102,18 @@ def cap_per_author(posts: DataFrame, as_of: Column, within_days: int, lang: str
 def insert_new(target: DataFrame, batch: DataFrame, key: str = "uniqueid") -> tuple[DataFrame, DataFrame]:
     """Rows of ``batch`` to append, and the insert report.
 
-    Null keys are rejected; within the batch the first row per key (smallest
-    value of the remaining columns, deterministic) wins; keys already in the
-    target are rejected.  One aggregation of the batch by key (a null key is
-    one group) feeds both outputs.  Returns ``(rows_to_append, report)``.
+    Null keys are rejected; within the batch one row per key wins (least 64-bit
+    hash of the remaining columns, so a re-run picks the same); keys already in
+    the target are rejected.  The report counts keys only (hash aggregation of
+    the key column); whole rows are ranked per key behind a group limit.
+    Returns ``(rows_to_append, report)``.
     """
     cols = [c for c in batch.columns if c != key]
-    per_key = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n"),
-                                     F.min(F.struct(*[F.col(c) for c in cols])).alias("_row"))
     existing = target.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_exists", F.lit(True))
-    marked = per_key.join(existing, key, "left")
     k, n, ex = F.col(key), F.col("_n"), F.coalesce(F.col("_exists"), F.lit(False))
-    rows = marked.filter(k.isNotNull() & ~ex).select(key, "_row.*").select(key, *cols)
+    fresh = batch.filter(k.isNotNull()).join(existing, key, "left_anti").withColumn("_h", F.xxhash64(*cols) if cols else F.lit(0))
+    rows = top_n_per_group(fresh, [key], [F.asc("_h")], 1).select(key, *cols)
+    marked = batch.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).join(existing, key, "left")
     report = marked.agg(
         F.coalesce(F.sum(n), F.lit(0)).alias("offered"),
         F.coalesce(F.sum(F.when(k.isNull(), n)), F.lit(0)).alias("rejected_null_key"),
@@ -132,14 +133,22 @@ def ingest_log(landed: DataFrame, run_col: str = "finishedAt") -> DataFrame:
 
 
 # A11 / A12 / C3
-def upsert(target: DataFrame, updates: DataFrame, cols: list[str], key: str = "uniqueid") -> tuple[DataFrame, DataFrame]:
+def upsert(target: DataFrame, updates: DataFrame, cols: list[str], key: str = "uniqueid",
+           sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Set ``cols`` by key (a matched null overwrites, like ``$set``).
 
+    Of several updates for one key the last one by ``sequence`` wins; without a
+    sequence column the one with the greatest 64-bit hash, so the target never
+    gains rows and a re-run gives the same result.
+
     Returns ``(new_snapshot, changed)`` where ``changed`` counts target rows
     whose values actually changed (null-safe comparison).  Update rows with
     no target row are ignored, as an update-by-key does.
     """
-    upd = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
+    hashed = F.xxhash64(*cols)
+    rank = [F.desc(sequence), hashed.desc()] if sequence else [hashed.desc()]
+    last = top_n_per_group(updates.filter(F.col(key).isNotNull()), [key], rank, 1)
+    upd = last.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols]).withColumn("_hit", F.lit(True))
     joined = target.join(upd, key, "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))
     new_cols = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import landing as L
@@ -95,6 +96,16 @@ def q_insert_new_posts(spark, sf):
     return report.select("offered", "rejected_null_key", "rejected_duplicate", "inserted", "rejected_existing")
 
 
+@register("insert_new_rows", "A9 C4", V(r"""
+SELECT DISTINCT k AS uniqueid FROM batch
+WHERE k IS NOT NULL AND k NOT IN (SELECT uniqueid FROM posts WHERE processed = 'completed')""", "posts", extra=(_BATCH_CTE,)))
+def q_insert_new_rows(spark, sf):
+    """Keys of the appended rows, one row per key."""
+    target = FX.posts(spark, sf).filter(F.col("processed") == "completed")
+    rows, _ = L.insert_new(target, _insert_batch(spark, sf))
+    return rows.select("uniqueid")
+
+
 @register("ingest_log", "A10", V("""
 SELECT '2025-03-23 18:21:15: ' || cast(count(*) AS varchar) || ' rows added' AS line,
   timestamp '2025-03-23 18:21:15' AS run_at, count(*) AS rows_added FROM posts WHERE doc_id % 9 <> 0""", "posts"))
@@ -194,24 +205,27 @@ SHIPPED_OPTIONS = ('{"batch_size": 10, "process_topics": true, "max_retries": 3,
 
 
 @register("processing_options", "A16 B3 B6", V(r"""
-SELECT uniqueid, processed FROM posts
+SELECT uniqueid, processed, (row_number() OVER (ORDER BY uniqueid) - 1) // 10 AS batch_no FROM posts
 WHERE (processed IS NULL OR processed = '' OR text_length IS NULL OR sentiment IS NULL
        OR topics IS NULL OR topics IN ('', '[]', 'null'))
   AND (processed IS NULL OR processed NOT IN ('completed', 'skipped', 'error'))
   AND NOT coalesce(starts_with(text, '@')
       AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 3, false)
   AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) >= 3
-ORDER BY uniqueid LIMIT 10""", "posts"))
+ORDER BY uniqueid LIMIT 50""", "posts"))
 def q_processing_options(spark, sf):
-    """One batch of the feature job under the shipped options: short replies
-    skipped, fewer than ``min_word_count`` words skipped, ``batch_size`` rows."""
+    """The batches of the feature job under the shipped options: short replies
+    skipped, fewer than ``min_word_count`` words skipped, ``max_tweets`` rows in
+    batches of ``batch_size``."""
     from ..functions import text as T
     o = L.ProcessingOptions.from_json(SHIPPED_OPTIONS)
     todo = S.posts_to_process(FX.posts(spark, sf), None)
     if o.skip_short_replies:
         todo = todo.filter(~T.is_short_reply("text"))
     todo = todo.filter(F.size(T.whitespace_words("text")) >= o.min_word_count)
-    return todo.orderBy("uniqueid").limit(min(o.batch_size, o.max_tweets)).select("uniqueid", "processed")
+    top = todo.select("uniqueid", "processed").orderBy("uniqueid").limit(o.max_tweets)  # the job's own limit
+    nth = F.row_number().over(Window.orderBy("uniqueid"))
+    return top.withColumn("batch_no", ((nth - 1) / F.lit(o.batch_size)).cast("int").cast("long"))
 
 
 @register("sample_types", "D45")
