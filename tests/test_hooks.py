@@ -24,7 +24,7 @@ def test_failing_service_falls_back_to_empty(spark):
 
 def test_wrong_length_result_is_retried_then_empty(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, text string")
-    out = H.map_topics(df, lambda ts: [["only one"]], retries=2)
+    out = H.map_topics(df, lambda ts: [["one too many"]] * (len(ts) + 1), retries=2)
     assert all(r["topics_list"] == [] for r in out.collect())
 
 
@@ -34,3 +34,15 @@ def test_candidates_are_padded_downstream(spark):
     c = H.map_candidates(df, lambda ts: [[t + "!"] for t in ts])
     got = c.select(T.pad_variations("candidates", "text", 3)).first()[0]
     assert got == ["hi!", "hi?", "hi?"]
+
+
+def test_one_bad_text_costs_itself_only(spark):
+    def service(texts):
+        if "bad 77" in texts:
+            raise ValueError("cannot take this one")
+        return [[t] for t in texts]
+    df = spark.createDataFrame([(i, f"bad {i}") for i in range(200)] + [(500, None)], "id long, text string")
+    out = {r["id"]: r for r in H.map_topics(df, service, retries=1).collect()}
+    assert len(out) == 201 and out[77]["topics_list"] == [] and out[77]["topics_list_failed"]
+    assert out[500]["topics_list"] == [] and not out[500]["topics_list_failed"]
+    assert all(out[i]["topics_list"] == [f"bad {i}"] and not out[i]["topics_list_failed"] for i in range(200) if i != 77)
