@@ -1,15 +1,15 @@
 """History, feedback and policy operators.
 
 Containment join (C1).  Matching every history entry's first 50 characters
-against every post is a nested loop.  Instead each needle is blocked on one
-of its *inner* word tokens (tokens that do not touch either end of the needle
-and so must occur as whole tokens in any matching text): the rarest one by
-document frequency.  Posts are joined to needles on that token and each
-candidate is verified with ``contains``.  Needles without an inner token are
-blocked on their rarest character 3-gram (or on the whole needle when it is
-shorter than 3).  Both blockings only drop pairs that cannot match, so the
-result equals the nested loop.  No candidate cap is applied; a token shared
-by many posts is a hot join key, which AQE's skew-join handling splits.
+against every post is a nested loop.  Instead each distinct needle is blocked on
+a run of three consecutive *inner* word tokens (tokens that do not touch either
+end of the needle, so they must occur as whole tokens, in that order, in any
+matching text); on fewer if it has fewer, and on its rarest run of three
+characters if it has none.  Of its runs the rarest by document frequency is
+taken.  Equal texts stand in the join once, under their least key; each candidate
+is verified with ``contains`` and only the least key per needle is kept.  The
+blocking drops only pairs that cannot match, so the result equals the nested
+loop, and there is one plan for all sizes.
 
 Policy fold (M11).  The exploration rate update ``eps -> clamp(a * eps)`` is
 order dependent, but maps of the form ``x -> min(max(a*x, lo), hi)`` (a > 0)
@@ -35,71 +35,64 @@ INF = float("inf")
 # ---------------------------------------------------------------- C1 -------
 def _inner_tokens(needle: Column) -> Column:
     core = F.regexp_replace(F.regexp_replace(needle, r"^[\p{L}\p{N}_]+", ""), r"[\p{L}\p{N}_]+$", "")
-    return F.array_distinct(F.regexp_extract_all(core, F.lit(T.WORD), 0))
-
-
-def _grams(s: Column, q: int) -> Column:
-    n = F.length(s) - q + 1
-    return F.array_distinct(F.when(n >= 1, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                                                       lambda i: F.substring(s, i, q)))
-                            .otherwise(F.array().cast("array<string>")))
-
-
-# Needles without an inner token are rare (a prefix made of one or two long
-# words).  Up to this many are matched with a broadcast containment join,
-# which reads the documents once; more of them use 3-gram blocking.
-MAX_BROADCAST_NEEDLES = 10_000
-
-
-def containment_matches(needles: DataFrame, docs: DataFrame, qid: str = "qid", needle: str = "needle",
-                        doc_key: str = "uniqueid", text: str = "text") -> DataFrame:
-    """All (qid, doc_key) with ``lower(text)`` containing ``needle`` (already lower-cased)."""
-    q = (needles.select(F.col(qid).alias("_qid"), F.col(needle).alias("_needle"))
-         .filter(F.col("_needle").isNotNull() & (F.length("_needle") > 0))
-         .persist())
-    d = docs.select(F.col(doc_key).alias("_doc"), F.lower(F.col(text)).alias("_text"))
-
-    # --- token blocking --------------------------------------------------
-    q_tok = q.select("_qid", F.explode(_inner_tokens(F.col("_needle"))).alias("_tok"))
-    wanted = q_tok.select("_tok").distinct()
-    d_tok = (d.select("_doc", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(T.WORD), 0)))
-                      .alias("_tok"))
-             .join(wanted, "_tok", "left_semi")
-             .persist())  # read twice: document frequencies, then candidates
-    dfreq = d_tok.groupBy("_tok").agg(F.count(F.lit(1)).alias("_df"))
-    # one row per needle: small, kept for the count below and the final plan
-    rarest = (q_tok.join(dfreq, "_tok", "left")
-              .groupBy("_qid")
-              .agg(F.min_by("_tok", F.struct(F.coalesce("_df", F.lit(0)), F.col("_tok"))).alias("_tok"))
-              .persist())
-    cand = rarest.join(d_tok, "_tok").select("_qid", "_doc")
-    verified = (cand.join(q, "_qid").join(d, "_doc")
-                .filter(F.col("_text").contains(F.col("_needle")))
-                .select("_qid", "_doc"))
-
-    # --- needles without an inner token ------------------------------------
-    no_tok = q.join(rarest.select("_qid"), "_qid", "left_anti")
-    n_no_tok = no_tok.count()
-    if 0 < n_no_tok <= MAX_BROADCAST_NEEDLES:
-        # size checked above: at most MAX_BROADCAST_NEEDLES short strings
-        extra = (d.join(F.broadcast(no_tok), F.col("_text").contains(F.col("_needle")))
-                 .select("_qid", "_doc"))
-        verified = verified.unionByName(extra)
-    elif n_no_tok > MAX_BROADCAST_NEEDLES:
-        for qlen, cond in ((3, F.length("_needle") >= 3), (2, F.length("_needle") == 2),
-                           (1, F.length("_needle") == 1)):
-            sub = no_tok.filter(cond)
-            g = sub.select("_qid", F.explode(_grams(F.col("_needle"), qlen)).alias("_g"))
-            d_g = (d.select("_doc", F.explode(_grams(F.col("_text"), qlen)).alias("_g"))
-                   .join(g.select("_g").distinct(), "_g", "left_semi"))
-            gfreq = d_g.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
-            rare_g = (g.join(gfreq, "_g", "left").groupBy("_qid")
-                      .agg(F.min_by("_g", F.struct(F.coalesce("_df", F.lit(0)), F.col("_g"))).alias("_g")))
-            c2 = rare_g.join(d_g, "_g").select("_qid", "_doc")
-            verified = verified.unionByName(
-                c2.join(sub, "_qid").join(d, "_doc").filter(F.col("_text").contains(F.col("_needle")))
-                .select("_qid", "_doc"))
-    return verified.select(F.col("_qid").alias(qid), F.col("_doc").alias(doc_key))
+    return F.regexp_extract_all(core, F.lit(T.WORD), 0)
+
+
+#: Consecutive inner tokens that a needle is blocked on, if it has as many.
+BLOCK_TOKENS = 3
+_SEP = "\u001f"
+
+
+def _runs(tokens: Column, n: int, sep: str = _SEP) -> Column:
+    """The runs of ``n`` consecutive tokens, each joined to one string; the array is walked ``n`` times, not once per run."""
+    many = F.greatest(F.size(tokens) - n + 1, F.lit(0))
+    out = F.slice(tokens, 1, many)
+    for k in range(1, n):
+        out = F.zip_with(out, F.slice(tokens, k + 1, many), lambda a, b: F.concat(a, F.lit(sep), b))
+    return out
+
+
+def _blocks(kind: str, text: Column) -> Column:
+    """All blocking strings of one kind in a text: ``t<n>`` runs of n tokens, ``c<n>`` runs of n characters."""
+    n = int(kind[1:])
+    if kind[0] == "t":
+        return F.array_distinct(_runs(F.regexp_extract_all(text, F.lit(T.WORD), 0), n))
+    return F.array_distinct(_runs(F.split(text, ""), n, ""))
+
+
+def first_containing(needles: DataFrame, docs: DataFrame, needle: str = "needle", doc_key: str = "uniqueid",
+                     text: str = "text") -> DataFrame:
+    """``(needle, doc_key)``: for each distinct needle the least key of a document whose lower-cased text contains it.
+
+    Null and empty needles match nothing.  Equal texts are matched once, under
+    their least key, and only the minimum per needle leaves the verification.
+    """
+    q = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
+    inner = _inner_tokens(F.col("_needle"))
+    few = F.least(F.size(inner), F.lit(BLOCK_TOKENS))
+    q = q.withColumn("_kind", F.when(few > 0, F.concat(F.lit("t"), few.cast("string"))).otherwise(
+        F.concat(F.lit("c"), F.least(F.length("_needle"), F.lit(3)).cast("string"))))
+    kinds = sorted(r["_kind"] for r in q.select("_kind").distinct().collect())  # six at most: t1-t3, c1-c3
+
+    keyed = docs.select(F.col(doc_key).alias("_doc"), F.lower(F.col(text)).alias("_text")).filter(F.col("_text").isNotNull())
+    reps = keyed.select("_doc", F.sha2("_text", 256).alias("_same")).groupBy("_same").agg(F.min("_doc").alias("_doc")).select("_doc")
+    texts = keyed.join(reps, "_doc", "left_semi")
+
+    wanted = held = None
+    for kind in kinds:
+        mine = q.filter(F.col("_kind") == kind)
+        own = F.explode(F.array_distinct(_runs(inner, int(kind[1:]))) if kind[0] == "t" else _blocks(kind, F.col("_needle")))
+        w = mine.select("_needle", own.alias("_b")).select("_needle", F.concat(F.lit(kind + ":"), F.col("_b")).alias("_block"))
+        d = texts.select("_doc", F.explode(_blocks(kind, F.col("_text"))).alias("_b")).select(
+            "_doc", F.concat(F.lit(kind + ":"), F.col("_b")).alias("_block"))
+        wanted, held = (w, d) if wanted is None else (wanted.unionByName(w), held.unionByName(d))
+    if wanted is None:
+        return q.select(F.col("_needle").alias(needle), F.lit(None).cast(docs.schema[doc_key].dataType).alias(doc_key)).limit(0)
+    held = held.join(wanted.select("_block").distinct(), "_block", "left_semi")
+    times = held.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(times, "_block").groupBy("_needle").agg(F.min_by("_block", F.struct("_n", "_block")).alias("_block"))
+    found = rarest.join(held, "_block").select("_needle", "_doc").join(texts, "_doc").filter(F.col("_text").contains(F.col("_needle")))
+    return found.groupBy("_needle").agg(F.min("_doc").alias(doc_key)).withColumnRenamed("_needle", needle)
 
 
 def needle_of(text: Column, n: int = NEEDLE_CHARS) -> Column:
@@ -114,10 +107,9 @@ def feedback_match(history: DataFrame, posts: DataFrame) -> DataFrame:
     for c in counts:
         present = present & F.col(c).isNotNull()
     eligible = posts.filter(present)
-    needles = history.select(F.col("seq").alias("qid"), needle_of(F.col("tweet")).alias("needle"))
-    m = containment_matches(needles, eligible.select("uniqueid", "text"))
-    first = m.groupBy("qid").agg(F.min("uniqueid").alias("uniqueid"))
-    return first.join(eligible.select("uniqueid", *counts), "uniqueid").withColumnRenamed("qid", "seq")
+    needles = history.select("seq", needle_of(F.col("tweet")).alias("needle"))
+    first = first_containing(needles, eligible.select("uniqueid", "text"))
+    return needles.join(first, "needle").select("seq", "uniqueid").join(eligible.select("uniqueid", *counts), "uniqueid")
 
 
 # ---------------------------------------------------------------- D27/D28 --
