@@ -2,8 +2,8 @@
 
 Per-row library calls of the reference (sentiment, topic extraction, stop
 words) become joins of exploded word tokens with a word table.  A word table
-is small and bounded, so it is broadcast behind a size check; the token rows
-never shuffle until the per-post aggregate, which runs map-side first (one
+is usually far below ``spark.sql.autoBroadcastJoinThreshold``, by whose byte size
+Catalyst and AQE choose the join; the per-post aggregate runs map-side first (one
 partial row per post per task).
 """
 
@@ -21,7 +21,6 @@ DEFAULT_LEXICON = (("the", "0.30"), ("and", "-0.20"), ("le", "0.50"), ("la", "-0
 DEFAULT_TOPIC_WORDS = (("the", "english"), ("and", "english"), ("der", "german"), ("und", "german"),
                        ("le", "french"), ("la", "french"), ("el", "spanish"), ("de", "europe"))
 MAX_TOPICS = 5
-MAX_BROADCAST_ROWS = 1_000_000
 
 
 def lexicon_table(spark: SparkSession, rows=DEFAULT_LEXICON) -> DataFrame:
@@ -33,12 +32,6 @@ def topic_words_table(spark: SparkSession, rows=DEFAULT_TOPIC_WORDS) -> DataFram
     return spark.createDataFrame(list(rows), "word string, topic string")
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small (one cheap count of
-    at most max_rows + 1 rows); otherwise leave the join to Catalyst."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def _tokens(posts: DataFrame, key: str, text: str) -> DataFrame:
     return posts.select(key, F.explode(T.words(text)).alias("word"))
 
@@ -46,7 +39,7 @@ def _tokens(posts: DataFrame, key: str, text: str) -> DataFrame:
 def sentiment(posts: DataFrame, lexicon: DataFrame, key: str = "uniqueid", text: str = "text") -> DataFrame:
     """Mean polarity (sentiment) and mean |polarity| (subjectivity) of the
     lexicon words in each text; 0 when none match (S4 via C8)."""
-    hits = (_tokens(posts, key, text).join(broadcast_if_small(lexicon), "word")
+    hits = (_tokens(posts, key, text).join(lexicon, "word")
             .withColumn("_c", (F.col("polarity") * 100).cast("long")))
     per = hits.groupBy(key).agg(F.sum("_c").alias("_s"), F.sum(F.abs("_c")).alias("_a"),
                                 F.count(F.lit(1)).alias("_n"))
@@ -67,7 +60,7 @@ def extract_topics(posts: DataFrame, topic_words: DataFrame, key: str = "uniquei
     """Up to k topics per post, most keyword hits first (ties by name); short
     replies get the single topic ``short reply`` (S15)."""
     toks = _tokens(posts.filter(~T.is_short_reply(text)), key, text)
-    hits = toks.join(broadcast_if_small(topic_words), "word").groupBy(key, "topic").agg(F.count(F.lit(1)).alias("n"))
+    hits = toks.join(topic_words, "word").groupBy(key, "topic").agg(F.count(F.lit(1)).alias("n"))
     # one list per post, bounded by the size of the topic table
     ranked = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "topic")))
                                    .alias("_r"))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
+from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
                                 StandardScaler, StopWordsRemover, VectorAssembler)
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor
@@ -39,7 +39,10 @@ def fit_tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1
     bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
     base = Pipeline(stages=[tok, stop, bi]).fit(df)
     terms = base.transform(df).withColumn("_terms", F.concat("_uni", "_bi"))
-    cv = CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features).fit(terms)
+    # The vocabulary is picked by (count, term): CountVectorizer would break ties by the order of partitions.
+    counts = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # max_features rows at most
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in top] or [""], inputCol="_terms", outputCol="_tf")
     tf = cv.transform(terms)
     idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(tf)
     # Spark's idf is ln((n+1)/(df+1)); the reference adds 1 to it.
@@ -51,10 +54,12 @@ def fit_tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1
     return PipelineModel(stages=[*base.stages, concat, cv, scale, norm])
 
 
-def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000) -> tuple[DataFrame, PipelineModel]:
+def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000,
+          train: DataFrame | None = None) -> tuple[DataFrame, PipelineModel]:
+    """``df`` with its ``tfidf`` column and the fitted model; fitted on ``train`` where given, else on ``df``."""
     # The vocabulary and idf fits each read the input: keep it for those
     # passes (spills to disk when large; a lost block is recomputed).
-    cached = df.persist()
+    cached = (df if train is None else train).persist()
     try:
         model = fit_tfidf(cached, text, max_features)
     finally:
@@ -131,11 +136,11 @@ def train_classifier(train: DataFrame, features_col: str = "tfidf", label: str =
     return rf.fit(train)
 
 
-def classifier_importance(model, vocabulary: list[str], spark: SparkSession, top: int = 20) -> DataFrame:
-    """Term -> importance (bounded by the vocabulary size)."""
+def classifier_importance(model, vocabulary: list[str], spark: SparkSession) -> DataFrame:
+    """Term -> importance, for every term of the vocabulary (whose size bounds the rows)."""
     imp = model.featureImportances.toArray()
-    rows = sorted(((vocabulary[i], float(v)) for i, v in enumerate(imp) if v > 0), key=lambda x: (-x[1], x[0]))
-    return spark.createDataFrame(rows[:top], "term string, importance double")
+    rows = sorted(((t, float(imp[i])) for i, t in enumerate(vocabulary)), key=lambda x: (-x[1], x[0]))
+    return spark.createDataFrame(rows, "term string, importance double")
 
 
 # M6 / M8 --------------------------------------------------------------------

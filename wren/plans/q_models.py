@@ -132,7 +132,8 @@ def q_classification_report(spark, sf):
 
 def _classifier(spark, sf):
     p = ML.median_label(model_posts(spark, sf), "engagement_eda")
-    feats, pipe = ML.tfidf(p)
+    # vocabulary and weights come from the training part alone
+    feats, pipe = ML.tfidf(p, train=p.filter(ML.split_flag(F.col("uniqueid"))))
     train = feats.filter(ML.split_flag(F.col("uniqueid")))
     test = feats.filter(~ML.split_flag(F.col("uniqueid")))
     model = ML.train_classifier(train, "tfidf", "label")
@@ -165,7 +166,7 @@ def q_engagement_regressor(spark, sf):
 
 @register("optimize_posts", "M9 M10 M8 S19 S25")
 def q_optimize_posts(spark, sf):
-    p, em = _trained(spark, sf, max_iter=20)
+    p, em = _trained(spark, sf)
 
     def scorer(df):
         keyed = df.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in df.columns if c != "text"]))
