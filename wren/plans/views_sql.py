@@ -17,14 +17,19 @@ VIEW_SQL: dict[str, str] = {
     cast(sum(CASE WHEN event_type = 'view'     THEN 1 ELSE 0 END) AS BIGINT) AS bookmark_count,
     min(ts) AS created_at
   FROM events e CROSS JOIN _n GROUP BY e.event_id % _n.n)""",
+    "_docs": """_docs AS (
+SELECT doc_id, doc_id AS base_id, lang, source, n_chars,
+  CASE WHEN doc_id % 4 = 1 THEN concat(text, ' #', lang)
+       WHEN doc_id % 4 = 2 THEN concat(text, ' @', source, ' #', lang, '!')
+       WHEN doc_id % 4 = 3 THEN concat(text, '?')
+       ELSE text END AS text FROM documents
+UNION ALL
+SELECT doc_id + n, doc_id, lang, source, length(concat('@', source, ' ok')), concat('@', source, ' ok')
+FROM documents, _n WHERE doc_id % 17 = 0)""",
     "posts": """posts AS (
 SELECT d.doc_id, concat('t', cast(d.doc_id AS varchar)) AS uniqueid,
   d.source AS author_username, d.lang,
-  CASE WHEN d.doc_id % 17 = 0 THEN concat('@', d.source, ' ok')
-       WHEN d.doc_id % 4 = 1 THEN concat(d.text, ' #', d.lang)
-       WHEN d.doc_id % 4 = 2 THEN concat(d.text, ' @', d.source, ' #', d.lang, '!')
-       WHEN d.doc_id % 4 = 3 THEN concat(d.text, '?')
-       ELSE d.text END AS text,
+  d.text AS text,
   CASE WHEN l.doc_id IS NULL THEN NULL
        WHEN l.toxic = 1 THEN concat(d.lang, ', toxic,')
        ELSE concat(d.lang, ',', CASE WHEN l.quality = 1 THEN 'good' ELSE 'poor' END) END AS topics,
@@ -35,10 +40,10 @@ SELECT d.doc_id, concat('t', cast(d.doc_id AS varchar)) AS uniqueid,
   c.c_custkey AS author_following, cast(floor(abs(c.c_acctbal)) AS bigint) AS author_followers,
   e.like_count, e.retweet_count, e.reply_count, e.quote_count, e.bookmark_count,
   cast(e.created_at AS timestamp) + (d.doc_id % 28) * interval '1' day AS created_at
-FROM documents d
-LEFT JOIN _eng e ON d.doc_id = e.doc_id
-LEFT JOIN labels l ON d.doc_id = l.doc_id
-LEFT JOIN customer c ON c.c_custkey = d.doc_id % 20)""",
+FROM _docs d
+LEFT JOIN _eng e ON d.base_id = e.doc_id
+LEFT JOIN labels l ON d.base_id = l.doc_id
+LEFT JOIN customer c ON c.c_custkey = d.doc_id % (SELECT max(c_custkey) + 1 FROM customer))""",
     "history": """history AS (
 SELECT p.doc_id AS seq, cast(floor(p.doc_id / 4.0) AS bigint) AS run_id, p.doc_id % 4 AS iteration, p.text AS tweet,
   cast(length(p.text) % 40 + 1 AS double) / 4 AS predicted_engagement, p.doc_id % 10 = 0 AS is_exploration,
@@ -99,7 +104,8 @@ FROM (
 VIEW_DEPS: dict[str, tuple[str, ...]] = {
     "_n": (),
     "_eng": ("_n",),
-    "posts": ("_eng",),
+    "_docs": ("_n",),
+    "posts": ("_eng", "_docs"),
     "history": ("posts",),
     "prompts": (),
     "requests": ("posts", "_n"),

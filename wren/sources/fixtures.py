@@ -5,13 +5,14 @@ optimization history (``history``), a prompt log (``prompts``), a request log
 (``requests``) and raw landed JSON (``landing``).  The test data has none of
 these, so they are derived from ``documents``, ``events``, ``labels``,
 ``customer`` and ``benchmark`` with fixed rules (documented in FIXTURES.md and
-mirrored as SQL in ``wren.plans.views_sql``).  Whole document texts are used:
-nothing is truncated.
-
-Plan shape at scale: ``events`` is pre-aggregated per post key (partial +
-final hash aggregate) before it meets ``documents``; ``labels`` joins on the
-same key, so both joins share one hash partitioning of ``documents``; the
-customer side is a key-range slice of at most 39 rows and is broadcast.
+mirrored as SQL in ``wren.plans.views_sql``).  Every row of those tables and
+every whole text is used; short replies are rows of their own, with keys behind
+those of the documents.
+
+Plan shape at scale: everything that is derived from a text is computed on the
+scan of ``documents``, before any shuffle; ``events`` is pre-aggregated per post
+key (partial + final hash aggregate) before it meets the posts; ``labels`` joins
+on the same key, so both joins share one hash partitioning.
 """
 
 from __future__ import annotations
@@ -59,8 +60,7 @@ def engagement_by_post(events: DataFrame, n: DataFrame) -> DataFrame:
 def post_text(doc_id: Column, text: Column, source: Column, lang: Column) -> Column:
     """Whole document text with tags, mentions and punctuation added by rule."""
     return (
-        F.when(doc_id % 17 == 0, F.concat(F.lit("@"), source, F.lit(" ok")))
-        .when(doc_id % 4 == 1, F.concat(text, F.lit(" #"), lang))
+        F.when(doc_id % 4 == 1, F.concat(text, F.lit(" #"), lang))
         .when(doc_id % 4 == 2, F.concat(text, F.lit(" @"), source, F.lit(" #"), lang, F.lit("!")))
         .when(doc_id % 4 == 3, F.concat(text, F.lit("?")))
         .otherwise(text)
@@ -88,29 +88,29 @@ def _memo(name: str):
     return deco
 
 
-@_memo("posts")
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_memo("_posts_and_length")
+def _posts_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts plus ``text_chars``, the length of the text as the scan measured it."""
     t = Tables(spark, sf_dir)
-    # Hash-partition the documents on the join key: at scale this is the
-    # shuffle the sort-merge join with the (large) engagement aggregate needs
-    # anyway (both sides then share hashpartitioning(doc_id, n), so no second
-    # exchange).  The explicit count also keeps AQE from coalescing a small but
-    # CPU-heavy text table (well-compressed shuffle bytes) into one task.
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = t.documents.select("doc_id", "text", "lang", "source", "n_chars").repartition(n_parts, "doc_id")
-    eng = engagement_by_post(t.events, _doc_key_modulus(t.documents.select("doc_id")))
-    labels = t.labels.select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
-    # c_custkey is the customer key, so the slice below has at most 39 rows:
-    # a proven bound, hence the broadcast.
-    cust = (
-        t.customer.select("c_custkey", "c_acctbal")
-        .filter((F.col("c_custkey") > -20) & (F.col("c_custkey") < 20))
-    )
+    n = _doc_key_modulus(t.documents.select("doc_id"))
     d = F.col("doc_id")
+    texts = t.documents.select(
+        d.alias("doc_id"), d.alias("base_id"), post_text(d, F.col("text"), F.col("source"), F.col("lang")).alias("text"),
+        "lang", "source", "n_chars")
+    # one-row frame: the keys of the replies start where those of the documents end
+    reply = F.concat(F.lit("@"), F.col("source"), F.lit(" ok"))
+    replies = t.documents.filter(d % 17 == 0).crossJoin(F.broadcast(n)).select(
+        (d + F.col("n")).alias("doc_id"), d.alias("base_id"), reply.alias("text"), "lang", "source",
+        F.length(reply).cast("long").alias("n_chars"))
+    docs = texts.unionByName(replies).withColumn("text_chars", F.length("text"))
+    eng = engagement_by_post(t.events, n).withColumnRenamed("doc_id", "e_doc_id")
+    labels = t.labels.select(F.col("doc_id").alias("l_doc_id"), "quality", "toxic")
+    keys = t.customer.agg((F.max("c_custkey") + 1).alias("m"))  # one row
     joined = (
-        docs.join(eng, "doc_id", "left")
-        .join(labels, d == F.col("l_doc_id"), "left")
-        .join(F.broadcast(cust), F.col("c_custkey") == d % 20, "left")
+        docs.join(eng, F.col("base_id") == F.col("e_doc_id"), "left")
+        .join(labels, F.col("base_id") == F.col("l_doc_id"), "left")
+        .crossJoin(F.broadcast(keys)).withColumn("cust", d % F.col("m"))
+        .join(t.customer.select("c_custkey", "c_acctbal"), F.col("c_custkey") == F.col("cust"), "left")
     )
     topics = (
         F.when(F.col("l_doc_id").isNull(), F.lit(None).cast("string"))
@@ -130,7 +130,7 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("t"), d.cast("string")).alias("uniqueid"),
         F.col("source").alias("author_username"),
         "lang",
-        post_text(d, F.col("text"), F.col("source"), F.col("lang")).alias("text"),
+        "text",
         topics.alias("topics"),
         processed.alias("processed"),
         F.when(d % 13 == 0, F.lit(None).cast("long")).otherwise(F.col("n_chars")).alias("text_length"),
@@ -141,13 +141,19 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "like_count", "retweet_count", "reply_count", "quote_count", "bookmark_count",
         (F.col("first_ts").cast("timestamp")
          + F.make_dt_interval(days=(d % 28).cast("int"))).alias("created_at"),
+        "text_chars",
     )
 
 
+@_memo("posts")
+def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _posts_and_length(spark, sf_dir).drop("text_chars")
+
+
 @_memo("history")
 def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Optimization history: one entry per post, 4 iterations per run."""
-    p = posts(spark, sf_dir) if p is None else p
+    p = _posts_and_length(spark, sf_dir) if p is None else p.withColumn("text_chars", F.length("text"))
     d = F.col("doc_id")
     def w(x: float) -> Column:  # exact decimal weights: the sum does not depend on float rounding
         return F.lit(str(x)).cast("decimal(2,1)")
@@ -162,7 +168,7 @@ def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> Dat
         F.floor(d / F.lit(4.0)).cast("long").alias("run_id"),
         (d % 4).alias("iteration"),
         F.col("text").alias("tweet"),
-        ((F.length("text") % 40 + 1).cast("double") / 4).alias("predicted_engagement"),
+        ((F.col("text_chars") % 40 + 1).cast("double") / 4).alias("predicted_engagement"),
         (d % 10 == 0).alias("is_exploration"),
         F.when(d % 3 == 0, F.lit(None).cast("double")).otherwise(actual.cast("double")).alias("actual_engagement"),
         F.when(d % 3 == 0, F.lit(None).cast("timestamp")).otherwise(F.col("created_at")).alias("feedback_collected_at"),
