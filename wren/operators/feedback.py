@@ -112,6 +112,32 @@ def feedback_match(history: DataFrame, posts: DataFrame) -> DataFrame:
     return needles.join(first, "needle").select("seq", "uniqueid").join(eligible.select("uniqueid", *counts), "uniqueid")
 
 
+def collect_feedback(history: DataFrame, posts: DataFrame, as_of: Column, limit: int = 100,
+                     eps0: float = 0.1) -> tuple[DataFrame, DataFrame]:
+    """Match pending entries with posts, write the outcome back, adapt the exploration rate.
+
+    Returns the updated history (``actual_engagement`` and
+    ``feedback_collected_at`` set on the matched entries, by ``seq``) and a
+    one-row summary ``(collected, epsilon)``: the number of entries matched and
+    the rate after their observations in ``seq`` order (``eps0`` if none).
+    """
+    from ..functions import engagement as E
+    from .landing import upsert
+
+    newest = history.filter(F.col("actual_engagement").isNull()).select("seq").orderBy(F.desc("seq")).limit(limit)
+    pending = history.join(newest, "seq", "left_semi")
+    found = feedback_match(pending, posts).select("seq", E.engagement("feedback").alias("actual_engagement"))
+    updates = found.withColumn("feedback_collected_at", as_of)
+    updated, _ = upsert(history, updates, ["actual_engagement", "feedback_collected_at"], key="seq")
+    seen = pending.select("seq", "predicted_engagement").join(found, "seq").select(
+        F.lit("global").alias("policy"), "seq",
+        (F.col("actual_engagement") / F.greatest("predicted_engagement", F.lit(0.001))).alias("ratio"))
+    rate = epsilon_fold(seen, "policy", "seq", "ratio", eps0=eps0).select(F.col("updates").alias("collected"), "epsilon")
+    summary = rate.agg(F.coalesce(F.max("collected"), F.lit(0).cast("long")).alias("collected"),
+                       F.coalesce(F.max("epsilon"), F.lit(eps0)).alias("epsilon"))
+    return updated, summary
+
+
 # ---------------------------------------------------------------- D27/D28 --
 def prediction_errors(history: DataFrame) -> DataFrame:
     h = history.filter(F.col("actual_engagement").isNotNull())

@@ -77,8 +77,9 @@ def cluster_posts(features: DataFrame, k: int = 5, features_col: str = "tfidf")
 
 # M3 -------------------------------------------------------------------------
 def split_flag(key: Column, train_pct: int = 80, seed: int = SEED) -> Column:
-    """Deterministic 80/20 split by key hash (stable under repartitioning)."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < train_pct
+    """Deterministic 80/20 split by a digest of key and seed (the same in any engine and partitioning)."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < train_pct
 
 
 # D38 ------------------------------------------------------------------------

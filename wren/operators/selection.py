@@ -209,14 +209,16 @@ def top_topic_vocabulary(posts: DataFrame, n: int = 100) -> DataFrame:
 
 # F6
 def episode_sample(df: DataFrame, key: str, episodes: int, n: int, seed: int = 42) -> DataFrame:
-    """Per episode, n rows without replacement, chosen by a seeded hash.
+    """Per episode, n rows without replacement, chosen by a seeded digest.
 
-    Episodes are generated per row (no join); ``row_number() <= n`` per
-    episode is planned with a partial window-group-limit, so each task ships
-    at most n rows per episode to the shuffle.
+    Episodes are generated per key (no join); ``row_number() <= n`` per episode
+    is planned with a partial window-group-limit, so each task ships at most n
+    keys per episode to the shuffle; the other columns are joined to the
+    ``episodes * n`` keys that were picked.
     """
     from pyspark.sql import Window
-    ep = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(episodes))).alias("episode"))
-    ep = ep.withColumn("_h", F.xxhash64(F.col(key), F.col("episode"), F.lit(seed)))
+    ep = df.select(key, F.explode(F.sequence(F.lit(1), F.lit(episodes))).alias("episode"))
+    ep = ep.withColumn("_h", F.md5(F.concat_ws(":", key, F.col("episode").cast("string"), F.lit(str(seed))).cast("binary")))
     w = Window.partitionBy("episode").orderBy("_h", key)
-    return ep.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_h")
+    picked = ep.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).select(key, "episode")
+    return df.join(picked, key).select(*df.columns, "episode")

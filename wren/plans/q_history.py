@@ -79,6 +79,28 @@ def q_collect_feedback(spark, sf):
     return m.select("seq", "uniqueid", E.engagement("feedback").alias("actual_engagement"))
 
 
+_COLLECTED = """SELECT m.seq, cast(p.like_count * 1.0 + p.retweet_count * 2.0 + p.reply_count * 1.5
+  + p.quote_count * 1.8 + p.bookmark_count * 1.2 AS double) AS actual_engagement
+FROM (SELECT h.seq, min(p.uniqueid) AS uniqueid
+      FROM (SELECT * FROM history WHERE actual_engagement IS NULL ORDER BY seq DESC LIMIT 100) h
+      JOIN posts p ON contains(lower(p.text), lower(substr(h.tweet, 1, 50)))
+      WHERE h.tweet IS NOT NULL AND h.tweet <> '' AND p.like_count IS NOT NULL AND p.retweet_count IS NOT NULL
+        AND p.reply_count IS NOT NULL AND p.quote_count IS NOT NULL AND p.bookmark_count IS NOT NULL
+      GROUP BY h.seq) m
+JOIN posts p ON p.uniqueid = m.uniqueid"""
+
+
+@register("collect_feedback_history", "M14 A11", V(f"""
+SELECT h.seq, coalesce(c.actual_engagement, h.actual_engagement) AS actual_engagement,
+  CASE WHEN c.seq IS NOT NULL THEN timestamp '2024-01-31 00:00:00' ELSE h.feedback_collected_at END AS feedback_collected_at
+FROM history h LEFT JOIN ({_COLLECTED}) c ON c.seq = h.seq""", "history", "posts"))
+def q_collect_feedback_history(spark, sf):
+    """The history after one collection run."""
+    p = FX.posts(spark, sf)
+    updated, _ = FB.collect_feedback(FX.history(spark, sf, p), p, FX.as_of_lit())
+    return updated.select("seq", "actual_engagement", "feedback_collected_at")
+
+
 @register("prediction_errors", "D27", V("""
 SELECT seq, is_exploration, round(predicted_engagement - actual_engagement, 6) + 0.0 AS error,
   round(abs(predicted_engagement - actual_engagement), 6) AS abs_error,

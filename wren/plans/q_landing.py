@@ -106,6 +106,14 @@ def q_insert_new_rows(spark, sf):
     return rows.select("uniqueid")
 
 
+@register("duplicate_keys", "D9", V("""
+SELECT k AS uniqueid, count(*) AS n FROM batch GROUP BY k HAVING count(*) > 1""", "posts", extra=(_BATCH_CTE,)))
+def q_duplicate_keys(spark, sf):
+    """Keys that a delivery carries more than once (null keys count as one)."""
+    from ..operators.aggregates import duplicate_ids
+    return duplicate_ids(_insert_batch(spark, sf).select("uniqueid"))
+
+
 @register("ingest_log", "A10", V("""
 SELECT '2025-03-23 18:21:15: ' || cast(count(*) AS varchar) || ' rows added' AS line,
   timestamp '2025-03-23 18:21:15' AS run_at, count(*) AS rows_added FROM posts WHERE doc_id % 9 <> 0""", "posts"))

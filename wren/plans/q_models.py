@@ -79,7 +79,8 @@ def q_cluster_posts(spark, sf):
     return clustered.select("uniqueid", "cluster")
 
 
-@register("train_test_split", "M3")
+@register("train_test_split", "M3", V("""
+SELECT uniqueid, ('0x' || substr(md5(uniqueid || ':42'), 1, 8))::BIGINT % 100 < 80 AS is_train FROM posts""", "posts"))
 def q_train_test_split(spark, sf):
     return FX.posts(spark, sf).select("uniqueid", ML.split_flag(F.col("uniqueid")).alias("is_train"))
 

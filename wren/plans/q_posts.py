@@ -116,9 +116,8 @@ def q_feature_importance(spark, sf):
 @register("duplicate_ids", "D9", V("""
 SELECT md5(text) AS text_md5, count(*) AS n FROM posts GROUP BY text HAVING count(*) > 1""", "posts"))
 def q_duplicate_ids(spark, sf):
-    # The posts key is unique; duplicated texts are the interesting repeats.
-    d = A.duplicate_ids(FX.posts(spark, sf), "text")
-    return d.select(F.md5("text").alias("text_md5"), "n")
+    # The posts key is unique; duplicated texts are the interesting repeats, grouped by their digest.
+    return A.duplicate_ids(FX.posts(spark, sf).select(F.md5("text").alias("text_md5")), "text_md5")
 
 
 @register("missing_fields", "D10", V("""
@@ -406,7 +405,12 @@ def q_top_topic_vocabulary(spark, sf):
     return S.top_topic_vocabulary(FX.posts(spark, sf))
 
 
-@register("episode_sample", "F6")
+@register("episode_sample", "F6", V("""
+SELECT uniqueid, text, engagement_score, episode FROM (
+  SELECT uniqueid, text, engagement_score, episode,
+    row_number() OVER (PARTITION BY episode ORDER BY md5(uniqueid || ':' || episode || ':42'), uniqueid) AS rn
+  FROM sposts, (SELECT unnest(range(1, 11))::INTEGER AS episode))
+WHERE rn <= 32""", "sposts"))
 def q_episode_sample(spark, sf):
     p = scored(spark, sf).select("uniqueid", "text", "engagement_score")
     return S.episode_sample(p, "uniqueid", episodes=10, n=32)
