@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .aggregates import rnd
-from .windows import previous_value, running_sum
+from .windows import previous_value, running_sum, top_n_per_group
 
 # Request bounds and defaults, limits, histogram buckets.
 TEXT_MIN, TEXT_MAX = 1, 280
@@ -61,16 +61,23 @@ def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int,
     """Serve fresh cached results, compute the misses once per distinct key.
 
     ``keys(key, text)``; ``scored(key, result, scored_at)``.  Returns one row per
-    distinct key with ``hit`` and ``result``.  The expensive scoring runs only
-    on the misses (after the anti-join), never on repeated keys.
+    distinct key with ``hit`` and ``result``.  Keys hold whole texts, so they are
+    grouped and joined by their digest; the expensive scoring runs only where
+    the one left join found nothing.
     """
+    digest = F.md5("key")
     fresh = scored.filter(F.col("scored_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_s)))
-    fresh = fresh.groupBy("key").agg(F.max_by("result", "scored_at").alias("result"))
-    distinct = keys.groupBy("key").agg(F.min("text").alias("text"))
-    hits = distinct.join(fresh, "key").select("key", F.lit(True).alias("hit"), "result")
-    misses = distinct.join(fresh, "key", "left_anti")
-    computed = misses.select("key", F.lit(False).alias("hit"), score_fn(F.col("text")).alias("result"))
-    return hits.unionByName(computed)
+    fresh = fresh.select(digest.alias("_id"), "result", "scored_at").groupBy("_id").agg(
+        F.max_by("result", "scored_at").alias("_found"), F.lit(True).alias("_hit"))
+    distinct = top_n_per_group(keys.select(digest.alias("_id"), "key", "text"), ["_id"], [F.asc(F.xxhash64("text"))], 1)
+    joined = distinct.join(fresh, "_id", "left")
+    hit = F.coalesce(F.col("_hit"), F.lit(False))
+    return joined.select("key", hit.alias("hit"), F.when(hit, F.col("_found")).otherwise(score_fn(F.col("text"))).alias("result"))
+
+
+def store_scored(scored: DataFrame, served: DataFrame, as_of: Column) -> DataFrame:
+    """The cache after a run: ``scored`` plus the results that ``reuse_scored`` had to compute."""
+    return scored.unionByName(served.filter(~F.col("hit")).select("key", "result", as_of.alias("scored_at")))
 
 
 # C7

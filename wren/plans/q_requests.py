@@ -55,19 +55,36 @@ scored AS (SELECT key, 'cached' AS result,
   FROM keys GROUP BY key HAVING min(request_id) % 2 = 0)"""
 
 
-@register("reuse_scored", "C6 S22 S16", V("""
+_SERVED_SQL = """
 SELECT md5(k.key) AS key_md5, f.key IS NOT NULL AS hit,
   CASE WHEN f.key IS NOT NULL THEN f.result
        ELSE cast(round(least(0.95, greatest(0.5, length(k.text) / 100.0)), 6) AS varchar) END AS result
 FROM (SELECT key, min(text) AS text FROM keys GROUP BY key) k
 LEFT JOIN (SELECT key, arg_max(result, scored_at) AS result FROM scored
-           WHERE scored_at > timestamp '2024-01-31 00:00:00' - INTERVAL 3600 SECOND GROUP BY key) f ON k.key = f.key""",
-                                      "requests", extra=(_SCORED_CTE,)))
+           WHERE scored_at > timestamp '2024-01-31 00:00:00' - INTERVAL 3600 SECOND GROUP BY key) f ON k.key = f.key"""
+
+
+def _served(keys, scored):
+    return RQ.reuse_scored(keys, scored, FX.as_of_lit(), RQ.PREDICT_TTL_S,
+                           lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"))
+
+
+@register("reuse_scored", "C6 S22 S16", V(_SERVED_SQL, "requests", extra=(_SCORED_CTE,)))
 def q_reuse_scored(spark, sf):
     keys = _keys(spark, sf)
-    out = RQ.reuse_scored(keys, _scored_table(keys), FX.as_of_lit(), RQ.PREDICT_TTL_S,
-                          lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"))
-    return out.select(F.md5("key").alias("key_md5"), "hit", "result")
+    return _served(keys, _scored_table(keys)).select(F.md5("key").alias("key_md5"), "hit", "result")
+
+
+@register("store_scored", "C6", V(f"""
+SELECT md5(key) AS key_md5, result, scored_at FROM scored
+UNION ALL SELECT key_md5, result, timestamp '2024-01-31 00:00:00' FROM ({_SERVED_SQL}) WHERE NOT hit""",
+                                  "requests", extra=(_SCORED_CTE,)))
+def q_store_scored(spark, sf):
+    """The result cache after the run."""
+    keys = _keys(spark, sf)
+    scored = _scored_table(keys)
+    return RQ.store_scored(scored, _served(keys, scored), FX.as_of_lit()).select(
+        F.md5("key").alias("key_md5"), "result", "scored_at")
 
 
 @register("purge_scored", "C7", V("""
