@@ -6,17 +6,19 @@ shingles, so of H + 1 segments of the universe at least one holds the same
 shingles in both.  Sets are signed per size band: one number for the content of
 each segment.  Costs decide the allocation:
 
-* a segment of nothing but shingles that a sample of the corpus shows to be
-  frequent has a long list; it is left out (0 signatures);
+* a segment that is empty, or has nothing but shingles that a sample of the
+  corpus shows to be frequent, has a long list; it is left out (0 signatures);
 * every other segment is indexed as it is (1 signature);
-* for q segments left out, the first 2 q segments are indexed with all their
-  one-deletion neighbours as well.
+* a band has s segments more than the H + 1, as many as a set of its sizes will
+  hardly leave out; if a set leaves out q > s, its first 2 q - s segments are
+  indexed with all their one-deletion neighbours as well.
 
-This loses no pair.  If two similar sets agree in a segment that is indexed,
-they meet there.  If not, the q' segments in which they agree are left out in
-both, since leaving out depends on content alone; the others differ, by at most
-H in all, so at most q' - 1 of them by more than one, and of the first 2 q'
-segments one differs by exactly one shingle: the neighbours meet there.
+This loses no pair.  Two similar sets agree in s + 1 segments or more.  If one of
+these is indexed, they meet there.  If not, the x > s segments in which they agree
+are left out in both, since leaving out depends on content alone; the others
+differ, by at most H in all, so at most x - 1 - s of them by more than one, and of
+the first 2 x - s segments one differs by exactly one shingle: the neighbours
+meet there.
 
 Sets that meet are joined to families, and each family is verified exactly, in
 blocks: a task gets two blocks of a family, keeps the sets that share a rare
@@ -27,7 +29,7 @@ returns one link per set towards the least set it reaches - never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -92,6 +94,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.low = [1]
+        self.known: dict[int, list[tuple[int, int, int]]] = {}
 
     def most(self, r: int) -> int:
         """The largest set that can link with one of ``r``."""
@@ -110,8 +113,19 @@ class Bands:
             lo, hi = (mid, hi) if self.low[mid] <= n else (lo, mid)
         return lo
 
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """``(band, segments)`` in which a set of ``n`` shingles is signed: its own band and a lower one it can link into."""
+    def spare(self, band: int, least: int) -> int:
+        """Segments beyond ``least`` for those that a set of the band's least size leaves empty: the mean and three deviations."""
+        n, spare = self.low[band], 0
+        for _ in range(2):
+            m = least + spare
+            empty = m * exp(-n / m)
+            spare = ceil(empty + 3 * sqrt(empty))
+        return spare
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """``(band, segments, spare ones)`` in which a set of ``n`` shingles is signed: its own band and a lower one it can link into."""
+        if n in self.known:
+            return self.known[n]
         own, out = self.band(n), []
         for b in range(own, -1, -1):
             top = self.low[b + 1] - 1
@@ -120,7 +134,9 @@ class Bands:
             t = top + self.most(top)
             apart = max(self.difference(x) for x in range(max(2, t - self.num - self.den), t + 1))
             if apart > 0:
-                out.append((b, apart + 1))
+                spare = self.spare(b, apart + 1)
+                out.append((b, apart + 1 + spare, spare))
+        self.known[n] = out
         return out
 
 
@@ -141,14 +157,15 @@ def signatures(s: np.ndarray, bands: Bands, frequent: np.ndarray) -> np.ndarray:
             at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
             rare = frequent[at] != s
         inner = mix(s ^ U(0x5851F42D4C957F2D))
-        for band, m in bands.of(len(s)):
+        for band, m, spare in bands.of(len(s)):
             seg = (mix(s + U(band * 2 + 1)) % U(m)).astype(np.int64)
             sums = segment_sums(seg, inner, m)
             places = mix(np.arange(m, dtype=np.uint64) + U(band << 32))
             kept = np.bincount(seg[rare], minlength=m) > 0
             out.append(mix(sums[kept] ^ places[kept]))
-            first = min(m, 2 * int(m - kept.sum()))
-            if first:
+            left_out = int(m - kept.sum())
+            if left_out > spare:
+                first = min(m, 2 * left_out - spare)
                 # the left-out ones among them are indexed too, as neighbours may shrink to them
                 out.append(mix(sums[:first] ^ places[:first]))
                 near = seg < first
