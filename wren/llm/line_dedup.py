@@ -100,17 +100,20 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     places = removable_pieces(base, id_col, text_col)
     joined = base.alias("d").join(places.alias("g"), (F.col(f"d.{id_col}") == F.col("g.g_id"))
                                   & (F.col("d.__th") == F.col("g.g_th")), "left")
-    joined = joined.withColumn("__lines", _lines(F.col(f"d.{text_col}")))
+    # Each step is one generated column, so that a filter on the result can't pull the work apart and repeat it.
+    step = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
+    joined = step(joined, _lines(F.col(f"d.{text_col}")), "__lines")
     # the byte comparison: a place is removed if its lines are those of the first occurrence
     same = F.filter("g.places", lambda p: F.array_join(F.slice("__lines", p["first"] + 1, p["n"]), "\n") == p["piece"])
-    joined = joined.withColumn("__gone", F.transform(same, lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))))
+    joined = step(joined, F.transform(same, lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))), "__gone")
     kept = F.filter("__lines", lambda _, i: ~F.exists("__gone", lambda r: (r["first"] <= i) & (i < r["first"] + r["n"])))
     text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
     n_removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate("__gone", F.lit(0).cast("long"), lambda a, r: a + r["n"]))
+    joined = step(joined, F.struct(text.alias("text"), n_removed.alias("n_removed")), "__result")
     n_lines = lambda lines: F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    out = joined.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
-                        n_lines(F.col("__lines")), n_removed.alias("n_removed"))
+    out = joined.select(*[F.col("__result.text").alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
+                        n_lines(F.col("__lines")), F.col("__result.n_removed").alias("n_removed"))
     nameless = docs.where(F.col(id_col).isNull()).select(
         *[F.col(f"`{c}`") for c in columns], n_lines(_lines(F.col(text_col))), F.lit(0).cast("long").alias("n_removed"))
     return out.unionByName(nameless)
