@@ -1,5 +1,5 @@
-"""Small helpers shared by the operators: named columns, slices of Arrow
-batches, and a size check in front of every broadcast."""
+"""Small helpers shared by the operators: fresh column names, slices of Arrow
+batches, and a size check in front of a broadcast."""
 
 from __future__ import annotations
 
@@ -14,11 +14,6 @@ from pyspark.sql import types as T
 SLICE_ROWS = 256
 
 
-def with_result_columns(df: DataFrame, keep: list[str], added: dict) -> DataFrame:
-    """``keep`` plus the added columns; a kept column whose name clashes with an added one gives way."""
-    return df.select(*[F.col(f"`{c}`") for c in keep if c not in added], *[v.alias(k) for k, v in added.items()])
-
-
 def fresh(base: str, taken: list[str]) -> str:
     """A column name that no column of ``taken`` has."""
     low = {c.lower() for c in taken}
