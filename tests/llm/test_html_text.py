@@ -91,3 +91,21 @@ def test_edge_rows(spark):
     assert extract_text(pages.where("false")).count() == 0
 
 
+
+
+def test_a_host_in_many_parts_against_brute_force(spark, monkeypatch):
+    """Runs that pages of different parts share count as in one comparison; copies in several parts are one page."""
+    rng = random.Random(5)
+    common = [" ".join(rng.choice("abcdef") for _ in range(rng.randint(6, 9))) for _ in range(40)]
+    pages = [[rng.choice(common) if rng.random() < 0.3 else " ".join(rng.choice("abcdefghijkl") for _ in range(rng.randint(1, 12)))
+              for _ in range(rng.randint(0, 6))] for _ in range(60)]
+    pages += [pages[0]] * 5 + [["only copies of this page have these seven words"]] * 8 + [["too short"], []]
+    rows = [(i, f"http://big.example/{i}", "".join(f"<div>{b}</div>" for b in p)) for i, p in enumerate(pages)]
+    rows += [(1000 + i, f"http://small{i}.example/", f"<div>{common[0]}</div>") for i in range(3)]
+    shares = brute_shares(pages, 6)
+    want = {i: ("\n\n".join(b for b, s in zip(p, shares[i]) if s < 0.5), sum(s >= 0.5 for s in shares[i])) for i, p in enumerate(pages)}
+    want |= {1000 + i: (common[0], 0) for i in range(3)}
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (10**6, 2000, 300):
+        monkeypatch.setattr("wren.llm.html_text.GROUP_BYTES", size)
+        assert {r["page_id"]: (r["text"], r["n_shared"]) for r in extract_text(table).collect()} == want

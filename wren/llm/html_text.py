@@ -9,8 +9,11 @@ boilerplate.  Blocks that the markup leaves open are kept or removed by that.
 Where the markup names the article it has the last word, because articles share
 passages and adverts don't (README, "HTML extraction").
 
-Pages of a host are dealt to groups of bounded size, so a host with a third of
-all pages is many tasks.
+Pages of a host are dealt to parts of bounded size, so a host with a third of all
+pages is many tasks.  The parts of a host find their common runs by 64-bit hashes
+of the windows of ``RUN`` tokens: first by short fingerprints, which say which
+windows other parts may have too, then by whole hashes of these, with the pages
+that have them.
 """
 
 from __future__ import annotations
@@ -18,10 +21,13 @@ from __future__ import annotations
 import html
 import json
 import re
+import struct
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +38,8 @@ from .frames import broadcast_if_small, map_text
 RUN, COVERED = 6, 0.5
 #: Bytes of HTML of one host that are compared in one task, and hosts with more than that which are broadcast at most.
 GROUP_BYTES, MAX_BROADCAST_HOSTS = 4_000_000, 200_000
+#: Bits of a fingerprint besides those that count parts (a part has some 2**19 windows), and parts whose windows one task compares.
+PRINT_BITS, TASK_PARTS = 25, 4
 #: Share of a block's characters inside links from which an open block counts as a menu.
 MENU_SHARE = 0.6
 
@@ -257,6 +265,97 @@ def covered_shares(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     return [share[e - len(p):e] for p, e in zip(pages, ends)]
 
 
+class Windows:
+    """Hashes of the windows of ``run`` tokens of some pages of a host, none across two pages."""
+
+    def __init__(self, pages: list[list[str]], run: int = RUN):
+        words = [b.split() for p in pages for b in p]
+        number = {t: xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in set(chain.from_iterable(words))}
+        self.run, self.lengths, self.n_blocks = run, np.array([len(w) for w in words], dtype=np.int64), [len(p) for p in pages]
+        n = int(self.lengths.sum())
+        tokens = np.fromiter(map(number.__getitem__, chain.from_iterable(words)), np.uint64, n)
+        page = np.repeat(np.repeat(np.arange(len(pages)), self.n_blocks), self.lengths)
+        last = max(n - run + 1, 0)
+        hashes = np.zeros(last, dtype=np.uint64)
+        for j in range(run):
+            hashes = (hashes ^ tokens[j:j + last]) * np.uint64(0x9E3779B97F4A7C15)
+            hashes ^= hashes >> np.uint64(29)
+        hashes = hashes * np.uint64(0xBF58476D1CE4E5B9)
+        hashes ^= hashes >> np.uint64(32)
+        self.starts = np.flatnonzero(page[:last] == page[run - 1:run - 1 + last])
+        self.hashes, self.page = hashes[self.starts], page[self.starts]
+        self.who = np.array([xxhash.xxh3_64_intdigest("\n\n".join(p).encode("utf-8", "surrogatepass")) for p in pages], dtype=np.uint64)
+
+    def owners(self, chosen=slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct hashes in order, and the least and greatest page that has each; copies are one page."""
+        return least_and_greatest(self.hashes[chosen], self.who[self.page[chosen]])
+
+    def shares(self, elsewhere: np.ndarray) -> list[np.ndarray]:
+        """As ``covered_shares``, where other parts of the host share the windows ``elsewhere`` (hashes in order)."""
+        hashes, least, greatest = self.owners()
+        shared = member(self.hashes, np.union1d(hashes[least != greatest], elsewhere))
+        edge = np.zeros(int(self.lengths.sum()) + 1, dtype=np.int64)
+        starts = self.starts[shared]
+        edge[starts] += 1
+        edge[starts + self.run] -= 1
+        inside = np.r_[0, np.cumsum(np.cumsum(edge[:-1]) > 0)]
+        ends = np.cumsum(self.lengths)
+        share = (inside[ends] - inside[ends - self.lengths]) / np.maximum(self.lengths, 1)
+        pages = np.cumsum(self.n_blocks)
+        return [share[e - k:e] for e, k in zip(pages, self.n_blocks)]
+
+
+def least_and_greatest(hashes: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    if not len(hashes):
+        return hashes, owners, owners
+    order = np.argsort(hashes)
+    hashes, owners = hashes[order], owners[order]
+    first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
+    return hashes[first], np.minimum.reduceat(owners, first), np.maximum.reduceat(owners, first)
+
+
+def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in ``among``, which is in order."""
+    if not len(among):
+        return np.zeros(len(values), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values
+
+
+def bits(parts: int) -> tuple[int, int]:
+    """Of a host in so many parts: the bits of a fingerprint, and its first bits that choose the task."""
+    tasks = max(min(parts, 64), -(-parts // TASK_PARTS))
+    return min(64, PRINT_BITS + (parts - 1).bit_length()), (tasks - 1).bit_length()
+
+
+def by_task(ordered: np.ndarray, width: int, first_bits: int):
+    """``(task, from, to)`` of the ranges of ``ordered`` (numbers of ``width`` bits) that go to one task."""
+    tasks = ordered >> np.uint64(width - first_bits) if first_bits else np.zeros(len(ordered), dtype=np.uint64)
+    cuts = np.flatnonzero(np.r_[True, tasks[1:] != tasks[:-1], True]) if len(ordered) else np.zeros(1, dtype=np.int64)
+    return [(int(tasks[a]), a, z) for a, z in zip(cuts[:-1], cuts[1:])]
+
+
+def pack_ordered(ordered: np.ndarray) -> bytes:
+    """Distinct numbers in order as the first and the steps, these byte plane by byte plane."""
+    steps = np.diff(ordered)
+    width = (int(steps.max()).bit_length() + 7) // 8 if len(steps) else 0
+    planes = steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return struct.pack("<QB", int(ordered[0]), width) + zlib.compress(planes, 1)
+
+
+def unpack_ordered(packed: bytes) -> np.ndarray:
+    first, width = struct.unpack_from("<QB", packed)
+    planes = np.frombuffer(zlib.decompress(packed[9:]), dtype=np.uint8)
+    steps = np.zeros((len(planes) // width if width else 0, 8), dtype=np.uint8)
+    steps[:, :width] = planes.reshape(width, -1).T if width else 0
+    return np.cumsum(np.r_[np.uint64(first), steps.view("<u8").ravel().astype(np.uint64)], dtype=np.uint64)
+
+
+def _ordered(column) -> np.ndarray:
+    """The numbers of all rows of a packed column, each once, in order."""
+    found = [unpack_ordered(p) for p in column.to_pylist()]
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+
+
 def main_text(blocks: list[tuple[int, str]], shares) -> str:
     """The article blocks; where the markup names none, the open blocks that shared runs don't cover."""
     kept = [t for r, t in blocks if r == ARTICLE]
@@ -294,7 +393,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     cut_pages = map_text(read.withColumn("salt", F.xxhash64("id", "url")), "html",
                          lambda texts: [{"packed": pack(blocks_of(t))} for t in texts], PACKED).drop("html")
     dealt = cut_pages.join(broadcast_if_small(large, MAX_BROADCAST_HOSTS), "host", "left").withColumn(
-        "part", F.pmod("salt", F.coalesce("parts", F.lit(1)))).drop("parts", "salt")
+        "parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod("salt", "parts").cast("int")).drop("salt")
+    by_part = dealt.groupBy("host", "part")
+    marks = shared_elsewhere(by_part)
     fields = {f.name: f.dataType for f in read.schema.fields}
     result = T.StructType([
         T.StructField("id", fields["id"]), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()),
@@ -303,16 +404,92 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     arrow = to_arrow_schema(result)
 
-    def compare(table):
+    def compare(table, marks):
         found = [unpack(p) for p in table.column("packed").to_pylist()]
-        shares = covered_shares([[t for _, t in f] for f in found])
+        texts = [[t for _, t in f] for f in found]
+        if table.column("parts")[0].as_py() == 1:
+            shares = covered_shares(texts)
+        else:
+            shares = Windows(texts).shares(_ordered(marks.column("hashes")))
         return pa.table([
             table.column("id").cast(arrow.field("id").type), table.column("url").cast(pa.string()),
             pa.array([main_text(f, s) for f, s in zip(found, shares)], pa.string()),
             pa.array([len(f) for f in found], pa.int64()),
             pa.array([int((s >= COVERED).sum()) for s in shares], pa.int64())], schema=arrow)
 
-    return dealt.groupBy("host", "part").applyInArrow(compare, result).withColumnsRenamed({"id": id_col, "url": url_col})
+    return by_part.cogroup(marks.groupBy("host", "part")).applyInArrow(compare, result).withColumnsRenamed(
+        {"id": id_col, "url": url_col})
+
+
+def shared_elsewhere(by_part) -> DataFrame:
+    """``(host, part, hashes)``: windows of a part that another part of its host has on another page.
+
+    Both rounds read the shuffle of the pages again instead of storing the
+    windows.  Copies of a page may lie in several parts, so a window counts if
+    its least and greatest page differ.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    def fields(names: str) -> T.StructType:
+        kinds = {"host": T.StringType(), "part": T.IntegerType(), "task": T.LongType()}
+        return T.StructType([T.StructField(n, kinds.get(n, T.BinaryType())) for n in names.split()])
+
+    rows = {n: fields(n) for n in ("host part task prints", "host part prints", "host part task hashes owners", "host part hashes")}
+    arrows = {n: to_arrow_schema(s) for n, s in rows.items()}
+
+    def out(names: str, found: list[tuple]) -> pa.Table:
+        return pa.Table.from_pylist([dict(zip(names.split(), r)) for r in found], schema=arrows[names])
+
+    def windows(table) -> Windows:
+        return Windows([[t for _, t in unpack(p)] for p in table.column("packed").to_pylist()])
+
+    def ask(key, table):
+        host, part = (k.as_py() for k in key)
+        parts, found = table.column("parts")[0].as_py(), []
+        if parts > 1:
+            width, first = bits(parts)
+            prints = np.unique(windows(table).hashes >> np.uint64(64 - width))
+            found = [(host, part, t, pack_ordered(prints[a:z])) for t, a, z in by_task(prints, width, first)]
+        return out("host part task prints", found)
+
+    def meet(key, table):
+        host, each = key[0].as_py(), [unpack_ordered(p) for p in table.column("prints").to_pylist()]
+        values, times = np.unique(np.concatenate(each), return_counts=True)
+        again, found = values[times > 1], []
+        for part, own in zip(table.column("part").to_pylist(), each):
+            own = own[member(own, again)]
+            if len(own):
+                found.append((host, part, pack_ordered(own)))
+        return out("host part prints", found)
+
+    def tell(key, table, asked):
+        host, part = (k.as_py() for k in key)
+        parts, found = table.column("parts")[0].as_py(), []
+        if parts > 1 and asked.num_rows:
+            width, first = bits(parts)
+            own = windows(table)
+            hashes, least, greatest = own.owners(member(own.hashes >> np.uint64(64 - width), _ordered(asked.column("prints"))))
+            owners = np.c_[least, greatest].astype("<u8")
+            found = [(host, part, t, pack_ordered(hashes[a:z]), zlib.compress(owners[a:z].tobytes(), 1))
+                     for t, a, z in by_task(hashes, 64, first)]
+        return out("host part task hashes owners", found)
+
+    def settle(key, table):
+        host, each = key[0].as_py(), [unpack_ordered(p) for p in table.column("hashes").to_pylist()]
+        owners = [np.frombuffer(zlib.decompress(p), dtype="<u8").reshape(-1, 2) for p in table.column("owners").to_pylist()]
+        hashes, least, greatest = least_and_greatest(np.concatenate(each * 2), np.concatenate(
+            [o[:, k] for k in (0, 1) for o in owners]).astype(np.uint64))
+        shared, found = hashes[least != greatest], []
+        for part, own in zip(table.column("part").to_pylist(), each):
+            own = own[member(own, shared)]
+            if len(own):
+                found.append((host, part, pack_ordered(own)))
+        return out("host part hashes", found)
+
+    asked = by_part.applyInArrow(ask, rows["host part task prints"])
+    met = asked.groupBy("host", "task").applyInArrow(meet, rows["host part prints"])
+    told = by_part.cogroup(met.groupBy("host", "part")).applyInArrow(tell, rows["host part task hashes owners"])
+    return told.groupBy("host", "task").applyInArrow(settle, rows["host part hashes"])
 
 
 def page_texts(pages: DataFrame) -> DataFrame:
