@@ -59,6 +59,16 @@ def test_rules_equal_all_combinations_counted(labelled):
     assert {frozenset(r["tokens"]) for r in mined} == good and good
 
 
+def test_the_same_pages_give_a_rule_in_a_table_of_any_size(spark):
+    bad = [(i, f"http://bad.net/{i}", True) for i in range(20)]
+    for n in (0, 300, 20_000):
+        rows = bad + [(100 + i, f"http://h{i % 40}.com/p{i % 7}/{i}", False) for i in range(n)]
+        mined = mine_rules(spark.createDataFrame(rows, "page_id long, url string, blocked boolean")).collect()
+        assert ["host=bad.net"] in [r["tokens"] for r in mined]
+        less = [r for r in rows if r[0] != 0]
+        assert not mine_rules(spark.createDataFrame(less, "page_id long, url string, blocked boolean")).collect()
+
+
 def test_matching_by_index(spark, labelled):
     mined = mine_rules(labelled)
     rules = [set(r["tokens"]) for r in mined.collect()]

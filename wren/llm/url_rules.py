@@ -20,10 +20,8 @@ from .frames import broadcast_if_small
 #: Fixed rules: (host and its subdomains, start of the path, verdict).
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
          ("com", "/fr/", "allow"), ("com", "/de/", "block"))
-#: A mined rule needs this confidence, and this many labelled pages.
+#: A mined rule needs this confidence, and this many blocked pages, however many pages have labels.
 MIN_CONFIDENCE, MIN_PAGES = 0.9, 20
-#: Largest share of the labelled pages that the support may be asked down to.
-MIN_SUPPORT = 0.002
 #: Rows of the inverted index that are broadcast at most; beyond that Spark joins by shuffle.
 MAX_BROADCAST_INDEX = 1_000_000
 
@@ -67,21 +65,20 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(parts, lambda t: ~t.endswith("=")))
 
 
-def mine_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES,
-               min_support: float = MIN_SUPPORT) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Token combinations that imply ``block``: ``(rule_id, tokens, confidence, support)``.
 
     ``labelled`` has ``url`` and the boolean ``blocked``.  Of two rules of which
     one's tokens contain the other's, the shorter one stays, as it fits wherever
-    the longer one does.  No labels, no rules.
+    the longer one does.  Fewer labelled pages than ``min_pages``, no rules.
     """
     baskets = labelled.where("blocked IS NOT NULL").select(F.concat(
         url_tokens(F.col("url")), F.array(F.when(F.col("blocked"), "label=block").otherwise("label=allow"))).alias("items"))
     n = baskets.count()
     empty = "rule_id long, tokens array<string>, confidence double, support double"
-    if n == 0:
+    if n < max(min_pages, 1):
         return labelled.sparkSession.createDataFrame([], empty)
-    support = min(1.0, max(min_support, min_pages / n))
+    support = max(min_pages - 0.5, 0.0) / n  # Spark rounds the count up, so half a page less can't ask for one more
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets)
     rules = model.associationRules.where(
         (F.element_at("consequent", 1) == "label=block") & ~F.array_contains("antecedent", "label=allow")).select(
