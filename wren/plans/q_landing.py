@@ -236,6 +236,6 @@ def q_processing_options(spark, sf):
     return top.withColumn("batch_no", ((nth - 1) / F.lit(o.batch_size)).cast("int").cast("long"))
 
 
-@register("sample_types", "D45")
+@register("sample_types", "")  # reads no data, which covers nothing
 def q_sample_types(spark, sf):
     return sample_types(FX.posts(spark, sf))
