@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_join, line_dedup, personal_data, quality_classifier, quality_rules, sharding, url_rules
+from . import (byte_level, decontaminate, html_text, jaccard_join, line_dedup, merkle, personal_data, quality_classifier, quality_rules,
+               sharding, token_alignment, url_rules)
 from .bpe import token_digests
 
 QUERIES = {}
@@ -28,11 +29,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def word_vocabulary() -> str:
-    """Path of the public vocabulary file that the BPE queries use."""
+def vocabulary(name: str) -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def split_pattern() -> str:
+    """The pattern that cuts texts for the byte-level vocabularies."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.PATTERN
+
+
+def word_vocabulary() -> str:
+    """Path of the public vocabulary file that the BPE queries use."""
+    return vocabulary("word_bpe_49k.json")
 
 
 @query("op1_decontaminate", decontaminate.DIGEST_SQL)
@@ -83,3 +96,20 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_merkle_manifest", merkle.REPORT_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = byte_level.from_json(vocabulary("byte_bpe_50k.json"), split_pattern())
+    b = token_alignment.read_pieces(vocabulary("piece_bpe_32k.model"))
+    return token_alignment.alignment_report(table(spark, sf_dir, "documents"), a, b)
+
+
+@query("op13_byte_level_bpe")
+def op13_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_level.token_digests(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), split_pattern())
