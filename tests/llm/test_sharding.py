@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from wren.llm.sharding import assign_shards, cut_hashes, shard_report, smallest_capacity
+from wren.llm.sharding import assign_shards, cut_hashes, cut_runs, own_shards, shard_report, smallest_capacity
 
 
 def brute_capacity(sizes, k):
@@ -75,3 +75,63 @@ def test_hot_group_and_even_shards(spark, hot):
         held[r["shard"]] += r["size"]
     total = sum(held.values())
     assert len(held) == 16 and max(held.values()) <= max(10 * hot, total / 16 * 1.02)
+
+
+def test_runs_are_cut_under_the_smallest_capacity():
+    """Largest run equals the dynamic program, no run is empty, and what is left after each run is cut as well as it can be."""
+    rng = random.Random(9)
+    for n, k in ((1, 4), (3, 4), (4, 4), (30, 4), (100, 16)):
+        sizes = [rng.choice([1, 3, rng.randint(1, 60)]) for _ in range(n)]
+        starts = [0]
+        for s in sizes:
+            starts.append(starts[-1] + s)
+        cuts = cut_runs(starts, k)
+        runs = [starts[b] - starts[a] for a, b in zip([0, *cuts], cuts)]
+        assert cuts[-1] == n and max(runs) == brute_capacity(sizes, k)
+        assert sum(r > 0 for r in runs) == min(n, k)
+        for j in range(k):
+            if runs[j:] and max(runs[j:]):
+                assert max(runs[j:]) == brute_capacity(sizes[([0, *cuts])[j]:], k - j)
+
+
+def test_large_group_has_a_shard_of_its_own(spark):
+    """One text with 35 % of the bytes: it fills a shard, the others are even to 2 %, none is empty."""
+    n = 20_000
+    rows = [(i, "hot text" * 6 if i % 4 == 0 else f"text {i} " + "x" * (i % 40)) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = assign_shards(docs).collect()
+    check(docs, got)
+    held = defaultdict(int)
+    for r in got:
+        held[r["shard"]] += r["size"]
+    hot = sum(1 for i in range(n) if i % 4 == 0) * 49
+    rest = sum(held.values()) - hot
+    assert 0.3 < hot / sum(held.values()) < 0.4 and held[15] == hot
+    assert set(held) == set(range(16)) and all(abs(held[s] - rest / 15) <= 0.02 * rest / 15 for s in range(15))
+
+
+def test_ranges_that_share_many_leading_bits(spark):
+    """Groups beside a large one in the same 18-bit range, and many ranges open at once, give the exact capacity."""
+    rng = random.Random(2)
+    base = 77 << 46
+    keys = sorted({rng.getrandbits(64) - 2**63 for _ in range(40_000)} | {base + i for i in range(40)})
+    sizes = [9_000_000 if h == base + 20 else rng.randint(1, 3000) for h in keys]
+    groups = spark.createDataFrame(list(zip(keys, sizes)), "h long, size long").cache()
+    starts = [0]
+    for s in sizes:
+        starts.append(starts[-1] + s)
+    assert cut_hashes(groups, 16)[1] == smallest_capacity(starts, 16) == 9_000_000
+    own = own_shards(groups, 16)
+    assert own == [base + 20]
+    kept = [s for h, s in zip(keys, sizes) if h not in own]
+    starts = [0]
+    for s in kept:
+        starts.append(starts[-1] + s)
+    cuts, capacity = cut_hashes(groups.where(groups.h != own[0]), 15)
+    assert capacity == smallest_capacity(starts, 15) and len(cuts) == 14
+
+
+def test_few_groups(spark):
+    """Fewer groups than shards, all in one range of hashes: a shard each."""
+    groups = spark.createDataFrame([(1, 10), (2, 10), (3, 10)], "h long, size long")
+    assert cut_hashes(groups, 4) == ([2, 3], 10)

@@ -1,18 +1,23 @@
 """Sharding by a minimax contiguous partition (operator 6), DataFrame functions only.
 
-Rows with equal texts form one atomic group.  Groups stand in the order of a
-64-bit hash of their text, and ``k`` shards take contiguous runs of them so
-that the largest shard is as small as it can be: the smallest feasible capacity
-is found by binary search with a greedy check, and the runs are cut there.
-
-The driver never sees groups, only sizes of at most ``2 ** MAX_CELL_BITS``
+Rows with equal texts form one atomic group.  A group of an equal share or more
+fills a shard by itself; there are fewer of them than shards, and they stand
+behind all others.  The rest stands in the order of a 64-bit hash of the
+text, and the shards left take contiguous runs of it so that the largest is as
+small as it can be: the smallest feasible capacity is found by binary search
+with a greedy check, the first run is cut where the check cuts it, and the same
+is done for what is left, so later shards are no larger than they have to be.
+
+The driver never sees groups but those that fill a shard, only sizes of at most ``2 ** MAX_CELL_BITS``
 ranges of the hash.  Where a cut may fall inside a range of several groups,
 that range is read again in finer ranges, until the capacity is exact.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections import defaultdict, namedtuple
+from functools import reduce
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,74 +58,82 @@ def smallest_capacity(starts: list[int], k: int) -> int:
     return low
 
 
-def even_cuts(starts: list[int], capacity: int, k: int) -> list[int]:
-    """Cuts into ``k`` runs of at most ``capacity``, each as near as may be to an equal share of what is left."""
+def cut_runs(starts: list[int], k: int) -> list[int]:
+    """Ends of ``k`` runs: each as the greedy check cuts it under the smallest capacity for what is left.
+
+    No run is empty while there are as many sizes as runs.
+    """
     cuts, at, n = [], 0, len(starts) - 1
-    for left in range(k, 1, -1):
-        share = starts[at] + (starts[-1] - starts[at]) / left
-        below = max(at, bisect_right(starts, share) - 1)
-        choices = sorted({below, min(n, below + 1)}, key=lambda i: (abs(starts[i] - share), i))
-        full = bisect_right(starts, starts[at] + capacity) - 1
-        for i in [*choices, full]:
-            rest = [s - starts[i] for s in starts[i:]]
-            if starts[i] - starts[at] <= capacity and greedy_cuts(rest, capacity, left - 1) is not None:
-                break
-        cuts.append(at := i)
-    return [*cuts, n]
-
-
-def _cells(groups: DataFrame, bits: int, ranges: list[tuple[int, int]] | None) -> list[tuple[int, int, int]]:
-    """``(first hash, size, number of groups)`` of each range of ``2 ** (64 - bits)`` hashes that has groups."""
-    part = groups
-    if ranges is not None:
-        inside = F.lit(False)
-        for a, b in ranges:
-            inside = inside | F.col("h").between(a, b)
-        part = part.where(inside)
-    cell = F.shiftleft(F.shiftright("h", 64 - bits), 64 - bits) if bits < 64 else F.col("h")
-    rows = part.groupBy(cell.alias("first")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    return sorted((r["first"], r["size"], r["n"]) for r in rows)
+    for left in range(k, 0, -1):
+        rest = [s - starts[at] for s in starts[at:]]
+        end = at + greedy_cuts(rest, smallest_capacity(rest, left), left)[0] if at < n else n
+        cuts.append(at := max(min(end, n - left + 1), min(at + 1, n)))
+    return cuts
+
+
+#: A range of hashes: its leading bits as a number, how many, the bytes and the groups in it.
+Cell = namedtuple("Cell", "prefix bits size n")
+
+
+def _cells(groups: DataFrame, bits: int, inside: list[Cell] | None = None) -> list[Cell]:
+    """The ranges of ``2 ** (64 - bits)`` hashes that have groups, of all hashes or those in the ranges ``inside``."""
+    parts = [groups]
+    if inside is not None:
+        by_bits = defaultdict(list)
+        for c in inside:
+            by_bits[c.bits].append((c.prefix,))
+        # At most 2 ** MAX_CELL_BITS ranges of 8 bytes.
+        parts = [groups.join(F.broadcast(groups.sparkSession.createDataFrame(open_, "prefix long")),
+                             F.shiftright("h", 64 - b) == F.col("prefix"), "left_semi") for b, open_ in by_bits.items()]
+    rows = reduce(DataFrame.unionAll, parts).groupBy(F.shiftright("h", 64 - bits).alias("prefix")).agg(
+        F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    return [Cell(r["prefix"], bits, r["size"], r["n"]) for r in rows]
+
+
+def _first_hash(cell: Cell) -> int:
+    return cell.prefix << (64 - cell.bits)
 
 
 def cut_hashes(groups: DataFrame, k: int) -> tuple[list[int], int]:
-    """First hashes of shards 1 to ``k - 1`` (past the end for empty shards) and the capacity, from ``(h, size)``."""
+    """First hashes of shards 1 to ``k - 1`` (fewer if there are fewer groups) and the capacity, from ``(h, size)``."""
     ends = groups.agg(F.sum("size"), F.max("size")).first()
     if ends[0] is None:
         return [], 0
     total, biggest = int(ends[0]), int(ends[1])
     low = max(biggest, -(-total // k))
     bits = FIRST_BITS
-    cells = [(bits, *c) for c in _cells(groups, bits, None)]  # sorted by first hash
+    cells = sorted(_cells(groups, bits), key=_first_hash)
     while True:
-        starts = [0, *accumulate(c[2] for c in cells)]
+        starts = [0, *accumulate(c.size for c in cells)]
         high = smallest_capacity(starts, k)
-        if high == low:
+        if high == low and len(cells) >= k:
             break
         # Cut j of any capacity from low to high lies between these offsets.
-        early, late, at = [], [], 0
+        wanted, at = [], 0
         for j in range(1, k):
             at = max(at, bisect_right(starts, starts[at] + low) - 1)
-            early.append(starts[at])
-            late.append(min(total, j * high))
-        open_cells = [i for i, c in enumerate(cells) if c[3] > 1 and any(
-            starts[i] < b and starts[i + 1] > a for a, b in zip(early, late))]
+            wanted.append((bisect_right(starts, starts[at]) - 1, bisect_left(starts, min(total, j * high))))
+        near = {i for a, b in wanted for i in range(a, b)} if len(cells) >= k else range(len(cells))
+        open_cells = [i for i in near if cells[i].n > 1]
         if not open_cells:
             break
-        bits = min(64, max(cells[i][0] for i in open_cells)
-                   + max(1, MAX_CELL_BITS - len(open_cells).bit_length()))
-        ranges: list[tuple[int, int]] = []
-        for i in open_cells:
-            a = cells[i][1]
-            b = a + (1 << (64 - cells[i][0])) - 1
-            if ranges and ranges[-1][1] + 1 == a:
-                ranges[-1] = (ranges[-1][0], b)
-            else:
-                ranges.append((a, b))
-        finer = [(bits, *c) for c in _cells(groups, bits, ranges)]
+        bits = min(64, max(cells[i].bits for i in open_cells) + max(1, MAX_CELL_BITS - len(open_cells).bit_length()))
+        finer = _cells(groups, bits, [cells[i] for i in open_cells])
         again = set(open_cells)
-        cells = sorted([c for i, c in enumerate(cells) if i not in again] + finer, key=lambda c: c[1])
-    cuts = even_cuts(starts, high, k)
-    return [cells[i][1] for i in cuts[:-1] if i < len(cells)], high
+        cells = sorted([c for i, c in enumerate(cells) if i not in again] + finer, key=_first_hash)
+    return [_first_hash(cells[i]) for i in cut_runs(starts, k)[:-1] if i < len(cells)], high
+
+
+def own_shards(groups: DataFrame, k: int) -> list[int]:
+    """Hashes of the groups of at least an equal share of the bytes that larger ones leave; fewer than ``k``."""
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    out = []
+    for r in groups.orderBy(F.desc("size"), "h").limit(k - 1).collect():
+        if r["size"] * (k - len(out)) < total:
+            break
+        out.append(r["h"])
+        total -= r["size"]
+    return out
 
 
 def text_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -130,10 +143,13 @@ def text_groups(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
 
 
-def shard_of(h: Column, cuts: list[int]) -> Column:
+def shard_of(h: Column, cuts: list[int], own: list[int], k: int) -> Column:
+    """Shards from 0 for the runs, the last ones for groups with a shard of their own."""
     out = F.lit(0)
     for c in cuts:
         out = out + (h >= F.lit(c)).cast("int")
+    for j, c in enumerate(own, k - len(own)):
+        out = F.when(h == F.lit(c), j).otherwise(out)
     return out
 
 
@@ -141,7 +157,7 @@ def assign_shards(docs: DataFrame, k: int = 16, id_col: str = "doc_id", text_col
     """One row per row of ``docs``: ``id_col, size, text_crc32, shard, slot``.
 
     Sizes are UTF-8 bytes plus 1; a null text counts as an empty one.  Equal
-    texts share a shard.  Slots number the rows of a shard from 0 without gaps:
+    texts share a shard; no shard is empty while another holds two groups.  Slots number the rows of a shard from 0 without gaps:
     rows are spread over bins by id and text, numbered in their bin, and moved by
     the count of the bins before, so a large group is numbered by many tasks.
     An empty table stays empty; other columns of ``docs`` play no part.
@@ -150,9 +166,10 @@ def assign_shards(docs: DataFrame, k: int = 16, id_col: str = "doc_id", text_col
     ensure_checkpoint_dir(spark)
     rows = text_groups(docs, id_col, text_col)
     groups = rows.groupBy("h").agg(F.sum("size").alias("size")).checkpoint(eager=True)
-    cuts, _ = cut_hashes(groups, k)
+    own = own_shards(groups, k)
+    cuts, _ = cut_hashes(groups.where(~F.col("h").isin(own)), k - len(own))
     bins = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    placed = rows.withColumn("shard", shard_of(F.col("h"), cuts)).withColumn(
+    placed = rows.withColumn("shard", shard_of(F.col("h"), cuts, own, k)).withColumn(
         "bin", F.pmod(F.xxhash64("id", "h"), F.lit(bins)).cast("int"))
     before = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "bin").agg(F.count(F.lit(1)).alias("n")).select(
