@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from wren.operators import requests as RQ
 from wren.operators import selection as S
 from wren.sources import fixtures as FX
 from wren.streaming import jobs as J
+from wren.streaming.admission import closing_row
 
 from .conftest import SF001
 
@@ -32,15 +35,45 @@ def test_stream_dedup_keeps_one_per_key(spark):
     assert got.count() == p.count() == got.select("uniqueid").distinct().count()
 
 
-def test_stream_admission_equals_batch(spark):
+def _admitted(df):
+    return sorted((x["request_id"], x["accepted"]) for x in df.collect())
+
+
+def test_stream_admission_equals_batch_on_shuffled_files(spark):
+    """Files and rows out of time order within the delay: the decisions are those of the batch form."""
     r = FX.requests(spark, SF001).select("request_id", "client_id", "started_at")
-    got = J.stream_admission(spark, _staged(spark, r, "started_at"), r.schema, limit=2, window_s=86400)
+    path = J.run_folder(spark, "test-src")
+    for k in range(3):  # every file holds requests of all times
+        r.filter(F.pmod(F.xxhash64("request_id"), F.lit(3)) == k).orderBy(F.xxhash64("request_id", F.lit(1))).coalesce(1) \
+            .write.mode("append").parquet(path)
+    closing_row(r, "started_at", 86400 * 400, 86400).write.mode("append").parquet(path)
+    got = J.stream_admission(spark, path, r.schema, limit=2, window_s=86400, delay="400 days")
     exp = RQ.admission(r, limit=2, window_s=86400)
-    assert sorted((x["request_id"], x["accepted"]) for x in got.collect()) == \
-        sorted((x["request_id"], x["accepted"]) for x in exp.collect())
+    assert _admitted(got) == _admitted(exp)
     assert exp.filter(~F.col("accepted")).count() > 0
 
 
+def test_stream_admission_times_at_the_edges(spark):
+    """Equal times go by request id, a request one window after an accepted one is accepted, state starts anew after
+    an idle window, late requests and those without id get no decision, requests without client share one."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(3, 1, t0), (1, 1, t0), (2, 1, t0), (4, 1, t0 + timedelta(seconds=60)), (5, 1, t0 + timedelta(seconds=59)),
+            (6, 1, t0 + timedelta(minutes=30)), (7, None, t0), (8, None, t0), (9, None, t0 + timedelta(microseconds=1)),
+            (None, 1, t0), (10, 2, None)]
+    schema = "request_id long, client_id long, started_at timestamp"
+    r = spark.createDataFrame(rows, schema)
+    path, out = J.run_folder(spark, "test-src"), J.run_folder(spark, "test-out")
+    r.coalesce(1).write.mode("append").parquet(path)
+    closing_row(r, "started_at", 10, 60).write.mode("append").parquet(path)
+    run = lambda: dict(_admitted(J.stream_admission(spark, path, r.schema, 2, 60, "10 seconds", out)))
+    want = {1: True, 2: True, 3: False, 4: True, 5: False, 6: True, 7: True, 8: True, 9: False}
+    assert run() == want
+    late = spark.createDataFrame([(11, 1, t0), (12, 1, t0 + timedelta(hours=2))], schema)
+    late.coalesce(1).write.mode("append").parquet(path)
+    closing_row(late, "started_at", 10, 60).write.mode("append").parquet(path)
+    assert run() == {**want, 12: True}  # from the checkpoint: nothing is decided twice, 11 is late
+
+
 def test_stream_post_counts_closed_windows(spark):
     p = FX.posts(spark, SF001).select("uniqueid", "created_at")
     got = J.stream_post_counts(spark, _staged(spark, p, "created_at"), p.schema, "created_at", "1 day", "1 hour")

@@ -143,13 +143,35 @@ def q_in_flight(spark, sf):
     return RQ.in_flight(req(spark, sf))
 
 
-@register("stream_admission_batch", "T4")
+def admission_sql(limit: int, window_s: int, columns: str = "request_id, client_id, accepted") -> str:
+    """Sliding-window admission as a recursive query: one step per request of a client, which carries the accepted times."""
+    return V(f"""SELECT {columns} FROM (WITH RECURSIVE r AS (
+  SELECT request_id, client_id, started_at, epoch_us(started_at) AS t,
+    row_number() OVER (PARTITION BY client_id ORDER BY started_at, request_id) AS n
+  FROM requests WHERE started_at IS NOT NULL),
+fold AS (
+  SELECT client_id, cast(0 AS BIGINT) AS n, cast(NULL AS BIGINT) AS request_id, cast(NULL AS TIMESTAMP) AS started_at,
+    cast([] AS BIGINT[]) AS held, false AS accepted
+  FROM (SELECT DISTINCT client_id FROM r)
+  UNION ALL
+  SELECT client_id, n, request_id, started_at,
+    CASE WHEN len(live) < {limit} THEN list_append(live, t) ELSE live END, len(live) < {limit}
+  FROM (SELECT r.client_id, r.n, r.request_id, r.started_at, r.t,
+          list_filter(f.held, lambda a: a > r.t - {window_s * 1_000_000}) AS live
+        FROM fold f JOIN r ON r.client_id = f.client_id AND r.n = f.n + 1))
+SELECT * FROM fold WHERE n > 0)""", "requests")
+
+
+_ADMITTED = "request_id, client_id, accepted, started_at"
+
+
+@register("stream_admission_batch", "T4", admission_sql(60, 60, _ADMITTED))
 def q_stream_admission_batch(spark, sf):
     """Reference default: 60 accepted requests per client per sliding minute."""
     return RQ.admission(req(spark, sf))
 
 
-@register("admission_hourly_3", "T4")
+@register("admission_hourly_3", "T4", admission_sql(3, 3600, _ADMITTED))
 def q_admission_hourly_3(spark, sf):
     """Same operator with a tight limit (3 per hour) so rejections occur in the test data."""
     return RQ.admission(req(spark, sf), limit=3, window_s=3600)
