@@ -76,19 +76,37 @@ def test_purge_scored_pattern(spark):
     assert sorted(r[0] for r in RQ.purge_scored(df, "predict:*").collect()) == ["optimize:a:1:5", "predict_x"]
 
 
-def test_admission_hot_client_splits_into_segments(spark):
-    """One client with most of the traffic but idle gaps: its history is cut
-    into independent segments, so it does not run as one sequential task."""
+def test_admission_of_one_client_spreads_over_ranges(spark, monkeypatch):
+    """A client that is never idle: every range is folded by itself, only ranges whose start changed run again, and the
+    decisions are those of the plain loop."""
+    import random
+    rng = random.Random(6)
+    t0, at, rows = datetime(2024, 1, 1), 0.0, []
+    for i in range(20_000):
+        at += rng.choice([0.0, 0.01, 0.4, 0.9, 1.5])
+        rows.append((i, 7 if i % 50 else i % 3, t0 + timedelta(seconds=at)))
+    rows += [(50_000 + i, None, t0 + timedelta(seconds=i)) for i in range(100)] + [(None, 7, t0), (60_000, 7, None)]
+    df = spark.createDataFrame(rows, "request_id long, client_id long, started_at timestamp").repartition(8)
+    folded, fold = [], RQ._fold_ranges
+
+    def spy(part, *args):
+        folded.append(part.select("rng").distinct().count())
+        return fold(part, *args)
+
+    monkeypatch.setattr(RQ, "_fold_ranges", spy)
+    got = {r["request_id"]: r["accepted"] for r in RQ.admission(df, 20, 60, partitions=12).collect()}
+    known = [(r, -1 if c is None else c, t.timestamp()) for r, c, t in rows if r is not None and t]
+    assert got == loop_admission(known, 20, 60)
+    assert folded[0] == 12 and sum(folded[1:]) < 12 * 12 and all(n < 12 for n in folded[1:])
+    assert sum(got.values()) < len(got)
+
+
+def test_admission_window_longer_than_a_range(spark):
+    """Times handed on through ranges that lie inside one window."""
     t0 = datetime(2024, 1, 1)
-    rows = [(i, 7, t0 + timedelta(minutes=10 * (i // 50), seconds=i % 50)) for i in range(500)]
-    rows += [(1000 + i, i % 5, t0 + timedelta(seconds=3 * i)) for i in range(100)]
+    rows = [(i, 1, t0 + timedelta(seconds=i)) for i in range(400)]
     df = spark.createDataFrame(rows, "request_id long, client_id long, started_at timestamp")
-    got = {r["request_id"]: r["accepted"] for r in RQ.admission(df, 30, 60).collect()}
-    assert got == loop_admission([(r, c, t.timestamp()) for r, c, t in rows], 30, 60)
-    from wren.operators.windows import previous_value, running_sum
-    from pyspark.sql import functions as F
-    base = df.select("request_id", "client_id", F.unix_micros("started_at").alias("t_us"))
-    prev = previous_value(base, "client_id", ["t_us", "request_id"], "t_us", "p")
-    seg = running_sum(prev.withColumn("g", F.coalesce((F.col("t_us") - F.col("p") >= 60_000_000).cast("int"), F.lit(1))),
-                      "client_id", ["t_us", "request_id"], "g", "segment")
-    assert seg.filter("client_id = 7").select("segment").distinct().count() == 10
+    for limit in (1, 5, 250):
+        got = {r["request_id"]: r["accepted"] for r in RQ.admission(df, limit, 300, partitions=10).collect()}
+        assert got == loop_admission([(r, c, t.timestamp()) for r, c, t in rows], limit, 300)
+    assert RQ.admission(df.limit(0)).collect() == []

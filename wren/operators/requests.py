@@ -7,15 +7,18 @@ is a job over a table (or stream) of requests.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
+from ..session import scratch_path
 from .aggregates import rnd
-from .windows import previous_value, running_sum, top_n_per_group
+from .windows import running_sum, top_n_per_group
 
 # Request bounds and defaults, limits, histogram buckets.
 TEXT_MIN, TEXT_MAX = 1, 280
@@ -118,53 +121,102 @@ def in_flight(req: DataFrame) -> DataFrame:
 
 
 # T4 (batch form)
-def _admit_fn(limit: int, window_us: int):
+def _admit_fn(limit: int, window_us: int, carried: dict[int, list[int]]):
+    """Fold of rows sorted by (range, client, time, id); the first client of a range starts with the times ``carried`` there."""
     def run(batches):
-        cur_group, accepted = None, deque()
+        cur_range = cur_client = None
+        accepted: deque = deque()
         for pdf in batches:
-            groups = pdf["_group"].to_numpy()
-            times = pdf["t_us"].to_numpy()
+            ranges, clients, times = pdf["rng"].to_numpy(), pdf["client"].tolist(), pdf["t_us"].to_numpy()
             out = np.empty(len(pdf), dtype=bool)
             for i in range(len(pdf)):
-                g, t = groups[i], int(times[i])
-                if g != cur_group:  # input is sorted by group: the previous state can go
-                    cur_group, accepted = g, deque()
+                r, c, t = int(ranges[i]), clients[i], int(times[i])
+                if r != cur_range:
+                    cur_range, cur_client, accepted = r, c, deque(carried.get(r, ()))
+                elif c != cur_client:
+                    cur_client, accepted = c, deque()
                 while accepted and accepted[0] <= t - window_us:
                     accepted.popleft()
-                if len(accepted) >= limit:
-                    out[i] = False
-                else:
+                out[i] = len(accepted) < limit
+                if out[i]:
                     accepted.append(t)
-                    out[i] = True
-            yield pd.DataFrame({"request_id": pdf["request_id"], "client_id": pdf["client_id"],
-                                "t_us": times, "accepted": out})
+            yield pd.DataFrame({"request_id": pdf["request_id"], "client": clients, "t_us": times, "rng": ranges, "accepted": out})
     return run
 
 
+def _fold_ranges(ranged: DataFrame, limit: int, window_us: int, carried: dict[int, list[int]], tasks: int) -> DataFrame:
+    """Decisions of whole ranges, each folded by one task."""
+    dealt = ranged.repartitionByRange(tasks, "rng").sortWithinPartitions("rng", "client", "t_us", "request_id")
+    return dealt.select("request_id", "client", "t_us", "rng").mapInPandas(
+        _admit_fn(limit, window_us, carried), "request_id long, client string, t_us long, rng int, accepted boolean")
+
+
 def admission(req: DataFrame, limit: int = REQUESTS_PER_MINUTE, window_s: int = 60,
               partitions: int | None = None) -> DataFrame:
     """Sliding-window admission per client where rejected requests do not count.
 
-    The decision is a sequential fold per client, so it runs in a
-    ``mapInPandas`` over data clustered by client and sorted by time, carrying
-    at most ``limit`` timestamps.  A client's history splits into independent
-    segments wherever it is quiet for a whole window (the state is then empty),
-    so segments are the unit of parallelism: a hot client with gaps spreads
-    over many tasks.
+    The decision is a fold over a client's requests in order of (time, id).  The
+    requests are dealt to sorted ranges of (client, time, id), so a client with any
+    share of them spreads over many, and every range is folded by itself as if
+    nothing came before it.  What a range hands on is the accepted times of the last window of its
+    last client, ``limit`` at most.  Where the next range goes on with that
+    client inside the window, its guess of an empty start was wrong and it is folded
+    again from those times; this goes on with the ranges whose start has changed.
+    After an idle window the state is empty, and two folds that once accept the
+    same window go on alike, so few ranges run more than twice.  Each
+    round is stored, a range's last round counts, and the driver sees one start of
+    at most ``limit`` times per range.
+
+    Requests without a time or an id get no decision; those without a client share one.
     """
+    spark = req.sparkSession
     window_us = window_s * 1_000_000
-    base = req.select("request_id", "client_id", F.unix_micros("started_at").alias("t_us"))
-    prev = previous_value(base, "client_id", ["t_us", "request_id"], "t_us", "_prev_t")
-    gap = (F.col("t_us") - F.col("_prev_t") >= window_us).cast("int")
-    seg = prev.withColumn("_gap", F.coalesce(gap, F.lit(1))).drop("_prev_t")
-    seg = running_sum(seg, "client_id", ["t_us", "request_id"], "_gap", "_segment")
-    n = partitions or int(req.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    clustered = (seg.repartition(n, "client_id", "_segment")
-                 .sortWithinPartitions("client_id", "_segment", "t_us", "request_id")
-                 .select("request_id", "client_id", "t_us",
-                         F.struct("client_id", "_segment").cast("string").alias("_group")))
-    client_type = req.schema["client_id"].dataType.simpleString()
-    admitted = clustered.mapInPandas(_admit_fn(limit, window_us),
-                                     f"request_id long, client_id {client_type}, t_us long, accepted boolean")
-    return admitted.select("request_id", "accepted", "client_id",
-                           F.timestamp_micros("t_us").alias("started_at"))
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    client = F.coalesce(F.concat(F.lit("="), F.col("client_id").cast("string")), F.lit(""))
+    base = req.filter(F.col("started_at").isNotNull() & F.col("request_id").isNotNull()).select(
+        "request_id", client.alias("client"), F.unix_micros("started_at").alias("t_us"))
+    order = ["client", "t_us", "request_id"]
+    home = scratch_path(spark, f"admission-{uuid.uuid4().hex}")
+    # Range bounds come from a sample; the ranged rows are stored once, one folder per range.
+    base.repartitionByRange(n, *order).withColumn("rng", F.spark_partition_id()).write.partitionBy("rng").parquet(f"{home}/ranged")
+    ranged = spark.read.schema(StructType([*base.schema.fields, StructField("rng", IntegerType())])).parquet(f"{home}/ranged")
+
+    edges = {r["rng"]: r for r in ranged.groupBy("rng").agg(
+        F.min(F.struct(*order)).alias("first"), F.max(F.struct(*order)).alias("last")).collect()}
+    before = dict(zip(sorted(edges)[1:], sorted(edges)))  # range -> the one in front of it
+    goes_on = [r for r, b in before.items() if edges[r]["first"]["client"] == edges[b]["last"]["client"]
+               and edges[r]["first"]["t_us"] < edges[b]["last"]["t_us"] + window_us]
+    starts: dict[int, list[int]] = {}
+    last_round = dict.fromkeys(edges, 0)
+    run, at = sorted(edges), 0
+    while run:
+        part = ranged.filter(F.col("rng").isin(run)) if at else ranged
+        _fold_ranges(part, limit, window_us, starts, min(n, len(run))).write.parquet(f"{home}/decided/round={at}")
+        last_round.update(dict.fromkeys(run, at))
+        handing = {before[r] for r in goes_on} & set(run)
+        if not handing:
+            break
+        tails = spark.createDataFrame([(b, edges[b]["last"]["client"], edges[b]["last"]["t_us"]) for b in handing],
+                                      "rng int, client string, tail long")  # one row per range
+        held = spark.read.parquet(f"{home}/decided/round={at}").filter("accepted").join(F.broadcast(tails), ["rng", "client"]).filter(
+            F.col("t_us") > F.col("tail") - window_us)
+        # At most ``limit`` times of one window per range.
+        got = {r["rng"]: sorted(r["times"]) for r in held.groupBy("rng").agg(F.collect_list("t_us").alias("times")).collect()}
+        run = []
+        for r in goes_on:
+            if before[r] in handing:
+                # A range may be shorter than a window: what it was handed itself is then still in force behind it.
+                b = before[r]
+                own = starts.get(b, []) if edges[b]["first"]["client"] == edges[b]["last"]["client"] else []
+                start = [t for t in sorted(own + got.get(b, [])) if t > edges[r]["first"]["t_us"] - window_us]
+                if start != starts.get(r, []):
+                    starts[r] = start
+                    run.append(r)
+        at += 1
+    if not edges:
+        decided = spark.createDataFrame([], StructType([*base.schema.fields, StructField("accepted", BooleanType())]))
+    else:
+        rounds = spark.createDataFrame(list(last_round.items()), "rng int, round int")  # one row per range
+        decided = spark.read.option("basePath", f"{home}/decided").parquet(f"{home}/decided").join(F.broadcast(rounds), ["rng", "round"])
+    named = F.when(F.col("client") != "", F.substring("client", 2, 2**31 - 1)).cast(req.schema["client_id"].dataType)
+    return decided.select("request_id", "accepted", named.alias("client_id"), F.timestamp_micros("t_us").alias("started_at"))
