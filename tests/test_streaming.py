@@ -5,12 +5,15 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
+from wren.operators import lexicon as LX
 from wren.operators import requests as RQ
 from wren.operators import selection as S
 from wren.sources import fixtures as FX
 from wren.streaming import jobs as J
 from wren.streaming.admission import closing_row
+from wren.streaming.snapshots import SnapshotTable
 
 from .conftest import SF001
 
@@ -21,11 +24,35 @@ def _staged(spark, df, col, files=4):
     return path
 
 
+def _tables(spark):
+    return LX.lexicon_table(spark), LX.topic_words_table(spark)
+
+
 def test_stream_features_equal_batch(spark):
-    p = FX.posts(spark, SF001)
-    got = J.stream_features(spark, _staged(spark, p, "created_at"), p.schema)
-    exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()))
-    assert sorted(got.collect()) == sorted(exp.collect())
+    p = FX.with_author_created(FX.posts(spark, SF001))
+    got = J.stream_features(spark, _staged(spark, p, "created_at"), p.schema, *_tables(spark), FX.as_of_lit())
+    exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()), *_tables(spark), FX.as_of_lit())
+    assert sorted(got.collect(), key=str) == sorted(exp.collect(), key=str)
+
+
+def test_snapshot_table(spark):
+    """Keys sent again give one row, the newest; a replayed batch and a broken attempt change nothing; only the
+    buckets that a batch touches are written."""
+    schema = StructType([StructField("k", StringType()), StructField("v", IntegerType())])
+    table = SnapshotTable(spark, J.run_folder(spark, "test-table"), "k", schema, buckets=4)
+    assert table.read().collect() == [] and table.manifest()["batch_id"] == -1
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int, at int")
+    assert table.merge(rows(("a", 1, 1), ("a", 2, 2), ("b", 1, None), (None, 9, 9)), 0, "at")
+    assert sorted(table.read().collect()) == [("a", 2), ("b", 1)]
+    first = table.manifest()["folders"]
+    spark.createDataFrame([("a", 77)], schema).withColumn("bucket", F.lit(0)).write.partitionBy("bucket").parquet(
+        f"{table.base}/data/batch=1")  # what a broken attempt left
+    assert sorted(table.read().collect()) == [("a", 2), ("b", 1)]
+    assert table.merge(rows(("b", 5, 1)), 1, "at") and not table.merge(rows(("b", 6, 1)), 1, "at")
+    assert sorted(table.read().collect()) == [("a", 2), ("b", 5)]
+    assert sum(first[b] != f for b, f in table.manifest()["folders"].items() if b in first) <= 1
+    assert table.merge(rows().limit(0), 2) and sorted(table.read().collect()) == [("a", 2), ("b", 5)]
+    assert SnapshotTable(spark, table.base, "k", schema, buckets=9).manifest()["buckets"] == 4
 
 
 def test_stream_dedup_keeps_one_per_key(spark):
@@ -95,16 +122,16 @@ def test_progress_metrics(spark):
 def test_stream_features_resume_from_checkpoint(spark):
     """A second run with the same output folder only processes new files and
     the combined output equals the batch result."""
-    p = FX.posts(spark, SF001)
+    p = FX.with_author_created(FX.posts(spark, SF001))
     src = J.run_folder(spark, "test-resume-src")
     out = J.run_folder(spark, "test-resume-out")
     cut = p.agg(F.expr("percentile(unix_micros(created_at), 0.5)")).first()[0]
     first = p.filter(F.unix_micros("created_at") <= cut)
     second = p.filter(F.unix_micros("created_at") > cut)
     J.stage_files(first, src, "created_at", 2)
-    n1 = J.stream_features(spark, src, p.schema, out).count()
+    n1 = J.stream_features(spark, src, p.schema, *_tables(spark), FX.as_of_lit(), out).count()
     J.stage_files(second, src, "created_at", 2)
-    got = J.stream_features(spark, src, p.schema, out)
-    exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()))
+    got = J.stream_features(spark, src, p.schema, *_tables(spark), FX.as_of_lit(), out)
+    exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()), *_tables(spark), FX.as_of_lit())
     assert 0 < n1 < got.count()
-    assert sorted(got.collect()) == sorted(exp.collect())
+    assert sorted(got.collect(), key=str) == sorted(exp.collect(), key=str)

@@ -65,13 +65,24 @@ def follower_ratio(followers: str | Column, following: str | Column) -> Column:
     return numeric_or_zero(followers) / safe_denominator(following)
 
 
+def creation_time(created: str | Column) -> Column:
+    """Timestamp of a creation date as the dialects write it, null if none fits.
+
+    Fixed values, the forms: ISO dates and times with or without offset,
+    ``Wed Oct 10 20:19:24 +0000 2018``, ``Wed, 10 Oct 2018 20:19:24 +0000``,
+    seconds (9 to 11 digits) or milliseconds (12 to 14 digits) since 1970."""
+    s = F.trim(_c(created).cast("string"))
+    since = s.try_cast("bigint")
+    return F.coalesce(
+        F.when(s.rlike("^[0-9]{9,11}$"), F.timestamp_seconds(since)).when(s.rlike("^[0-9]{12,14}$"), F.timestamp_millis(since)),
+        F.try_to_timestamp(s),
+        F.try_to_timestamp(F.substring(s, 5, 100), F.lit("MMM dd HH:mm:ss Z yyyy")),
+        F.try_to_timestamp(F.substring(s, 6, 100), F.lit("d MMM yyyy HH:mm:ss Z")))
+
+
 def account_age_days(created: str | Column, as_of: Column) -> Column:
     """Whole 24-hour periods since account creation; 0 when unknown."""
-    ts = _c(created)
-    ts = F.coalesce(F.try_to_timestamp(ts.cast("string")),
-                    F.try_to_timestamp(F.substring(ts.cast("string"), 5, 100),
-                                       F.lit("MMM dd HH:mm:ss Z yyyy")))
-    return F.coalesce(F.timestamp_diff("DAY", ts, as_of), F.lit(0)).cast("int")
+    return F.coalesce(F.timestamp_diff("DAY", creation_time(created), as_of), F.lit(0)).cast("int")
 
 
 def confidence(score: str | Column) -> Column:

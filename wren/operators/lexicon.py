@@ -21,6 +21,46 @@ DEFAULT_LEXICON = (("the", "0.30"), ("and", "-0.20"), ("le", "0.50"), ("la", "-0
 DEFAULT_TOPIC_WORDS = (("the", "english"), ("and", "english"), ("der", "german"), ("und", "german"),
                        ("le", "french"), ("la", "french"), ("el", "spanish"), ("de", "europe"))
 MAX_TOPICS = 5
+#: Least z-score of a learnt word, added count of the smoothing, topics whose words are good and bad.
+LEAST_Z, SMOOTHING = 3.0, 0.5
+GOOD, BAD = "good", "poor"
+
+
+def learnt_words(posts: DataFrame, topics: str = "topics", key: str = "uniqueid", text: str = "text",
+                 least_z: float = LEAST_Z) -> DataFrame:
+    """``word, topic, z``: how far a word's odds of standing in a text of a topic exceed those elsewhere.
+
+    Counted over all posts with topics (a comma string), each word once per post.
+    For a word and a topic, the log odds ratio of holding the word, with
+    ``SMOOTHING`` added to each of the four counts, is divided by its standard
+    deviation (the root of the sum of their reciprocals), so a rare word needs a
+    clearer difference than a frequent one.  Words from ``least_z`` on are
+    returned.  One shuffle of (word, topic) pairs, summed up in the tasks first:
+    its size follows the vocabulary, not the corpus.  Posts without topics or
+    without text teach nothing.
+    """
+    named = F.array_distinct(F.filter(F.transform(F.split(topics, ","), lambda t: F.trim(t)), lambda t: t != ""))
+    taught = posts.filter(F.col(topics).isNotNull() & F.col(text).isNotNull()).select(
+        F.concat(named, F.array(F.lit(""))).alias("_topics"), F.array_distinct(T.words(text)).alias("_words"))
+    per_set = taught.select("_topics", F.explode("_words").alias("word")).groupBy("word", "_topics").agg(F.count(F.lit(1)).alias("_n"))
+    per_topic = per_set.select("word", F.explode("_topics").alias("topic"), "_n").groupBy("word", "topic").agg(F.sum("_n").alias("_in"))
+    every = per_topic.filter(F.col("topic") == "").select("word", F.col("_in").alias("_all"))
+    held = per_topic.filter(F.col("topic") != "").join(every, "word")
+    size = taught.select(F.explode("_topics").alias("topic")).groupBy("topic").agg(F.count(F.lit(1)).alias("_posts"))
+    total = size.filter(F.col("topic") == "").select(F.col("_posts").alias("_total"))  # one row
+    counted = held.join(size, "topic").crossJoin(F.broadcast(total))
+    a, b = F.col("_in") + SMOOTHING, F.col("_posts") - F.col("_in") + SMOOTHING
+    c = F.col("_all") - F.col("_in") + SMOOTHING
+    d = F.col("_total") - F.col("_posts") - F.col("_all") + F.col("_in") + SMOOTHING
+    z = (F.log(a) - F.log(b) - F.log(c) + F.log(d)) / F.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
+    return counted.select("word", "topic", F.round(z, 6).alias("z")).filter(F.col("z") >= least_z)
+
+
+def learnt_lexicon(words: DataFrame, good: str = GOOD, bad: str = BAD) -> DataFrame:
+    """``word, polarity`` from ``learnt_words``: ``z / (1 + z)`` for words of ``good`` posts, less the same for ``bad`` ones."""
+    told = words.filter(F.col("topic").isin(good, bad)).withColumn(
+        "_p", F.col("z") / (F.col("z") + 1) * F.when(F.col("topic") == good, 1).otherwise(-1))
+    return told.groupBy("word").agg(F.round(F.sum("_p"), 2).cast("decimal(4,2)").alias("polarity"))
 
 
 def lexicon_table(spark: SparkSession, rows=DEFAULT_LEXICON) -> DataFrame:

@@ -14,35 +14,65 @@ from .catalog import register
 from .views_sql import with_views as V
 
 W_SQL = r"'[\p{L}\p{N}_]+'"
-_TOK_CTE = rf"tok AS (SELECT uniqueid, unnest(regexp_extract_all(lower(text), {W_SQL})) AS word FROM posts)"
-_LEX_CTE = "lex AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{w}', {p}::DECIMAL(4,2))" for w, p in LX.DEFAULT_LEXICON) + ") t(word, polarity))"
-_TW_CTE = "tw AS (SELECT * FROM (VALUES " + ", ".join(
-    f"('{w}', '{t}')" for w, t in LX.DEFAULT_TOPIC_WORDS) + ") t(word, topic))"
+TOK_CTE = rf"tok AS (SELECT uniqueid, unnest(regexp_extract_all(lower(text), {W_SQL})) AS word FROM posts)"
+#: The learnt word table (``LX.learnt_words``) over posts, and the lexicon made of it.
+LEARNT_CTES = (r"""taught AS (
+  SELECT uniqueid, list_append(list_distinct(list_filter(list_transform(string_split(topics, ','), lambda t: trim(t, ' ')),
+           lambda t: t <> '')), '') AS ts,
+    list_distinct(regexp_extract_all(lower(text), """ + W_SQL + r""")) AS ws
+  FROM posts WHERE topics IS NOT NULL AND text IS NOT NULL)""",
+               """wt AS (SELECT word, topic, count(*) AS k FROM (SELECT word, unnest(ts) AS topic FROM (
+  SELECT ts, unnest(ws) AS word FROM taught)) GROUP BY word, topic)""",
+               "nt AS (SELECT topic, count(*) AS n FROM (SELECT unnest(ts) AS topic FROM taught) GROUP BY topic)",
+               f"""learnt AS (SELECT word, topic, z FROM (
+  SELECT word, topic, round((ln(a) - ln(b) - ln(c) + ln(d)) / sqrt(1 / a + 1 / b + 1 / c + 1 / d), 6) AS z FROM (
+    SELECT wt.word, wt.topic, wt.k + {LX.SMOOTHING}::DOUBLE AS a, nt.n - wt.k + {LX.SMOOTHING}::DOUBLE AS b,
+      al.k - wt.k + {LX.SMOOTHING}::DOUBLE AS c, tot.n - nt.n - al.k + wt.k + {LX.SMOOTHING}::DOUBLE AS d
+    FROM wt JOIN nt USING (topic) JOIN wt al ON al.word = wt.word AND al.topic = '' CROSS JOIN (SELECT n FROM nt WHERE topic = '') tot
+    WHERE wt.topic <> '')) WHERE z >= {LX.LEAST_Z})""",
+               f"""lex AS (SELECT word, cast(round(sum(CASE WHEN topic = '{LX.GOOD}' THEN z / (z + 1) ELSE -(z / (z + 1)) END), 2)
+  AS decimal(4,2)) AS polarity FROM learnt WHERE topic IN ('{LX.GOOD}', '{LX.BAD}') GROUP BY word)""",
+               "tw AS (SELECT word, topic FROM learnt)")
+
 _SHORT_SQL = r"""(starts_with(text, '@') AND len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) <= 3)"""
 
 
-@register("lexicon_sentiment", "C8 S4", V("""
+#: Age of the author's account in ``FX.with_author_created``, from the numbers that the strings are made of.
+AGE_SQL = """CASE WHEN doc_id % 8 >= 6 THEN 0
+  ELSE (1706659200 - (1262304000 + doc_id % 4000 * 86400 + doc_id * 7919 % 86400)) // 86400 END"""
+
+#: Sentiment and topics of every post that has any, by the learnt tables.
+FELT_CTE = """felt AS (
 SELECT p.uniqueid,
   coalesce(sign(s.tot) * ((abs(s.tot) * 20000 + s.n) // (2 * s.n)) / 1000000.0, 0.0)::DOUBLE + 0.0 AS sentiment,
   coalesce(((s.ab * 20000 + s.n) // (2 * s.n)) / 1000000.0, 0.0)::DOUBLE + 0.0 AS subjectivity
 FROM posts p LEFT JOIN (SELECT uniqueid, sum(cast(polarity * 100 AS BIGINT)) AS tot,
                                sum(abs(cast(polarity * 100 AS BIGINT))) AS ab, count(*) AS n
-                        FROM tok JOIN lex USING (word) GROUP BY uniqueid) s ON p.uniqueid = s.uniqueid""",
-                                            "posts", extra=(_TOK_CTE, _LEX_CTE)))
-def q_lexicon_sentiment(spark, sf):
-    return LX.sentiment(FX.posts(spark, sf), LX.lexicon_table(spark))
-
-
-@register("extract_topics", "S15 C8 S14 B6", V(f"""
+                        FROM tok JOIN lex USING (word) GROUP BY uniqueid) s ON p.uniqueid = s.uniqueid)"""
+NAMED_CTE = f"""named AS (
 SELECT p.uniqueid, CASE WHEN {_SHORT_SQL.replace('text', 'p.text')} THEN 'short reply' ELSE coalesce(r.topics, '') END AS topics
 FROM posts p LEFT JOIN (
   SELECT uniqueid, string_agg(topic, ',' ORDER BY n DESC, topic) AS topics FROM (
     SELECT uniqueid, topic, n, row_number() OVER (PARTITION BY uniqueid ORDER BY n DESC, topic) AS rk FROM (
       SELECT uniqueid, topic, count(*) AS n FROM tok JOIN tw USING (word) GROUP BY 1, 2))
-  WHERE rk <= 5 GROUP BY uniqueid) r ON p.uniqueid = r.uniqueid""", "posts", extra=(_TOK_CTE, _TW_CTE)))
+  WHERE rk <= 5 GROUP BY uniqueid) r ON p.uniqueid = r.uniqueid)"""
+
+
+@register("lexicon_sentiment", "C8 S4", V("SELECT * FROM felt", "posts", extra=(TOK_CTE, *LEARNT_CTES, FELT_CTE)))
+def q_lexicon_sentiment(spark, sf):
+    """Sentiment by the polarity learnt from the labels of the posts."""
+    return LX.sentiment(FX.posts(spark, sf), LX.learnt_lexicon(FX.learnt_words(spark, sf)))
+
+
+@register("learnt_words", "S4 S15 C8", V("SELECT word, topic, z FROM learnt", "posts", extra=LEARNT_CTES))
+def q_learnt_words(spark, sf):
+    return LX.learnt_words(FX.posts(spark, sf))
+
+
+@register("extract_topics", "S15 C8 S14 B6", V("SELECT * FROM named", "posts", extra=(TOK_CTE, *LEARNT_CTES, NAMED_CTE)))
 def q_extract_topics(spark, sf):
-    t = LX.extract_topics(FX.posts(spark, sf), LX.topic_words_table(spark))
+    """Topics by the words learnt from the labels of the posts."""
+    t = LX.extract_topics(FX.posts(spark, sf), FX.learnt_words(spark, sf))
     return t.select("uniqueid", T.topics_to_csv(F.col("topics_list")).alias("topics"))
 
 
@@ -131,15 +161,15 @@ SELECT uniqueid, engagement_score,
                                      ELSE author_followers END), 6) AS popularity_index,
   round(coalesce(author_followers, 0) / (CASE WHEN author_following IS NULL OR author_following = 0 THEN 1
                                                ELSE author_following END), 6) AS follower_following_ratio,
-  coalesce(date_sub('day', created_at, timestamp '2024-01-31 00:00:00'), 0) AS account_age_days,
+  """ + AGE_SQL + """ AS account_age_days,
   round(least(0.95, greatest(0.5, engagement_score / 100)), 6) AS confidence
 FROM sposts""", "sposts"))
 def q_engagement_features(spark, sf):
     from .q_posts import scored
-    p = scored(spark, sf)
+    p = FX.with_author_created(scored(spark, sf))
     return p.select("uniqueid", "engagement_score", rnd(F.col("popularity_index")).alias("popularity_index"),
                     rnd(F.col("follower_following_ratio")).alias("follower_following_ratio"),
-                    E.account_age_days("created_at", FX.as_of_lit()).alias("account_age_days"),
+                    E.account_age_days("author_created", FX.as_of_lit()).alias("account_age_days"),
                     rnd(E.confidence("engagement_score")).alias("confidence"))
 
 

@@ -17,9 +17,13 @@ on the same key, so both joins share one hash partitioning.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import lexicon
+from ..session import scratch_path
 from .tables import Tables
 
 # Fixed value: the moment every "recent" operator is evaluated at.
@@ -150,6 +154,26 @@ def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _posts_and_length(spark, sf_dir).drop("text_chars")
 
 
+def with_author_created(p: DataFrame) -> DataFrame:
+    """Posts with ``author_created``: the author's creation time, written in one of six forms or not at all (by key)."""
+    d = F.col("doc_id")
+    at = F.timestamp_seconds(F.lit(1262304000) + d % 4000 * 86400 + d * 7919 % 86400)
+    shapes = ["yyyy-MM-dd'T'HH:mm:ss'Z'", "yyyy-MM-dd HH:mm:ss", "EEE MMM dd HH:mm:ss Z yyyy", "EEE, dd MMM yyyy HH:mm:ss Z"]
+    text = F.when(d % 8 == 4, F.unix_seconds(at).cast("string")).when(d % 8 == 5, F.unix_millis(at).cast("string")).when(
+        d % 8 == 6, F.lit("unknown"))
+    for k, shape in enumerate(shapes):
+        text = F.when(d % 8 == k, F.date_format(at, shape)).otherwise(text)
+    return p.withColumn("author_created", text)
+
+
+@_memo("learnt_words")
+def learnt_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word table learnt from all labelled posts, stored once per session and folder."""
+    path = scratch_path(spark, f"learnt-words-{uuid.uuid4().hex}")
+    lexicon.learnt_words(posts(spark, sf_dir)).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @_memo("history")
 def history(spark: SparkSession, sf_dir: str, p: DataFrame | None = None) -> DataFrame:
     """Optimization history: one entry per post, 4 iterations per run."""
