@@ -115,11 +115,13 @@ def guarded_corr(x: Column, y: Column) -> Column:
 
 def feature_importance(features: DataFrame, target: str = "engagement_score",
                        cols: tuple[str, ...] = IMPORTANCE_FEATURES) -> DataFrame:
-    """|corr(feature, target)| scaled by the largest; one aggregation pass."""
-    wide = features.agg(*[F.abs(guarded_corr(F.col(c), F.col(target))).alias(c) for c in cols])
-    stack = "stack({n}, {pairs}) AS (feature, corr)".format(
-        n=len(cols), pairs=", ".join(f"'{c}', `{c}`" for c in cols))
-    long = wide.selectExpr(stack)
+    """|corr(feature, target)| scaled by the largest; one aggregation pass.
+
+    The features of a row are evaluated once, into an array that is exploded with
+    the target beside it; the tasks then add up one row of moments per feature."""
+    listed = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    pairs = features.select(F.col(target).cast("double").alias("y"), F.explode(listed).alias("f")).select("y", "f.feature", "f.x")
+    long = pairs.groupBy("feature").agg(F.abs(guarded_corr(F.col("x"), F.col("y"))).alias("corr"))
     mx = long.agg(F.max("corr").alias("mx"))
     return (long.crossJoin(F.broadcast(mx))
             .select("feature",

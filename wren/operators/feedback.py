@@ -6,8 +6,9 @@ a run of three consecutive *inner* word tokens (tokens that do not touch either
 end of the needle, so they must occur as whole tokens, in that order, in any
 matching text); on fewer if it has fewer, and on its rarest run of three
 characters if it has none.  Of its runs the rarest by document frequency is
-taken.  Equal texts stand in the join once, under their least key; each candidate
-is verified with ``contains`` and only the least key per needle is kept.  The
+taken.  Runs are compared as 64-bit hashes, equal texts stand in the join once,
+under their least key; each candidate is verified with ``contains`` and only the
+least key per needle is kept.  The
 blocking drops only pairs that cannot match, so the result equals the nested
 loop, and there is one plan for all sizes.
 
@@ -22,10 +23,13 @@ holds more than ``fanout`` entries.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import scratch_path
 from .aggregates import rnd
 
 NEEDLE_CHARS = 50
@@ -40,58 +44,64 @@ def _inner_tokens(needle: Column) -> Column:
 
 #: Consecutive inner tokens that a needle is blocked on, if it has as many.
 BLOCK_TOKENS = 3
-_SEP = "\u001f"
 
 
-def _runs(tokens: Column, n: int, sep: str = _SEP) -> Column:
-    """The runs of ``n`` consecutive tokens, each joined to one string; the array is walked ``n`` times, not once per run."""
-    many = F.greatest(F.size(tokens) - n + 1, F.lit(0))
-    out = F.slice(tokens, 1, many)
-    for k in range(1, n):
-        out = F.zip_with(out, F.slice(tokens, k + 1, many), lambda a, b: F.concat(a, F.lit(sep), b))
-    return out
+def _run_hashes(kind: str, tokens: Column) -> Column:
+    """64-bit hashes of the runs of ``n`` consecutive tokens for kind ``t<n>`` (``c<n>``: characters), of one walk over
+    the array; the last ``n - 1`` are those of the shorter runs at the end."""
+    n = int(kind[1:])
+    # The outer lambda names the array, so that its expression is evaluated once and not for every element.
+    named = F.transform(F.array(tokens), lambda w: F.transform(w, lambda x, i: F.xxhash64(
+        F.lit(kind), x, *[F.get(w, i + k) for k in range(1, n)])))
+    return F.element_at(named, 1)
 
 
-def _blocks(kind: str, text: Column) -> Column:
-    """All blocking strings of one kind in a text: ``t<n>`` runs of n tokens, ``c<n>`` runs of n characters."""
-    n = int(kind[1:])
-    if kind[0] == "t":
-        return F.array_distinct(_runs(F.regexp_extract_all(text, F.lit(T.WORD), 0), n))
-    return F.array_distinct(_runs(F.split(text, ""), n, ""))
+def _blocks(kinds: list[str], text: Column) -> Column:
+    """All blocking hashes of the given kinds in a text."""
+    words, chars = F.regexp_extract_all(text, F.lit(T.WORD), 0), F.split(text, "")
+    return F.array_distinct(F.concat(*[_run_hashes(k, words if k[0] == "t" else chars) for k in kinds]))
 
 
 def first_containing(needles: DataFrame, docs: DataFrame, needle: str = "needle", doc_key: str = "uniqueid",
                      text: str = "text") -> DataFrame:
     """``(needle, doc_key)``: for each distinct needle the least key of a document whose lower-cased text contains it.
 
-    Null and empty needles match nothing.  Equal texts are matched once, under
-    their least key, and only the minimum per needle leaves the verification.
+    Null and empty needles match nothing.  The texts are read twice.  The first
+    pass hashes their runs, keeps those that some needle asks for, one least key
+    for each run and distinct text, and stores them; how often a run occurs and
+    which texts hold a needle's rarest run are both read from there.  The second
+    pass verifies the candidates, and only the minimum per needle leaves it.
     """
+    spark = docs.sparkSession
     q = needles.select(F.col(needle).alias("_needle")).filter(F.length("_needle") > 0).distinct()
     inner = _inner_tokens(F.col("_needle"))
     few = F.least(F.size(inner), F.lit(BLOCK_TOKENS))
     q = q.withColumn("_kind", F.when(few > 0, F.concat(F.lit("t"), few.cast("string"))).otherwise(
         F.concat(F.lit("c"), F.least(F.length("_needle"), F.lit(3)).cast("string"))))
+    home = scratch_path(spark, f"containment-{uuid.uuid4().hex}")
+    q.write.parquet(f"{home}/needles")
+    q = spark.read.parquet(f"{home}/needles")
     kinds = sorted(r["_kind"] for r in q.select("_kind").distinct().collect())  # six at most: t1-t3, c1-c3
+    if not kinds:
+        return q.select(F.col("_needle").alias(needle), F.lit(None).cast(docs.schema[doc_key].dataType).alias(doc_key)).limit(0)
 
-    keyed = docs.select(F.col(doc_key).alias("_doc"), F.lower(F.col(text)).alias("_text")).filter(F.col("_text").isNotNull())
-    reps = keyed.select("_doc", F.sha2("_text", 256).alias("_same")).groupBy("_same").agg(F.min("_doc").alias("_doc")).select("_doc")
-    texts = keyed.join(reps, "_doc", "left_semi")
+    def own(kind: str) -> Column:
+        """Whole runs only: the shorter ones at the end of a needle's tokens needn't be runs of the text."""
+        tokens = inner if kind[0] == "t" else F.split("_needle", "")
+        return F.array_distinct(F.slice(_run_hashes(kind, tokens), 1, F.size(tokens) - int(kind[1:]) + 1))
 
-    wanted = held = None
+    chosen = F.lit(None).cast("array<bigint>")
     for kind in kinds:
-        mine = q.filter(F.col("_kind") == kind)
-        own = F.explode(F.array_distinct(_runs(inner, int(kind[1:]))) if kind[0] == "t" else _blocks(kind, F.col("_needle")))
-        w = mine.select("_needle", own.alias("_b")).select("_needle", F.concat(F.lit(kind + ":"), F.col("_b")).alias("_block"))
-        d = texts.select("_doc", F.explode(_blocks(kind, F.col("_text"))).alias("_b")).select(
-            "_doc", F.concat(F.lit(kind + ":"), F.col("_b")).alias("_block"))
-        wanted, held = (w, d) if wanted is None else (wanted.unionByName(w), held.unionByName(d))
-    if wanted is None:
-        return q.select(F.col("_needle").alias(needle), F.lit(None).cast(docs.schema[doc_key].dataType).alias(doc_key)).limit(0)
-    held = held.join(wanted.select("_block").distinct(), "_block", "left_semi")
-    times = held.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = wanted.join(times, "_block").groupBy("_needle").agg(F.min_by("_block", F.struct("_n", "_block")).alias("_block"))
-    found = rarest.join(held, "_block").select("_needle", "_doc").join(texts, "_doc").filter(F.col("_text").contains(F.col("_needle")))
+        chosen = F.when(F.col("_kind") == kind, own(kind)).otherwise(chosen)
+    wanted = q.select("_needle", F.explode(chosen).alias("_run"))
+    texts = docs.select(F.col(doc_key).alias("_doc"), F.lower(F.col(text)).alias("_text")).filter(F.col("_text").isNotNull())
+    runs = texts.select("_doc", F.xxhash64("_text").alias("_same"), F.explode(_blocks(kinds, F.col("_text"))).alias("_run"))
+    held = runs.join(wanted.select("_run").distinct(), "_run", "left_semi").groupBy("_run", "_same").agg(F.min("_doc").alias("_doc"))
+    held.write.parquet(f"{home}/held")
+    held = spark.read.parquet(f"{home}/held")
+    times = held.groupBy("_run").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = wanted.join(times, "_run").groupBy("_needle").agg(F.min_by("_run", F.struct("_n", "_run")).alias("_run"))
+    found = rarest.join(held, "_run").select("_needle", "_doc").join(texts, "_doc").filter(F.col("_text").contains(F.col("_needle")))
     return found.groupBy("_needle").agg(F.min("_doc").alias(doc_key)).withColumnRenamed("_needle", needle)
 
 

@@ -71,6 +71,16 @@ def post_text(doc_id: Column, text: Column, source: Column, lang: Column) -> Col
     )
 
 
+def spread(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``docs`` dealt out by key where its scan has fewer splits than there are cores.
+
+    A file with one row group is read by one task, which would then do all text
+    work.  Only the plan of the scan is asked; a table of many splits is left as it is."""
+    if docs.rdd.getNumPartitions() >= docs.sparkSession.sparkContext.defaultParallelism:
+        return docs
+    return docs.repartition(key)
+
+
 _PLANS: dict[tuple, DataFrame] = {}
 
 
@@ -98,7 +108,8 @@ def _posts_and_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)
     n = _doc_key_modulus(t.documents.select("doc_id"))
     d = F.col("doc_id")
-    texts = t.documents.select(
+    documents = spread(t.documents)
+    texts = documents.select(
         d.alias("doc_id"), d.alias("base_id"), post_text(d, F.col("text"), F.col("source"), F.col("lang")).alias("text"),
         "lang", "source", "n_chars")
     # one-row frame: the keys of the replies start where those of the documents end
