@@ -39,8 +39,9 @@ from .bpe import byte_symbols
 from .frames import map_text
 
 #: Words kept in each of the two generations of a task's table, and the greatest length of a kept word.
-WORD_TABLE, WORD_CHARS = 200_000, 64
+WORD_TABLE, WORD_CHARS = 300_000, 64
 #: Characters outside these ranges may be of another class in another Unicode version.
+LATIN = r"[\x00-\u024f]*"
 UNSTABLE = r"[^\x00-\u024f\u2010-\u2027\u4e00-\u9fa5]"
 
 
@@ -109,10 +110,18 @@ def from_json(path: str, pattern: str) -> dict:
     return {"whole": text, "pattern": pattern, "bytes": table, "live": {}}
 
 
-def ascii_pattern(pattern: str) -> str:
-    """``pattern`` for ASCII texts, where letters, digits and white space are plain ranges."""
-    return (pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\t-\r A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
-            .replace(r"\s", r"[\t-\r ]").replace(r"\S", r"[^\t-\r ]"))
+def plain_pattern(pattern: str, points: list[int]) -> str:
+    """``pattern`` with its classes spelled out for texts of the characters ``points`` only."""
+    def ranges(kind: str) -> str:
+        found = [c for c in points if regex.fullmatch(kind, chr(c))]
+        runs = [(a, b) for a, b in zip([c for c in found if c - 1 not in found], [c for c in found if c + 1 not in found])]
+        return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in runs)
+
+    out = re.sub(r"\[[^]]*\]", lambda m: m[0].replace(r"\p{L}", ranges(r"\p{L}")).replace(r"\p{N}", ranges(r"\p{N}"))
+                 .replace(r"\s", ranges(r"\s")), pattern)
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        out = out.replace(kind, f"[{ranges(kind)}]")
+    return out.replace(r"\S", f"[^{ranges(chr(92) + 's')}]")
 
 
 def _live(spec: dict) -> dict:
@@ -129,11 +138,11 @@ def _live(spec: dict) -> dict:
         words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         live.update(
             whole=whole, words=words, table={}, older={}, unstable=re.compile(UNSTABLE).search,
-            find=regex.compile(spec["pattern"]).findall, find_ascii=regex.compile(spec["pattern"]).findall,
-            lengths=np.array([len(t) for t in spec["bytes"]], dtype=np.int64), names=[str(i) for i in range(len(spec["bytes"]))])
-        plain = ascii_pattern(spec["pattern"])
-        if "\\p" not in plain:
-            live["find_ascii"] = re.compile(plain).findall
+            find=regex.compile(spec["pattern"]).findall, latin=re.compile(LATIN).fullmatch,
+            find_ascii=re.compile(plain_pattern(spec["pattern"], list(range(0x80)))).findall,
+            find_latin=re.compile(plain_pattern(spec["pattern"], list(range(0x250)))).findall,
+            lengths=np.array([len(t) for t in spec["bytes"]], dtype=np.int64),
+            names=np.array([b"%d " % i for i in range(len(spec["bytes"]))]))
     return live
 
 
@@ -149,6 +158,8 @@ def encode_texts(spec: dict, texts: list[str]) -> list[np.ndarray]:
     for text in texts:
         if text.isascii():
             cut.append(live["find_ascii"](text))
+        elif live["latin"](text):
+            cut.append(live["find_latin"](text))
         elif live["unstable"](text):
             cut.append(None)
             whole.append(text)
@@ -162,8 +173,11 @@ def encode_texts(spec: dict, texts: list[str]) -> list[np.ndarray]:
     known = {w: older[w] for w in missing & older.keys()}
     table.update(known)
     missing = list(missing - known.keys())
-    for word, coded in zip(missing, live["words"].encode_batch_fast(missing, add_special_tokens=False)):
-        table[word] = np.array(coded.ids, dtype="<u4").tobytes()
+    if missing:  # one call: the words as a text that is cut already
+        coded = live["words"].encode(missing, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(coded.ids, dtype="<u4").tobytes()
+        ends = (4 * np.cumsum(np.bincount(np.array(coded.word_ids, dtype=np.int64), minlength=len(missing)))).tolist()
+        table.update((word, ids[i:j]) for word, i, j in zip(missing, [0, *ends], ends))
     out = [np.array(next(direct).ids, dtype="<u4") if words is None
            else np.frombuffer(b"".join(map(table.__getitem__, words)), dtype="<u4") for words in cut]
     for word in missing:
@@ -250,8 +264,8 @@ def token_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         spec = shared.value
         names, out = _live(spec)["names"], []
         for ids in encode_texts(spec, [t or "" for t in texts]):
-            decimal = " ".join(map(names.__getitem__, ids.tolist()))
-            out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(decimal.encode()).hexdigest(),
+            decimal = names[ids].tobytes().translate(None, b"\0")[:-1]  # fixed width, filled up with zero bytes
+            out.append({"n_tokens": len(ids), "ids_sha256": hashlib.sha256(decimal).hexdigest(),
                         "decoded_sha256": hashlib.sha256(decode_ids(spec, ids)).hexdigest()})
         return out
 
