@@ -59,8 +59,7 @@ def _pieces(spec: dict) -> dict:
         import sentencepiece
 
         live.update(sp=sentencepiece.SentencePieceProcessor(model_proto=spec["model"]),
-                    lengths=np.array([len(t) for t in spec["bytes"]], dtype=np.int64),
-                    names=[str(i) for i in range(len(spec["bytes"]))])
+                    lengths=np.array([len(t) for t in spec["bytes"]], dtype=np.int64))
     return live
 
 
@@ -94,21 +93,39 @@ def align_texts(a_spec: dict, b_spec: dict, texts: list[str | None]) -> list[tup
         if not text:
             out.append(none)
             continue
-        a, b = next(a_coded), np.array(next(b_coded), dtype="<u4")
+        a, b_list = next(a_coded), next(b_coded)
+        b = np.array(b_list, dtype="<u4")
         whole = (" " + text).encode()
-        if byte_level.decode_ids(a_spec, a) != whole or b"".join(map(b_spec["bytes"].__getitem__, b.tolist())) != whole:
+        a_ends, b_ends = np.cumsum(a_live["lengths"][a]), np.cumsum(b_live["lengths"][b])
+        # A byte-level token spells the bytes it stands for, so A can only leave bytes out; B may change characters.
+        if len(a) == 0 or a_ends[-1] != len(whole) or b"".join(map(b_spec["bytes"].__getitem__, b_list)) != whole:
             out.append(none)
             continue
-        cuts = common_cuts(np.cumsum(a_live["lengths"][a]).tolist(), np.cumsum(b_live["lengths"][b]).tolist())
+        cuts = common_cuts(a_ends.tolist(), b_ends.tolist())
         out.append((a, b, *cuts))
     return out
 
 
-def spell_groups(a: list[str], b: list[str], a_cuts: list[int], b_cuts: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3``: the ids of each group."""
-    join = ",".join
-    return ";".join([f"{a[i]}|{b[k]}" if j - i == 1 and m - k == 1 else f"{join(a[i:j])}|{join(b[k:m])}"
-                     for i, j, k, m in zip([0, *a_cuts], a_cuts, [0, *b_cuts], b_cuts)])
+def group_names(a_size: int, b_size: int) -> np.ndarray:
+    """Every id with the mark behind it: ``,`` inside a list, ``|`` and ``;`` behind the last of A's and of B's.
+
+    Of fixed width, filled up with zero bytes.
+    """
+    return np.array([f"{i}{m}".encode() for size, marks in ((a_size, ",|"), (b_size, ",;")) for i in range(size) for m in marks])
+
+
+def spell_groups(names: np.ndarray, a_size: int, a: np.ndarray, b: np.ndarray, a_cuts: np.ndarray, b_cuts: np.ndarray) -> bytes:
+    """``a1,a2|b1;a3|b2,b3``: the ids of each group, from ``group_names`` in their order."""
+    if not len(a_cuts):
+        return b""
+    a_len, b_len = np.diff(a_cuts, prepend=0), np.diff(b_cuts, prepend=0)
+    seq = np.empty(len(a) + len(b), dtype=np.int64)
+    a_at = np.arange(len(a)) + np.repeat(b_cuts - b_len, a_len)  # behind the B ids of the groups before
+    b_at = np.arange(len(b)) + np.repeat(a_cuts, b_len)  # behind the A ids up to the own group
+    seq[a_at], seq[b_at] = a.astype(np.int64) * 2, (b.astype(np.int64) + a_size) * 2
+    seq[a_at[a_cuts - 1]] += 1
+    seq[b_at[b_cuts - 1]] += 1
+    return names[seq].tobytes().translate(None, b"\0")[:-1]
 
 
 def align(docs: DataFrame, a_spec: dict, b_spec: dict, text_col: str = "text") -> DataFrame:
@@ -135,15 +152,17 @@ def _linked(docs: DataFrame, a_spec: dict, b_spec: dict) -> DataFrame:
 
     def run(texts: list) -> list[dict]:
         a_spec, b_spec = a_shared.value, b_shared.value
-        a_name, b_name = byte_level._live(a_spec)["names"].__getitem__, _pieces(b_spec)["names"].__getitem__
-        out = []
+        a_size, live, out = len(a_spec["bytes"]), _pieces(b_spec), []
+        if "group_names" not in live:
+            live["group_names"] = group_names(a_size, len(b_spec["bytes"]))
         for a, b, a_cuts, b_cuts in align_texts(a_spec, b_spec, texts):
-            groups = spell_groups(list(map(a_name, a.tolist())), list(map(b_name, b.tolist())), a_cuts, b_cuts)
-            links = a[np.array(a_cuts, dtype=np.int64) - 1].astype(np.int64) * PAIR + b[np.array(b_cuts, dtype=np.int64) - 1]
+            a_cuts, b_cuts = np.array(a_cuts, dtype=np.int64), np.array(b_cuts, dtype=np.int64)
+            groups = spell_groups(live["group_names"], a_size, a, b, a_cuts, b_cuts)
+            links = a[a_cuts - 1].astype(np.int64) * PAIR + b[b_cuts - 1]
             pairs, times = np.unique(links, return_counts=True)
             out.append({"n_a": len(a), "n_b": len(b), "n_groups": len(a_cuts), "n_links": len(links),
                         "pairs": pairs.astype("<i8").tobytes(), "times": times.astype("<i4").tobytes(),
-                        "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if len(a) else ""})
+                        "groups_sha256": hashlib.sha256(groups).hexdigest() if len(a) else ""})
         return out
 
     added = T.StructType([
