@@ -48,3 +48,18 @@ def test_edge_rows(edge_docs, no_docs):
     assert rows[3]["text"] == "" and rows[10]["n_lines"] == 4 and rows[10]["n_removed"] == 0
     assert rows[6]["n_removed"] == 0 and rows[None]["n_removed"] == 0
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_columns_named_like_those_of_the_joins(spark):
+    """Whatever the caller's other columns are called, they pass through."""
+    from pyspark.sql import functions as F
+
+    passage = "\n".join(f"a line of words that stands in two documents and has number {k} of them all" for k in range(8))
+    docs = spark.createDataFrame([(1, passage), (2, "own line\n" + passage), (3, None)], "doc_id long, text string")
+    extra = ["wanted", "w_id", "w_th", "__th", "g_id", "g_th", "places", "__lines", "__gone", "__result", "first", "in0", "id", "key"]
+    plain = sorted(map(tuple, dedup_lines(docs).collect()))
+    out = dedup_lines(docs.select(*[F.lit(c).alias(c) for c in extra], "doc_id", "text"))
+    assert out.columns == [*extra, "doc_id", "text", "n_lines", "n_removed"]
+    assert sorted(tuple(r)[len(extra):] for r in out.collect()) == plain
+    assert all(tuple(r)[:len(extra)] == tuple(extra) for r in out.collect())
+    assert [r[3] for r in plain] == [0, 8, 0]

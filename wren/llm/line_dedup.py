@@ -80,7 +80,7 @@ def removable_pieces(base: DataFrame, id_col: str, text_col: str) -> DataFrame:
     origins = runs.select("origin.id", "origin.th", F.col("origin.first").alias("first"), "n", "key").dropDuplicates(["key"])
     wanted = origins.groupBy(F.col("id").alias("w_id"), F.col("th").alias("w_th")).agg(
         F.collect_list(F.struct("first", "n", "key")).alias("wanted"))
-    found = base.join(wanted, (F.col(id_col) == F.col("w_id")) & (F.col("__th") == F.col("w_th")))
+    found = base.select(id_col, text_col, "__th").join(wanted, (F.col(id_col) == F.col("w_id")) & (F.col("__th") == F.col("w_th")))
     pieces = found.select(_lines(F.col(text_col)).alias("lines"), F.explode("wanted").alias("w")).select(
         "w.key", F.array_join(F.slice("lines", F.col("w.first") + 1, F.col("w.n")), "\n").alias("piece"))
     return runs.select("id", "th", "first", "n", "key").join(pieces, "key").groupBy(
@@ -95,24 +95,28 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are left as they are.  Columns whose names clash with the counts give way.
     """
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    # The caller's columns go by their place until the end, so that no name of theirs meets one of the joins.
+    held = {c: f"in{k}" for k, c in enumerate(columns)}
+    id_in, text_in = held[id_col], held[text_col]
     # Both joins below shuffle this frame by the same keys, so Spark can shuffle it once.
-    base = docs.select(columns).where(F.col(id_col).isNotNull()).withColumn("__th", F.xxhash64(text_col))
-    places = removable_pieces(base, id_col, text_col)
-    joined = base.alias("d").join(places.alias("g"), (F.col(f"d.{id_col}") == F.col("g.g_id"))
+    base = docs.select(*[F.col(f"`{c}`").alias(held[c]) for c in columns]).where(F.col(id_in).isNotNull()).withColumn(
+        "__th", F.xxhash64(text_in))
+    places = removable_pieces(base, id_in, text_in)
+    joined = base.alias("d").join(places.alias("g"), (F.col(f"d.{id_in}") == F.col("g.g_id"))
                                   & (F.col("d.__th") == F.col("g.g_th")), "left")
     # Each step is one generated column, so that a filter on the result can't pull the work apart and repeat it.
     step = lambda df, c, name: df.select("*", F.explode(F.array(c)).alias(name))
-    joined = step(joined, _lines(F.col(f"d.{text_col}")), "__lines")
+    joined = step(joined, _lines(F.col(f"d.{text_in}")), "__lines")
     # the byte comparison: a place is removed if its lines are those of the first occurrence
     same = F.filter("g.places", lambda p: F.array_join(F.slice("__lines", p["first"] + 1, p["n"]), "\n") == p["piece"])
     joined = step(joined, F.transform(same, lambda p: F.struct(p["first"].alias("first"), p["n"].alias("n"))), "__gone")
     kept = F.filter("__lines", lambda _, i: ~F.exists("__gone", lambda r: (r["first"] <= i) & (i < r["first"] + r["n"])))
-    text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_col}")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__gone").isNull(), F.col(f"d.{text_in}")).otherwise(F.array_join(kept, "\n"))
     n_removed = F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(
         F.aggregate("__gone", F.lit(0).cast("long"), lambda a, r: a + r["n"]))
     joined = step(joined, F.struct(text.alias("text"), n_removed.alias("n_removed")), "__result")
     n_lines = lambda lines: F.when(lines.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines")
-    out = joined.select(*[F.col("__result.text").alias(c) if c == text_col else F.col(f"d.`{c}`") for c in columns],
+    out = joined.select(*[F.col("__result.text").alias(c) if c == text_col else F.col(f"d.{held[c]}").alias(c) for c in columns],
                         n_lines(F.col("__lines")), F.col("__result.n_removed").alias("n_removed"))
     nameless = docs.where(F.col(id_col).isNull()).select(
         *[F.col(f"`{c}`") for c in columns], n_lines(_lines(F.col(text_col))), F.lit(0).cast("long").alias("n_removed"))
