@@ -123,9 +123,16 @@ def with_processed_text(df: DataFrame, text: str = "text", out: str = "processed
     return rm.transform(toks).withColumn(out, F.array_join("_kept", " ")).drop("_tok", "_kept")
 
 
+def fit_topic_one_hot(df: DataFrame, topics_col: str = "topics_list", vocab_size: int = 100):
+    """Encoder over the ``vocab_size`` most frequent topics, ordered by count, then name (ties never depend on partitions)."""
+    from pyspark.ml.feature import CountVectorizerModel
+    counts = df.select(F.explode(topics_col).alias("topic")).filter(F.col("topic").isNotNull()).groupBy("topic").agg(
+        F.count(F.lit(1)).alias("n"))
+    vocabulary = [r["topic"] for r in counts.orderBy(F.desc("n"), "topic").limit(vocab_size).collect()]
+    return CountVectorizerModel.from_vocabulary(vocabulary, inputCol=topics_col, outputCol="topic_vec", binary=True)
+
+
 def topic_one_hot(df: DataFrame, topics_col: str = "topics_list", vocab_size: int = 100):
     """Binary indicator vector over the most frequent topics."""
-    from pyspark.ml.feature import CountVectorizer
-    cv = CountVectorizer(inputCol=topics_col, outputCol="topic_vec", binary=True, vocabSize=vocab_size, minDF=1.0)
-    model = cv.fit(df)
+    model = fit_topic_one_hot(df, topics_col, vocab_size)
     return model.transform(df), model

@@ -79,9 +79,11 @@ def q_extract_topics(spark, sf):
 _STOP_SQL = "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS) + "]"
 
 
-@register("preprocess_text", "S11", V(f"""
-SELECT uniqueid, array_to_string(list_filter(regexp_extract_all(lower(text), {W_SQL}),
-  lambda w: NOT list_contains({_STOP_SQL}, w)), ' ') AS processed_text FROM posts""", "posts"))
+PROCESSED_SQL = f"""array_to_string(list_filter(regexp_extract_all(lower(text), {W_SQL}),
+  lambda w: NOT list_contains({_STOP_SQL}, w)), ' ')"""
+
+
+@register("preprocess_text", "S11", V(f"SELECT uniqueid, {PROCESSED_SQL} AS processed_text FROM posts", "posts"))
 def q_preprocess_text(spark, sf):
     return LX.with_processed_text(FX.posts(spark, sf).select("uniqueid", "text")).select("uniqueid", "processed_text")
 
@@ -189,11 +191,18 @@ def q_prompt_guard(spark, sf):
     return p.select("version", keep.alias("replaced"), F.length(chosen).alias("prompt_length"))
 
 
-@register("topic_one_hot", "C9 S20")
+@register("topic_one_hot", "C9 S20", V("""
+SELECT n.uniqueid, cast(count(v.idx) AS INTEGER) AS n_topics, coalesce(string_agg(v.idx, ',' ORDER BY v.idx), '') AS topic_ids
+FROM named n LEFT JOIN each USING (uniqueid) LEFT JOIN vocabulary v USING (topic) GROUP BY 1""", "posts", extra=(
+    TOK_CTE, *LEARNT_CTES, NAMED_CTE,
+    "each AS (SELECT uniqueid, unnest(string_split(topics, ',')) AS topic FROM named WHERE topics <> '')",
+    "vocabulary AS (SELECT topic, row_number() OVER (ORDER BY count(*) DESC, topic) - 1 AS idx FROM each GROUP BY topic "
+    "ORDER BY idx LIMIT 100)")))
 def q_topic_one_hot(spark, sf):
-    p = FX.posts(spark, sf)
-    t = LX.extract_topics(p, LX.topic_words_table(spark))
-    vec, _ = LX.topic_one_hot(t, "topics_list", 100)
     from pyspark.ml.functions import vector_to_array
-    return vec.select("uniqueid", F.aggregate(vector_to_array("topic_vec"), F.lit(0.0), lambda a, x: a + x)
-                      .cast("int").alias("n_topics"))
+
+    t = LX.extract_topics(FX.posts(spark, sf), FX.learnt_words(spark, sf))
+    vec, _ = LX.topic_one_hot(t, "topics_list", 100)
+    ids = F.filter(F.transform(vector_to_array("topic_vec"), lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull())
+    return vec.select("uniqueid", ids.alias("ids")).select(
+        "uniqueid", F.size("ids").alias("n_topics"), F.array_join("ids", ",").alias("topic_ids"))
