@@ -6,9 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import landing as L
+from ..operators import lexicon as LX
 from ..operators import selection as S
 from ..sources import fixtures as FX
 from .catalog import register
+from .q_text import PROCESSED_SQL
 from .views_sql import with_views as V
 
 _LANDED_SQL = r"""
@@ -159,18 +161,19 @@ def q_upsert_changed_count(spark, sf):
     return changed
 
 
-@register("update_clusters", "A12 S6", V("""
-SELECT p.uniqueid, u.engagement_score, u.cluster FROM posts p LEFT JOIN (
-  SELECT uniqueid, engagement_eda AS engagement_score, doc_id % 5 AS cluster FROM sposts WHERE doc_id % 5 <> 4) u
-  ON p.uniqueid = u.uniqueid""", "posts", "sposts"))
+@register("update_clusters", "A12 S6 S11", V(f"""
+SELECT p.uniqueid, u.processed_text, u.engagement_score, u.cluster FROM posts p LEFT JOIN (
+  SELECT uniqueid, {PROCESSED_SQL} AS processed_text, engagement_eda AS engagement_score, doc_id % 5 AS cluster
+  FROM sposts WHERE doc_id % 5 <> 4) u ON p.uniqueid = u.uniqueid""", "posts", "sposts"))
 def q_update_clusters(spark, sf):
+    """The three columns that the clustering job writes back; every fifth post has no update."""
     from .q_posts import scored
     p = FX.posts(spark, sf)
-    labels = (scored(spark, sf).filter(F.col("doc_id") % 5 != 4)
-              .select("uniqueid", F.col("engagement_eda").alias("engagement_score"),
-                      (F.col("doc_id") % 5).alias("cluster")))
-    snap, _ = L.upsert(p, labels, ["engagement_score", "cluster"])
-    return snap.select("uniqueid", "engagement_score", "cluster")
+    worked = LX.with_processed_text(scored(spark, sf).filter(F.col("doc_id") % 5 != 4))
+    labels = worked.select("uniqueid", "processed_text", F.col("engagement_eda").alias("engagement_score"),
+                           (F.col("doc_id") % 5).alias("cluster"))
+    snap, _ = L.upsert(p, labels, ["processed_text", "engagement_score", "cluster"])
+    return snap.select("uniqueid", "processed_text", "engagement_score", "cluster")
 
 
 # --------------------------------------------------------------------------
