@@ -63,6 +63,58 @@ def test_model_store_roundtrip(spark, tmp_path):
     assert a == b
 
 
+def test_a_run_is_stored_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    """Vectorizer, classifier, regressor, encoder and word tables under one run id predict as before."""
+    from pyspark.ml import PipelineModel
+
+    from wren.operators import lexicon as LX
+    from wren.operators.model_store import ModelStore
+
+    texts = spark.createDataFrame([(k, f"word{k % 3} more words of {k % 7}", k % 2, ["a", "b"][: k % 3]) for k in range(60)],
+                                  "id long, processed_text string, label int, topics_list array<string>")
+    feats, vectorizer = ML.tfidf(texts, max_features=50)
+    classifier = ML.train_classifier(feats, "tfidf", "label", num_trees=5, max_depth=3)
+    data = ML.synthetic_features(spark, 200)
+    regressor = ML.train_regressor(data, "engagement_score", max_iter=3)
+    encoder = LX.fit_topic_one_hot(texts)
+    models = {"vectorizer": vectorizer, "classifier": classifier, "regressor": regressor, "encoder": encoder}
+    store = ModelStore(spark, str(tmp_path / "store"))
+    with pytest.raises(LookupError):
+        store.load()
+    first = store.save(models, {"lexicon": LX.lexicon_table(spark)})
+    run = store.load()
+    assert run.run_id == first and set(run.models) == set(models)
+    predict = lambda vec, cls: cls.transform(vec.transform(texts)).select("id", "prediction", "probability").collect()
+    assert sorted(predict(run.models["vectorizer"], run.models["classifier"])) == sorted(predict(vectorizer, classifier))
+    assert ML.predict(run.models["regressor"], data).select("predicted_engagement").collect() == \
+        ML.predict(regressor, data).select("predicted_engagement").collect()
+    assert run.models["encoder"].transform(texts).collect() == encoder.transform(texts).collect()
+    assert sorted(run.tables["lexicon"].collect()) == sorted(LX.lexicon_table(spark).collect())
+    # a run that breaks before its manifest is never seen, and its id may be used again
+    with pytest.raises(ZeroDivisionError):
+        with monkeypatch.context() as m:
+            m.setattr(ModelStore, "_publish", lambda *a: 1 / 0)
+            store.save({"encoder": encoder}, run_id="second")
+    assert store.runs() == [first] and store.load().run_id == first
+    store.save({"encoder": encoder}, run_id="second")
+    assert store.runs() == [first, "second"] and store.load().run_id == "second" and store.load(first).run_id == first
+    with pytest.raises(ValueError):
+        store.save({"encoder": encoder}, run_id="second")
+    assert isinstance(store.load(first).models["regressor"], PipelineModel)
+
+
+def test_topic_vocabulary_by_count_then_name(spark):
+    from wren.operators import lexicon as LX
+
+    rows = [(1, ["b", "a"]), (2, ["c", "b"]), (3, ["a"]), (4, None), (5, []), (6, ["d"])]
+    df = spark.createDataFrame(rows, "id long, topics_list array<string>")
+    for parts in (1, 3, 6):
+        out, model = LX.topic_one_hot(df.repartition(parts), vocab_size=3)
+        assert model.vocabulary == ["a", "b", "c"]  # c before d by name
+        assert {r["id"]: list(r["topic_vec"].toArray()) for r in out.filter("topics_list IS NOT NULL").collect()} == {
+            1: [1, 1, 0], 2: [0, 1, 1], 3: [1, 0, 0], 5: [0, 0, 0], 6: [0, 0, 0]}
+
+
 def test_classification_report_zero_division(spark):
     df = spark.createDataFrame([(1, 1), (1, 1), (0, 1)], "label int, prediction int")
     rows = {r["label"]: r for r in ML.classification_report(ML.confusion_matrix(df)).collect()}

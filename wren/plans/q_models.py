@@ -8,7 +8,6 @@ do have SQL oracles.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from ..operators.aggregates import cluster_stats, cluster_top_tags, rnd
 from ..operators.enrich import with_tags
 from ..operators.feedback import episode_summary
 from ..operators.landing import upsert, write_results
+from ..operators.model_store import ModelStore
 from ..session import scratch_path
 from ..sources import fixtures as FX
 from .catalog import register
@@ -48,10 +48,22 @@ class EngagementModel:
 
     def fit(self, train: DataFrame, key: str = "uniqueid", label: str = "engagement_score") -> "EngagementModel":
         f = self._features(train.select(key, "text", label), key)
-        self.cv = CountVectorizer(inputCol="topics_list", outputCol="topic_vec", binary=True, vocabSize=100).fit(f)
+        self.cv = LX.fit_topic_one_hot(f)
         self.model = ML.train_regressor(self.cv.transform(f), label, "topic_vec", max_iter=self.max_iter)
         return self
 
+    def save(self, store: ModelStore) -> str:
+        """Encoder, regressor and word tables under one run id."""
+        return store.save({"topic_encoder": self.cv, "regressor": self.model},
+                          {"lexicon": self.lexicon, "topic_words": self.topic_words})
+
+    @classmethod
+    def load(cls, store: ModelStore, run_id: str | None = None) -> "EngagementModel":
+        run, em = store.load(run_id), cls(store.spark)
+        em.cv, em.model = run.models["topic_encoder"], run.models["regressor"]
+        em.lexicon, em.topic_words = run.tables["lexicon"], run.tables["topic_words"]
+        return em
+
     def score(self, df: DataFrame, key: str = "uniqueid") -> DataFrame:
         f = self.cv.transform(self._features(df, key))
         return ML.predict(self.model, f)
@@ -137,11 +149,12 @@ def _classifier(spark, sf):
     feats, pipe = ML.tfidf(p, train=p.filter(ML.split_flag(F.col("uniqueid"))))
     train = feats.filter(ML.split_flag(F.col("uniqueid")))
     test = feats.filter(~ML.split_flag(F.col("uniqueid")))
-    model = ML.train_classifier(train, "tfidf", "label")
-    return model, pipe, model.transform(test)
+    store = ModelStore(spark, scratch_path(spark, "models/classifier"))
+    run = store.load(store.save({"vectorizer": pipe, "classifier": ML.train_classifier(train, "tfidf", "label")}))
+    return run.models["classifier"], run.models["vectorizer"], run.models["classifier"].transform(test)
 
 
-@register("engagement_classifier", "M4 M3 D39 D40")
+@register("engagement_classifier", "M4 M3 M13 D39 D40")
 def q_engagement_classifier(spark, sf):
     _, _, pred = _classifier(spark, sf)
     return ML.classification_report(ML.confusion_matrix(pred, "label", "prediction"))
@@ -157,9 +170,8 @@ def q_classifier_importance(spark, sf):
 @register("engagement_regressor", "M6 M8 M13 C9 S20")
 def q_engagement_regressor(spark, sf):
     p, em = _trained(spark, sf)
-    path = scratch_path(spark, "models/engagement_gbt")
-    ML.save_model(em.model, path)
-    em.model = ML.load_model(path)
+    store = ModelStore(spark, scratch_path(spark, "models/engagement"))
+    em = EngagementModel.load(store, em.save(store))
     test = p.filter(~ML.split_flag(F.col("uniqueid"))).select("uniqueid", "text", "engagement_score")
     return em.score(test).select("uniqueid", "engagement_score", rnd(F.col("predicted_engagement"))
                                  .alias("predicted_engagement"))
