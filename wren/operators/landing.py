@@ -221,7 +221,7 @@ def load_metrics(spark: SparkSession, path: str, multi_line: bool = False) -> Da
 class ProcessingOptions:
     """Job parameters of the feature batch job (defaults as in the reference code)."""
     batch_size: int = 50
-    max_tweets: int = 5000
+    max_tweets: int | None = 5000  # None takes all
     process_topics: bool = True
     skip_short_replies: bool = True
     min_word_count: int = 0
