@@ -96,16 +96,17 @@ def _exact_mean6(total_cents: str, n: str):
 
 
 def extract_topics(posts: DataFrame, topic_words: DataFrame, key: str = "uniqueid", text: str = "text",
-                   k: int = MAX_TOPICS) -> DataFrame:
+                   k: int = MAX_TOPICS, short_replies: bool = True) -> DataFrame:
     """Up to k topics per post, most keyword hits first (ties by name); short
-    replies get the single topic ``short reply`` (S15)."""
-    toks = _tokens(posts.filter(~T.is_short_reply(text)), key, text)
+    replies get the single topic ``short reply`` (S15), or are read like others
+    without ``short_replies``."""
+    toks = _tokens(posts.filter(~T.is_short_reply(text)) if short_replies else posts, key, text)
     hits = toks.join(topic_words, "word").groupBy(key, "topic").agg(F.count(F.lit(1)).alias("n"))
     # one list per post, bounded by the size of the topic table
     ranked = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "topic")))
                                    .alias("_r"))
     top = ranked.select(key, F.slice(F.transform("_r", lambda s: s.getField("topic")), 1, k).alias("topics_list"))
-    base = posts.select(key, T.is_short_reply(text).alias("_short"))
+    base = posts.select(key, (T.is_short_reply(text) if short_replies else F.lit(False)).alias("_short"))
     return (base.join(top, key, "left")
             .select(key, F.when(F.col("_short"), F.array(F.lit(T.SHORT_REPLY_TOPIC)))
                     .otherwise(F.coalesce("topics_list", F.array().cast("array<string>"))).alias("topics_list")))

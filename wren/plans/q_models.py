@@ -15,6 +15,7 @@ from ..operators import lexicon as LX
 from ..operators import ml as ML
 from ..operators import optimize as OPT
 from ..operators.aggregates import cluster_stats, cluster_top_tags, rnd
+from ..operators.appended import optimize_appended
 from ..operators.enrich import with_tags
 from ..operators.feedback import episode_summary
 from ..operators.landing import upsert, write_results
@@ -65,8 +66,10 @@ class EngagementModel:
         return em
 
     def score(self, df: DataFrame, key: str = "uniqueid") -> DataFrame:
-        f = self.cv.transform(self._features(df, key))
-        return ML.predict(self.model, f)
+        return self.predict(self._features(df, key))
+
+    def predict(self, features: DataFrame) -> DataFrame:
+        return ML.predict(self.model, self.cv.transform(features))
 
 
 def _trained(spark, sf, max_iter=100):
@@ -179,14 +182,10 @@ def q_engagement_regressor(spark, sf):
 
 @register("optimize_posts", "M9 M10 M8 S19 S25")
 def q_optimize_posts(spark, sf):
+    """Fixed rewrites scored from the counts of their seeds; every seed is tokenised once."""
     p, em = _trained(spark, sf)
-
-    def scorer(df):
-        keyed = df.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in df.columns if c != "text"]))
-        s = em.score(keyed.select("_k", "text"), key="_k").select("_k", F.col("predicted_engagement").alias("score"))
-        return keyed.join(s, "_k").drop("_k")
-
-    hist = OPT.optimize_posts(p.select("uniqueid", "text"), scorer, n_iterations=3, n_variations=5, epsilon=0.1)
+    hist = optimize_appended(p.select("uniqueid", "text"), em.predict, em.lexicon, em.topic_words, n_iterations=3,
+                             n_variations=5, epsilon=0.1)
     return OPT.optimization_records(hist).select("uniqueid", rnd(F.col("improvement")).alias("improvement"),
                                                  F.md5("optimized_text").alias("optimized_md5"))
 
