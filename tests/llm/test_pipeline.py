@@ -39,7 +39,7 @@ def test_registered_queries():
     import __spark_entry__
 
     numbers = {int(q[2:].split("_")[0]) for q in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(ORACLE_SQL) <= set(QUERIES)
 
