@@ -117,3 +117,27 @@ def test_edge_rows(edge_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 1, 2, 3, 4, 5, 6, 8, 9, 10]
     twice = J.one_of_each_group(edge_docs.where("doc_id = 7"))
     assert twice.count() == 1
+
+
+def test_ids_that_repeat_with_different_texts(spark):
+    """Each text of a repeated id goes by its own group."""
+    word = lambda k, n=40: " ".join(f"t{k}w{j}" for j in range(n))
+    rows = [(3, word(3)), (5, word(3)), (5, word(5)), (5, word(5)), (5, ""), (6, word(6)), (6, word(60)), (7, word(6)),
+            (8, word(60)), (9, word(9)), (9, word(9) + " end"), (None, word(9)), (None, word(77))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS node", "text AS id", "1 AS `of`", "2 AS chosen")
+    left = J.one_of_each_group(docs)
+    assert left.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in left.collect() if r["doc_id"] != 9), key=str)
+    assert got == sorted([(3, word(3)), (5, word(5)), (5, ""), (6, word(6)), (6, word(60)), (None, word(9)), (None, word(77))], key=str)
+    assert sum(r["doc_id"] == 9 for r in left.collect()) == 1  # near copies under one id
+
+
+def test_sets_known_only_without_id_link(spark):
+    """A text without id takes part: it bridges two that are too far apart."""
+    words = [f"w{j}" for j in range(103)]
+    a, b, c = (" ".join(words[k:k + 97]) for k in (0, 3, 6))
+    assert [brute([(1, a), (2, b)], 3, 90, 100)[k][1] for k in (1, 2)] == [1, 1]
+    assert [brute([(1, a), (2, c)], 3, 90, 100)[k][1] for k in (1, 2)] == [1, 2]
+    docs = spark.createDataFrame([(1, a), (None, b), (2, c), (4, "other words here")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in J.similarity_groups(docs).collect()}
+    assert got == {1: 1, None: 1, 2: 1, 4: 4}

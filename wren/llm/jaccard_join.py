@@ -36,7 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .frames import fresh, map_text
 from .graph import components
 
 #: Ratio of the ends of a size band.
@@ -382,18 +384,18 @@ def frequent_shingles(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in top], dtype=np.int64).view(np.uint64))
 
 
-def similarity_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
-                      text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
+def with_nodes(rows: DataFrame, text_col: str, size: int, name: str) -> DataFrame:
+    """``rows`` plus the name of each text's shingle set in column ``name``, null where the set is empty."""
 
-    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer
-    than ``size`` words is one shingle.  Sets link if ``den * common >= num *
-    union``.  ``component_id`` is the least id reachable over links.  Null, empty
-    and wordless texts have empty sets that link with nothing; copies link;
-    null ids take part but never name a component that has another id.  Other
-    columns of ``docs`` play no part.
-    """
-    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    def run(texts: list) -> list[dict]:
+        return [{name: int(set_number(s).view(np.int64)) if len(s) else None} for s in shingle_sets(texts, size, WordHashes())]
+
+    return map_text(rows, text_col, run, T.StructType([T.StructField(name, T.LongType())]))
+
+
+def grouped_sets(read: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """``(id, n, node, root, component_id)`` for each row of ``(id, text)``: set size, set, the set that names its group and
+    the group's least id; an empty set has no node and no root, and its own id."""
     frequent = frequent_shingles(read, size)
     signed = sign_documents(read, size, num, den, frequent)
     rows = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(scan_runs, ROWS)
@@ -407,27 +409,52 @@ def similarity_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int =
     weight = members.groupBy("family").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
     members = members.join(weight, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     texts = read.where("id IS NOT NULL").join(members.where("id IS NOT NULL").drop("n"), "id")
-    links = verify_families(texts, size, num, den)
+    # a set that only rows without id have is found by its name
+    nameless = with_nodes(read.where("id IS NULL").drop("id"), "text", size, "node").join(members.where("id IS NULL").drop("n"), "node")
+    links = verify_families(texts.unionByName(nameless.select(texts.columns)), size, num, den)
 
     roots = components(links)
     named = sets.join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    names = named.join(least, "root").select("node", "component_id")
-    plain = found.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return found.where("n > 0").join(names, "node").select("id", "n", "component_id").unionByName(plain).select(
+    names = named.join(least, "root").select("node", "root", "component_id")
+    none = F.lit(None).cast("long")
+    plain = found.where("n = 0").select("id", "n", none.alias("node"), none.alias("root"), F.col("id").alias("component_id"))
+    return found.where("n > 0").join(names, "node").select("id", "n", "node", "root", "component_id").unionByName(plain)
+
+
+def similarity_groups(docs: DataFrame, size: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id",
+                      text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col, n_shingles, component_id``.
+
+    Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a text with fewer
+    than ``size`` words is one shingle.  Sets link if ``den * common >= num *
+    union``.  ``component_id`` is the least id reachable over links.  Null, empty
+    and wordless texts have empty sets that link with nothing; copies link;
+    null ids take part but never name a component that has another id.  Other
+    columns of ``docs`` play no part.
+    """
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return grouped_sets(read, size, num, den).select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each similarity group: the one whose id names it.
+    """``docs`` with one document of each similarity group: the one of the least id (of those that repeat it, the least set).
 
-    Rows that repeat that id with its text are copies too, and one of them stays.
-    Documents without words link with nothing and all stay, as do rows without id.
+    A row is told apart by id and set: where an id repeats with different texts, each text goes by its own group, and
+    of rows that repeat both one stays.  Documents without words link with nothing and all stay, as do rows without id.
     """
-    groups = similarity_groups(docs.where(F.col(id_col).isNotNull()), size, num, den, id_col, text_col)
-    gone = groups.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("id")).distinct()
-    left = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
-    twice = groups.where("n_shingles > 0").groupBy(F.col(id_col).alias("id")).count().where("count > 1").select("id")
-    again = left.join(twice, left[id_col] == twice["id"], "left_semi").dropDuplicates([id_col])
-    return left.join(twice, left[id_col] == twice["id"], "left_anti").unionByName(again)
+    read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    rows = grouped_sets(read, size, num, den).checkpoint(eager=True)  # numbers only
+    chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
+    twice = rows.groupBy("id").count().where("count > 1").select("id")
+    gone = rows.where("root IS NOT NULL").join(chosen, ["id", "node"], "left_anti").select("id").unionByName(twice).distinct()
+    once = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    # only rows of ids that repeat are looked at text by text
+    node = fresh("node", docs.columns)
+    keys = chosen.select(F.col("id").alias(fresh("of", [*docs.columns, node])), F.col("node").alias(fresh("set", [*docs.columns, node])))
+    again = with_nodes(docs.join(twice, docs[id_col] == twice["id"], "left_semi"), text_col, size, node)
+    texts = again.join(keys, (again[id_col] == keys[0]) & (again[node] == keys[1]), "left_semi").dropDuplicates([id_col, node])
+    wordless = again.where(F.col(node).isNull())
+    return once.unionByName(texts.select(docs.columns)).unionByName(wordless.select(docs.columns))
