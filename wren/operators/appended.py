@@ -47,8 +47,8 @@ def measure(seeds: DataFrame, lexicon: DataFrame, topic_words: DataFrame, key: s
     return done.select(key, "text", F.struct(*[c for c in done.columns if c not in (key, "text")]).alias("counts"))
 
 
-def append(text: Column, counts: Column, suffix: Column) -> tuple[Column, Column]:
-    """Text and counts with ``suffix``, which has no word character, at the end; a null text stays as it is."""
+def append_counts(no_text: Column, counts: Column, suffix: Column) -> Column:
+    """The counts with ``suffix``, which has no word character, at the end; those of a null text stay as they are."""
     c = counts.getField
     joins = ~suffix.rlike(r"^\s") & ~c("spaced")  # the suffix goes on with the last whitespace-separated word
     run_on = suffix.rlike("^[.!?]") & c("ended")
@@ -61,7 +61,12 @@ def append(text: Column, counts: Column, suffix: Column) -> tuple[Column, Column
         "ended": _last(suffix).isin(".", "!", "?"), "spaced": _last(suffix).rlike(r"\s"),
     }.items():
         changed = changed.withField(name, value)
-    return F.concat(text, suffix), F.when(text.isNull() | (suffix == ""), counts).otherwise(changed)
+    return F.when(no_text | (suffix == ""), counts).otherwise(changed)
+
+
+def append(text: Column, counts: Column, suffix: Column) -> tuple[Column, Column]:
+    """Text and counts with ``suffix`` at the end; a null text stays as it is."""
+    return F.concat(text, suffix), append_counts(text.isNull(), counts, suffix)
 
 
 def features(counts: Column) -> dict[str, Column]:
@@ -85,31 +90,50 @@ def optimize_appended(seeds: DataFrame, predict: Predict, lexicon: DataFrame, to
     if any(re.search(r"\w", s) for s in suffixes):
         raise ValueError("a suffix with word characters changes the words of its seed")
     ensure_checkpoint_dir(seeds.sparkSession)
+    texts = seeds.select(key, "text")
+    again = texts.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(key, F.lit(True).alias("again")).checkpoint(eager=True)
+    measured, t = measure(texts, lexicon, topic_words, key), F.col("text")
+    # Rounds carry what was appended, not the texts; only the rows of a key that repeats carry theirs.
+    if again.isEmpty():
+        state = measured.select(key, F.lit(False).alias("again"), F.lit(None).cast("string").alias("own"),
+                                t.isNull().alias("no_text"), "counts")
+        alone = texts
+    else:
+        state = measured.join(again, key, "left").withColumn("again", F.coalesce("again", F.lit(False))).select(
+            key, "again", F.when(F.col("again"), t).alias("own"), t.isNull().alias("no_text"), "counts")
+        alone = texts.join(again, key, "left_anti")
 
     def scored(df: DataFrame) -> DataFrame:
         return predict(df.withColumns(features(F.col("counts")))).withColumnRenamed("predicted_engagement", "score")
 
-    first = scored(measure(seeds.select(key, "text"), lexicon, topic_words, key)).select(
-        key, F.lit(0).alias("iteration"), F.col("text").alias("tweet"), F.col("score").alias("predicted_engagement"),
-        F.array().cast("array<string>").alias("variations"), F.lit(None).cast("int").alias("selected_idx"),
+    first = scored(state).select(
+        key, F.lit(0).alias("iteration"), "again", "own", "no_text", F.lit("").alias("base"), F.lit("").alias("tail"), "score",
+        F.lit(None).cast("array<string>").alias("repeated"), F.lit(None).cast("int").alias("selected_idx"),
         F.lit(False).alias("is_exploration"), "counts")
     rounds = [first.checkpoint(eager=True)]
     for i in range(1, n_iterations + 1):
-        rows = rounds[-1].select(key, F.col("tweet").alias("seed"), F.col("counts").alias("of_seed"),
+        rows = rounds[-1].select(key, "again", "own", "no_text", F.col("tail").alias("base"), F.col("counts").alias("of_seed"),
                                  F.posexplode(F.array(*[F.lit(s) for s in suffixes[:n_variations]])).alias("idx", "suffix"))
-        text, counts = append(F.col("seed"), F.col("of_seed"), F.col("suffix"))
+        tail = F.concat("base", "suffix")
         # a post's candidates: at most ``n_variations`` rows
-        per = scored(rows.select(key, "idx", text.alias("text"), counts.alias("counts"))).groupBy(key).agg(
-            F.sort_array(F.collect_list(F.struct("idx", "text", "score", "counts"))).alias("_c"),
+        fields = ("idx", "text", "score", "counts", "again", "own", "no_text", "base", "tail")
+        per = scored(rows.select(key, "idx", F.concat("own", tail).alias("text"), tail.alias("tail"), "again", "own", "no_text", "base",
+                                 append_counts(F.col("no_text"), F.col("of_seed"), F.col("suffix")).alias("counts"))).groupBy(key).agg(
+            F.sort_array(F.collect_list(F.struct(*fields))).alias("_c"),
             F.max_by("idx", F.struct("score", (-F.col("idx")).alias("ni"))).alias("best_idx"))
         chosen = epsilon_greedy(per, F.col(key), F.lit(i), F.size("_c"), F.col("best_idx"), epsilon)
         pick = F.element_at("_c", F.col("selected_idx") + 1)
         rounds.append(chosen.select(
-            key, F.lit(i).alias("iteration"), pick.getField("text").alias("tweet"),
-            pick.getField("score").alias("predicted_engagement"), F.transform("_c", lambda c: c.getField("text")).alias("variations"),
+            key, F.lit(i).alias("iteration"), *[pick.getField(c).alias(c) for c in ("again", "own", "no_text", "base", "tail", "score")],
+            F.when(pick.getField("again"), F.transform("_c", lambda c: c.getField("text"))).alias("repeated"),
             F.col("selected_idx").cast("int").alias("selected_idx"), "is_exploration",
             pick.getField("counts").alias("counts")).checkpoint(eager=True))
     out = rounds[0]
     for r in rounds[1:]:
         out = out.unionByName(r)
-    return out.drop("counts")
+    whole = F.when(F.col("again"), F.col("own")).otherwise(t)
+    tried = F.array(*[F.concat(t, "base", F.lit(s)) for s in suffixes[:n_variations]])
+    return out.drop("counts").join(alone, key, "left").select(
+        key, "iteration", F.concat(whole, "tail").alias("tweet"), F.col("score").alias("predicted_engagement"),
+        F.when(F.col("iteration") == 0, F.array().cast("array<string>")).when(F.col("again"), F.col("repeated")).otherwise(tried)
+        .alias("variations"), "selected_idx", "is_exploration")
