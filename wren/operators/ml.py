@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer,
-                                StandardScaler, StopWordsRemover, VectorAssembler)
+                                SQLTransformer, StandardScaler, StopWordsRemover, VectorAssembler)
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stopwords import ENGLISH_STOP_WORDS
+from ..session import stored
 from .aggregates import rnd
 from .quantiles import exact_percentiles
 
@@ -30,42 +31,38 @@ NUMERIC_FEATURES = ("text_length", "word_count", "hashtag_count", "mention_count
 
 
 # M1 -------------------------------------------------------------------------
-def fit_tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000) -> PipelineModel:
-    """Uni- and bigrams of 2+ character word tokens without stop words, top
+def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000,
+          train: Column | None = None) -> tuple[DataFrame, PipelineModel]:
+    """``df`` with its ``tfidf`` column and the fitted model; fitted on the rows where ``train`` holds, else on all.
+
+    Uni- and bigrams of 2+ character word tokens without stop words, top
     ``max_features`` terms by corpus frequency, smoothed idf + 1 weighting and
-    L2-normalised rows (the weighting of the reference's vectorizer)."""
+    L2-normalised rows (the weighting of the reference's vectorizer).  The texts
+    are cut into terms twice, for the vocabulary and for the counts of its terms,
+    which are stored; weights and models read these.
+    """
     tok = RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"[\p{L}\p{N}_]{2,}", gaps=False)
     stop = StopWordsRemover(inputCol="_tok", outputCol="_uni", stopWords=list(ENGLISH_STOP_WORDS))
     bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
-    base = Pipeline(stages=[tok, stop, bi]).fit(df)
-    terms = base.transform(df).withColumn("_terms", F.concat("_uni", "_bi"))
-    # The vocabulary is picked by (count, term): CountVectorizer would break ties by the order of partitions.
-    counts = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # max_features rows at most
-    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in top] or [""], inputCol="_terms", outputCol="_tf")
-    tf = cv.transform(terms)
-    idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(tf)
-    # Spark's idf is ln((n+1)/(df+1)); the reference adds 1 to it.
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
-                               scalingVec=DenseVector([w + 1.0 for w in idf.idf.toArray()]))
-    norm = Normalizer(inputCol="_tfidf", outputCol="tfidf", p=2.0)
-    from pyspark.ml.feature import SQLTransformer
     concat = SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _terms FROM __THIS__")
-    return PipelineModel(stages=[*base.stages, concat, cv, scale, norm])
-
-
-def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000,
-          train: DataFrame | None = None) -> tuple[DataFrame, PipelineModel]:
-    """``df`` with its ``tfidf`` column and the fitted model; fitted on ``train`` where given, else on ``df``."""
-    # The vocabulary and idf fits each read the input: keep it for those
-    # passes (spills to disk when large; a lost block is recomputed).
-    cached = (df if train is None else train).persist()
+    chosen = (lambda rows: rows) if train is None else lambda rows: rows.filter(train)
+    cached = df.persist()
     try:
-        model = fit_tfidf(cached, text, max_features)
+        cut = Pipeline(stages=[tok, stop, bi, concat]).fit(cached)
+        # The vocabulary is picked by (count, term): CountVectorizer would break ties by the order of partitions.
+        counts = cut.transform(chosen(cached)).select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+        top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # max_features rows at most
+        cv = CountVectorizerModel.from_vocabulary([r["term"] for r in top] or [""], inputCol="_terms", outputCol="_tf")
+        tf = stored(cv.transform(cut.transform(cached)).drop("_tok", "_uni", "_bi", "_terms"), "term-counts")
     finally:
         cached.unpersist()
-    out = model.transform(df).drop("_tok", "_uni", "_bi", "_terms", "_tf", "_tfidf")
-    return out, model
+    idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(chosen(tf))
+    # Spark's idf is ln((n+1)/(df+1)); the reference adds 1 to it.
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
+                               scalingVec=DenseVector([w + 1.0 for w in idf.idf.toArray()]))
+    norm = Normalizer(inputCol="_tfidf", outputCol="tfidf", p=2.0)
+    out = norm.transform(scale.transform(tf)).drop("_tf", "_tfidf")
+    return out, PipelineModel(stages=[*cut.stages, cv, scale, norm])
 
 
 # M2 -------------------------------------------------------------------------

@@ -20,7 +20,7 @@ from ..operators.enrich import with_tags
 from ..operators.feedback import episode_summary
 from ..operators.landing import upsert, write_results
 from ..operators.model_store import ModelStore
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from ..sources import fixtures as FX
 from .catalog import register
 from .views_sql import with_views as V
@@ -49,6 +49,7 @@ class EngagementModel:
 
     def fit(self, train: DataFrame, key: str = "uniqueid", label: str = "engagement_score") -> "EngagementModel":
         f = self._features(train.select(key, "text", label), key)
+        f = stored(f.select(key, label, *ML.NUMERIC_FEATURES, "topics_list"), "features")  # the fit reads them many times
         self.cv = LX.fit_topic_one_hot(f)
         self.model = ML.train_regressor(self.cv.transform(f), label, "topic_vec", max_iter=self.max_iter)
         return self
@@ -73,14 +74,14 @@ class EngagementModel:
 
 
 def _trained(spark, sf, max_iter=100):
-    p = model_posts(spark, sf)
+    p = stored(model_posts(spark, sf).select("uniqueid", "text", "engagement_score"), "posts")
     train = p.filter(ML.split_flag(F.col("uniqueid")))
     return p, EngagementModel(spark, max_iter).fit(train)
 
 
 @register("tfidf_features", "M1 S11")
 def q_tfidf_features(spark, sf):
-    out, _ = ML.tfidf(model_posts(spark, sf))
+    out, _ = ML.tfidf(model_posts(spark, sf).select("uniqueid", "processed_text"))
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array("tfidf")
     return out.select("uniqueid", F.size(F.filter(arr, lambda x: x != 0)).alias("n_terms"),
@@ -89,7 +90,7 @@ def q_tfidf_features(spark, sf):
 
 @register("cluster_posts", "M2 M1")
 def q_cluster_posts(spark, sf):
-    feats, _ = ML.tfidf(model_posts(spark, sf))
+    feats, _ = ML.tfidf(model_posts(spark, sf).select("uniqueid", "processed_text"))
     clustered, _ = ML.cluster_posts(feats, 5)
     return clustered.select("uniqueid", "cluster")
 
@@ -147,9 +148,9 @@ def q_classification_report(spark, sf):
 
 
 def _classifier(spark, sf):
-    p = ML.median_label(model_posts(spark, sf), "engagement_eda")
+    p = ML.median_label(model_posts(spark, sf), "engagement_eda").select("uniqueid", "processed_text", "label")
     # vocabulary and weights come from the training part alone
-    feats, pipe = ML.tfidf(p, train=p.filter(ML.split_flag(F.col("uniqueid"))))
+    feats, pipe = ML.tfidf(p, train=ML.split_flag(F.col("uniqueid")))
     train = feats.filter(ML.split_flag(F.col("uniqueid")))
     test = feats.filter(~ML.split_flag(F.col("uniqueid")))
     store = ModelStore(spark, scratch_path(spark, "models/classifier"))
@@ -206,7 +207,7 @@ def q_simulate_training(spark, sf):
 @register("cluster_pipeline", "M15 A12 A13 D23 D24 S6 S11 S12")
 def q_cluster_pipeline(spark, sf):
     p = with_tags(model_posts(spark, sf))
-    feats, _ = ML.tfidf(p)
+    feats, _ = ML.tfidf(p.drop("text"))
     clustered, _ = ML.cluster_posts(feats, 5)
     labels = clustered.select("uniqueid", "processed_text", F.col("engagement_eda").alias("engagement_score"),
                               "cluster").checkpoint(eager=True)
