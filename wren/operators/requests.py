@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
-from ..session import scratch_path
+from ..session import scratch_path, stored
 from .aggregates import rnd
 from .windows import running_sum, top_n_per_group
 
@@ -60,18 +60,33 @@ def result_key(kind: Column, text: Column, iterations: Column, variations: Colum
 
 
 # C6
-def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int, score_fn) -> DataFrame:
+def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int, score_fn, row: str | None = None) -> DataFrame:
     """Serve fresh cached results, compute the misses once per distinct key.
 
     ``keys(key, text)``; ``scored(key, result, scored_at)``.  Returns one row per
     distinct key with ``hit`` and ``result``.  Keys hold whole texts, so they are
     grouped and joined by their digest; the expensive scoring runs only where
     the one left join found nothing.
+
+    With ``row``, a column that numbers the rows of ``keys``, keys should be digests
+    themselves: one row of each key stands for it, and only the rows of the keys
+    that were not found are read again with their texts, which no shuffle carries.
     """
     digest = F.md5("key")
     fresh = scored.filter(F.col("scored_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_s)))
     fresh = fresh.select(digest.alias("_id"), "result", "scored_at").groupBy("_id").agg(
         F.max_by("result", "scored_at").alias("_found"), F.lit(True).alias("_hit"))
+    if row:
+        ranked = keys.select("key", row, F.xxhash64("text").alias("_h"))
+        first = ranked.groupBy("key").agg(F.min_by(row, F.struct("_h", row)).alias("_row"))
+        joined = first.withColumn("_id", digest).join(fresh, "_id", "left").withColumn("hit", F.coalesce("_hit", F.lit(False)))
+        joined = stored(joined.select("key", "_row", "hit", F.col("_found").alias("result")), "reused")
+        missed = joined.filter(~F.col("hit"))
+        again = keys.join(missed.select("_row").distinct(), F.col(row).eqNullSafe(F.col("_row")), "left_semi").select(
+            "key", F.xxhash64("text").alias("_h"), score_fn(F.col("text")).alias("result"))
+        again = top_n_per_group(again.join(missed.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi"),
+                                ["key"], [F.asc("_h")], 1)
+        return joined.filter("hit").select("key", "hit", "result").unionByName(again.select("key", F.lit(False).alias("hit"), "result"))
     distinct = top_n_per_group(keys.select(digest.alias("_id"), "key", "text"), ["_id"], [F.asc(F.xxhash64("text"))], 1)
     joined = distinct.join(fresh, "_id", "left")
     hit = F.coalesce(F.col("_hit"), F.lit(False))

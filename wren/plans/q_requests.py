@@ -66,13 +66,18 @@ LEFT JOIN (SELECT key, arg_max(result, scored_at) AS result FROM scored
 
 def _served(keys, scored):
     return RQ.reuse_scored(keys, scored, FX.as_of_lit(), RQ.PREDICT_TTL_S,
-                           lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"))
+                           lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"), "request_id")
+
+
+def _digests(spark, sf):
+    """Requests under the digests of their keys, which hold whole texts."""
+    return _keys(spark, sf).withColumn("key", F.md5("key"))
 
 
 @register("reuse_scored", "C6 S22 S16", V(_SERVED_SQL, "requests", extra=(_SCORED_CTE,)))
 def q_reuse_scored(spark, sf):
-    keys = _keys(spark, sf)
-    return _served(keys, _scored_table(keys)).select(F.md5("key").alias("key_md5"), "hit", "result")
+    keys = _digests(spark, sf)
+    return _served(keys, _scored_table(keys)).select(F.col("key").alias("key_md5"), "hit", "result")
 
 
 @register("store_scored", "C6", V(f"""
@@ -81,10 +86,10 @@ UNION ALL SELECT key_md5, result, timestamp '2024-01-31 00:00:00' FROM ({_SERVED
                                   "requests", extra=(_SCORED_CTE,)))
 def q_store_scored(spark, sf):
     """The result cache after the run."""
-    keys = _keys(spark, sf)
+    keys = _digests(spark, sf)
     scored = _scored_table(keys)
     return RQ.store_scored(scored, _served(keys, scored), FX.as_of_lit()).select(
-        F.md5("key").alias("key_md5"), "result", "scored_at")
+        F.col("key").alias("key_md5"), "result", "scored_at")
 
 
 @register("purge_scored", "C7", V("""
