@@ -108,10 +108,13 @@ def top_posts_recent(posts: DataFrame, as_of: Column, days: int = 7, k: int = 10
 
 # B9
 def training_rows(posts: DataFrame, limit: int = 1000) -> DataFrame:
-    return (posts.filter(F.col("engagement_score").isNotNull())
-            .orderBy(F.desc_nulls_last("created_at"), "uniqueid")
-            .select("uniqueid", "text", "engagement_score", "topics", "created_at")
-            .limit(limit))
+    """The ``limit`` newest posts with a score.  The order is found without the texts; only rows of the chosen keys
+    carry theirs to the last step."""
+    rows = posts.filter(F.col("engagement_score").isNotNull())
+    order = [F.desc_nulls_last("created_at"), F.col("uniqueid")]
+    chosen = rows.select("uniqueid", "created_at").orderBy(*order).limit(limit).select(F.col("uniqueid").alias("_chosen")).distinct()
+    return (rows.select("uniqueid", "text", "engagement_score", "topics", "created_at")
+            .join(chosen, F.col("uniqueid").eqNullSafe(F.col("_chosen")), "left_semi").orderBy(*order).limit(limit))
 
 
 # B10
