@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import hooks as H
 from ..operators import selection as S
 from ..operators.landing import ProcessingOptions
+from ..session import stored
 from .jobs import feature_columns
 
 #: Columns of the engagement step.
@@ -34,6 +35,7 @@ def feature_job(posts: DataFrame, options: ProcessingOptions, lexicon: DataFrame
         todo = todo.filter(F.size(T.whitespace_words("text")) >= options.min_word_count)
     if options.max_tweets is not None:
         todo = todo.orderBy("uniqueid").limit(options.max_tweets)
+    todo = stored(todo, "todo")  # every step reads the texts
     by_words = options.process_topics and topic_service is None
     done = feature_columns(todo, lexicon, topic_words if by_words else topic_words.limit(0), as_of, options.skip_short_replies)
     if options.process_topics and topic_service is not None:
