@@ -6,13 +6,13 @@ name, telephone and identity numbers);
 boosted trees judge each by its format and its context, and a threshold that is
 calibrated on held-out candidates selects the ones that are added.
 
-The trees are fitted by Spark ML on the candidates of a bounded sample of
-documents.  Nobody labels spans, so the sample labels itself: validated matches
+The trees are fitted by Spark ML on the candidates of all documents.  Nobody
+labels spans, so they label themselves: validated matches
 and values that a secret's name introduces are positive, rejected matches and
 ordinary long words negative.  Half of the examples lose their context features, so
 that the format alone is learned as well.  The fitted trees are a few hundred
-numbers; they travel to the tasks, and the whole table is read once, without a
-shuffle.
+numbers; they travel to the tasks.  The table is read twice, for the fit and for
+the spans, and only different examples are shuffled.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ from .frames import map_text
 KINDS = ("email", "ip", "card", "phone", "secret", "identity")
 BASE_KINDS = KINDS[:4]
 
-#: The sample of documents that the trees are fitted on, and the settings of the fit.
-SAMPLE_DOCS, TREES, DEPTH = 20_000, 20, 4
+#: Settings of the fit, and examples that a task of it holds.
+TREES, DEPTH, PART_EXAMPLES = 20, 4, 50_000
 #: Held-out precision that a threshold must reach, the least threshold, and examples of each class below which nothing is fitted.
 PRECISION, LEAST_THRESHOLD, MIN_EXAMPLES = 0.98, 0.5, 20
 
@@ -191,15 +191,12 @@ def _tree_table(node, out: list) -> int:
 
 
 def fit_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    """Trees fitted on the self-labelled candidates of ``SAMPLE_DOCS`` documents, or None if they show too few of a class.
+    """Trees fitted on the self-labelled candidates of all documents, or None if they show too few of a class.
 
-    The documents are those whose ids hash lowest.  A fifth of the candidates is
-    held out; the threshold is the least at which the precision there reaches
+    Equal examples count once.  A fifth of the candidates is held out; the threshold is the least at which the precision there reaches
     ``PRECISION``.
     """
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    ids = read.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS).distinct()
-    sample = read.join(F.broadcast(ids), "id", "left_semi")  # SAMPLE_DOCS rows at most
 
     def run(texts: list) -> list[dict]:
         out = []
@@ -212,7 +209,7 @@ def fit_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     schema = T.StructType([T.StructField("found", T.ArrayType(T.StructType([
         T.StructField("label", T.DoubleType()), T.StructField("part", T.IntegerType()),
         T.StructField("f", T.ArrayType(T.DoubleType()))])))])
-    rows = map_text(sample, "text", run, schema).select(F.explode("found").alias("c")).select("c.*").distinct()
+    rows = map_text(read, "text", run, schema).select(F.explode("found").alias("c")).select("c.*").distinct()
     rows = rows.withColumn("features", array_to_vector("f")).persist()
     try:
         fit, held = rows.where("part > 0"), rows.where("part = 0")
@@ -220,7 +217,7 @@ def fit_trees(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if min(counts.get(0.0, 0), counts.get(1.0, 0)) < MIN_EXAMPLES:
             return None
         model = GBTClassifier(featuresCol="features", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=7,
-                              maxBins=32).fit(fit.repartition(2))
+                              maxBins=32).fit(fit.repartition(max(2, -(-int(sum(counts.values())) // PART_EXAMPLES))))
         tables = []
         for tree in model.trees:
             tables.append([])
