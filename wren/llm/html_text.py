@@ -23,6 +23,7 @@ import json
 import re
 import struct
 import zlib
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -64,10 +65,12 @@ entrycontent entrybody story storybody storycontent pagecontent textcontent body
 TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^<>"']*+(?:(?:"[^"<]*+"|'[^'<]*+')[^<>"']*+)*+)>""")
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+RAW_END = {tag: re.compile("</" + tag, re.IGNORECASE | re.ASCII) for tag in RAW}
 
 
+@lru_cache(maxsize=8192)
 def _role(tag: str, attributes: str, in_article: bool) -> int | None:
-    """What an element is to the article; None if it says nothing."""
+    """What an element is to the article; None if it says nothing.  Pages of a site repeat their tags, so answers are kept."""
     found = None
     if tag in AROUND_TAGS or tag == "header" and not in_article:
         return AROUND
@@ -136,7 +139,6 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         links -= tag == "a"
 
     at, n = 0, len(page)
-    lower = None
     closes = True  # whether a '>' is still ahead
     while at < n:
         lt = page.find("<", at)
@@ -178,9 +180,8 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag in RAW:
             if not attributes.endswith("/"):
-                lower = lower if lower is not None else page.lower() if page.isascii() else page.translate(ASCII_LOWER)
-                end = lower.find("</" + tag, at)
-                gt = page.find(">", end) if end >= 0 else -1
+                end = RAW_END[tag].search(page, at)
+                gt = page.find(">", end.start()) if end else -1
                 at = n if gt < 0 else gt + 1
             continue
         if tag == "br":
@@ -209,9 +210,6 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return out
 
 
-ASCII_LOWER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
 def covered_shares(pages: list[list[str]], run: int = RUN) -> list[np.ndarray]:
     """For each page the share of each of its blocks that lies in token runs found on other pages too.
 
@@ -369,7 +367,7 @@ PACKED = T.StructType([T.StructField("packed", T.BinaryType())])
 
 
 def pack(blocks: list[tuple[int, str]]) -> bytes:
-    return zlib.compress(json.dumps(blocks, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
+    return zlib.compress(json.dumps(blocks, ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 3)
 
 
 def unpack(packed: bytes) -> list[tuple[int, str]]:
