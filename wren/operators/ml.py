@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.stopwords import ENGLISH_STOP_WORDS
-from ..session import stored
+from ..session import ensure_checkpoint_dir
 from .aggregates import rnd
 from .quantiles import exact_percentiles
 
@@ -46,16 +46,14 @@ def tfidf(df: DataFrame, text: str = "processed_text", max_features: int = 1000,
     bi = NGram(n=2, inputCol="_uni", outputCol="_bi")
     concat = SQLTransformer(statement="SELECT *, concat(_uni, _bi) AS _terms FROM __THIS__")
     chosen = (lambda rows: rows) if train is None else lambda rows: rows.filter(train)
-    cached = df.persist()
-    try:
-        cut = Pipeline(stages=[tok, stop, bi, concat]).fit(cached)
-        # The vocabulary is picked by (count, term): CountVectorizer would break ties by the order of partitions.
-        counts = cut.transform(chosen(cached)).select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # max_features rows at most
-        cv = CountVectorizerModel.from_vocabulary([r["term"] for r in top] or [""], inputCol="_terms", outputCol="_tf")
-        tf = stored(cv.transform(cut.transform(cached)).drop("_tok", "_uni", "_bi", "_terms"), "term-counts")
-    finally:
-        cached.unpersist()
+    cut = Pipeline(stages=[tok, stop, bi, concat]).fit(df)
+    # The vocabulary is picked by (count, term): CountVectorizer would break ties by the order of partitions.
+    counts = cut.transform(chosen(df)).select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.orderBy(F.desc("n"), "term").limit(max_features).collect()  # max_features rows at most
+    cv = CountVectorizerModel.from_vocabulary([r["term"] for r in top] or [""], inputCol="_terms", outputCol="_tf")
+    # A checkpoint keeps partitions and their order, on which the seeded draws of clusters and trees depend.
+    ensure_checkpoint_dir(df.sparkSession)
+    tf = cv.transform(cut.transform(df)).drop("_tok", "_uni", "_bi", "_terms").checkpoint(eager=True)
     idf = IDF(inputCol="_tf", outputCol="_idf_unused").fit(chosen(tf))
     # Spark's idf is ln((n+1)/(df+1)); the reference adds 1 to it.
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf",
