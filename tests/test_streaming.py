@@ -139,3 +139,16 @@ def test_stream_features_resume_from_checkpoint(spark):
     exp = J.feature_columns(p.filter(S.needs_work_predicate() & S.not_finished()), *_tables(spark), FX.as_of_lit())
     assert 0 < n1 < got.count()
     assert sorted(got.collect(), key=str) == sorted(exp.collect(), key=str)
+
+
+def test_slices_have_equal_numbers_of_files(spark, monkeypatch):
+    """A slice of many bytes is several files, a small one (and that of null times) has as many, and no row is lost or late."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(f"k{i}", "x" * 200, t0 + timedelta(days=i // 40)) for i in range(400)] + [("none", "x", None)]
+    df = spark.createDataFrame(rows, "uniqueid string, text string, created_at timestamp")
+    monkeypatch.setattr(J, "FILE_BYTES", 8_000)
+    twice = df.unionByName(df)
+    path = J.stage_files(twice, J.run_folder(spark, "test-src"), "created_at", 4)
+    assert path.files_per_slice > 1 and J._files_in(spark, path) == path.files_per_slice * 5
+    got = J.stream_dedup(spark, path, df.schema, delay="1 day")
+    assert sorted(r[0] for r in got.select("uniqueid").collect()) == sorted(r[0] for r in rows)
