@@ -109,3 +109,10 @@ def test_a_host_in_many_parts_against_brute_force(spark, monkeypatch):
     for size in (10**6, 2000, 300):
         monkeypatch.setattr("wren.llm.html_text.GROUP_BYTES", size)
         assert {r["page_id"]: (r["text"], r["n_shared"]) for r in extract_text(table).collect()} == want
+
+
+def test_ends_of_raw_elements_in_any_case():
+    from wren.llm.html_text import blocks_of
+
+    page = "<body><SCRIPT>a</scRIPT ><p>é one</p><style>K</STYLE><p>two</p><title>x</TITLE><p>three</p><script>no end"
+    assert [t for _, t in blocks_of(page)] == ["é one", "two", "three"]

@@ -132,3 +132,10 @@ def test_edge_rows(spark, edge_docs, no_docs):
     assert {r["doc_id"]: r["clean"] for r in rows}[2] is None
     one = spark.createDataFrame([(1, "😀 a@b.co 4111-1111-1111-1111")], "doc_id long, text string")
     assert find_personal_data(one, None).first()["spans"] == "email:2:8,card:9:28"
+
+
+def test_trees_are_fitted_on_all_documents(spark, corpus, monkeypatch):
+    from wren.llm import personal_data as P
+
+    monkeypatch.setattr(P, "SAMPLE_DOCS", 1, raising=False)
+    assert fit_trees(spark.createDataFrame(corpus[:600], "doc_id long, text string")) is not None

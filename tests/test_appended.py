@@ -56,3 +56,15 @@ def test_rounds_equal_those_that_tokenise_every_candidate(spark, seeds):
     assert AP.optimize_appended(seeds.limit(0), predict, LX.lexicon_table(spark), LX.topic_words_table(spark), 1).count() == 0
     with pytest.raises(ValueError):
         AP.optimize_appended(some, predict, LX.lexicon_table(spark), LX.topic_words_table(spark), suffixes=(" now",))
+
+
+def test_rounds_carry_no_texts(spark, seeds, monkeypatch):
+    predict = lambda df: df.withColumn("predicted_engagement", F.col("text_length") * 1.0)
+    stored, kind = [], type(seeds)
+    real = kind.checkpoint
+    monkeypatch.setattr(kind, "checkpoint", lambda self, *a, **k: stored.append(self.columns) or real(self, *a, **k))
+    some = seeds.filter("uniqueid IN ('p2', 'p3', 'p12')")
+    got = AP.optimize_appended(some, predict, LX.lexicon_table(spark), LX.topic_words_table(spark), 1)
+    assert stored and not any({"text", "tweet", "variations"} & set(c) for c in stored)
+    assert {(r["uniqueid"], r["tweet"]) for r in got.filter("iteration = 1").collect()} == {
+        ("p2", "hi \U0001F680"), ("p3", "hi! \U0001F680"), ("p12", None)}

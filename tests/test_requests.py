@@ -110,3 +110,15 @@ def test_admission_window_longer_than_a_range(spark):
         got = {r["request_id"]: r["accepted"] for r in RQ.admission(df, limit, 300, partitions=10).collect()}
         assert got == loop_admission([(r, c, t.timestamp()) for r, c, t in rows], limit, 300)
     assert RQ.admission(df.limit(0)).collect() == []
+
+
+def test_reuse_scored_by_row_numbers(spark):
+    """With row numbers the texts of found keys aren't read again; repeated and null numbers and keys change nothing."""
+    from pyspark.sql import functions as F
+    rows = [("a", "x", 1), ("a", "x", 1), ("b", "y", 2), ("c", "z", 2), ("d", "w", None), (None, "v", 3)]
+    keys = spark.createDataFrame(rows, "key string, text string, n long")
+    scored = spark.createDataFrame([("a", "old", datetime(2024, 1, 30, 23, 30)), ("b", "stale", datetime(2024, 1, 30, 20))],
+                                   "key string, result string, scored_at timestamp")
+    run = lambda *more: sorted(map(repr, RQ.reuse_scored(
+        keys, scored, F.lit("2024-01-31 00:00:00").cast("timestamp"), 3600, lambda t: F.upper(t), *more).collect()))
+    assert run("n") == run()
