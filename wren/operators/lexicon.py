@@ -41,8 +41,10 @@ def learnt_words(posts: DataFrame, topics: str = "topics", key: str = "uniqueid"
     """
     named = F.array_distinct(F.filter(F.transform(F.split(topics, ","), lambda t: F.trim(t)), lambda t: t != ""))
     taught = posts.filter(F.col(topics).isNotNull() & F.col(text).isNotNull()).select(
-        F.concat(named, F.array(F.lit(""))).alias("_topics"), F.array_distinct(T.words(text)).alias("_words"))
-    per_set = taught.select("_topics", F.explode("_words").alias("word")).groupBy("word", "_topics").agg(F.count(F.lit(1)).alias("_n"))
+        F.concat(named, F.array(F.lit(""))).alias("_topics"), F.col(text).alias("_text"))
+    # the words are cut inside explode: a column of them is cut again for each filter that Spark derives from its explode
+    words = F.explode(F.array_distinct(T.words("_text"))).alias("word")
+    per_set = taught.select("_topics", words).groupBy("word", "_topics").agg(F.count(F.lit(1)).alias("_n"))
     per_topic = per_set.select("word", F.explode("_topics").alias("topic"), "_n").groupBy("word", "topic").agg(F.sum("_n").alias("_in"))
     every = per_topic.filter(F.col("topic") == "").select("word", F.col("_in").alias("_all"))
     held = per_topic.filter(F.col("topic") != "").join(every, "word")

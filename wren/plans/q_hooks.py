@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import hooks as H
-from ..operators import lexicon as LX
 from ..operators.landing import ProcessingOptions
 from ..sources import fixtures as FX
 from ..streaming.feature_job import feature_job
@@ -63,6 +62,6 @@ WHERE n_words >= 3 AND (processed IS NULL OR processed = '' OR text_length IS NU
 def q_feature_job(spark, sf):
     words = FX.learnt_words(spark, sf)
     p = FX.posts(spark, sf)
-    done = feature_job(p, ProcessingOptions.from_json(JOB_OPTIONS), LX.learnt_lexicon(words), words, tag_topics)
+    done = feature_job(p, ProcessingOptions.from_json(JOB_OPTIONS), FX.learnt_lexicon(spark, sf), words, tag_topics)
     counted = p.select("uniqueid", F.size(T.whitespace_words("text")).cast("long").alias("n_words"))
     return done.join(counted, "uniqueid").select("uniqueid", "n_words", "topics", "processed")

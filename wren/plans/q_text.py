@@ -61,7 +61,7 @@ FROM posts p LEFT JOIN (
 @register("lexicon_sentiment", "C8 S4", V("SELECT * FROM felt", "posts", extra=(TOK_CTE, *LEARNT_CTES, FELT_CTE)))
 def q_lexicon_sentiment(spark, sf):
     """Sentiment by the polarity learnt from the labels of the posts."""
-    return LX.sentiment(FX.posts(spark, sf), LX.learnt_lexicon(FX.learnt_words(spark, sf)))
+    return LX.sentiment(FX.posts(spark, sf), FX.learnt_lexicon(spark, sf))
 
 
 @register("learnt_words", "S4 S15 C8", V("SELECT word, topic, z FROM learnt", "posts", extra=LEARNT_CTES))
