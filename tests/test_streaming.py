@@ -152,3 +152,17 @@ def test_slices_have_equal_numbers_of_files(spark, monkeypatch):
     assert path.files_per_slice > 1 and J._files_in(spark, path) == path.files_per_slice * 5
     got = J.stream_dedup(spark, path, df.schema, delay="1 day")
     assert sorted(r[0] for r in got.select("uniqueid").collect()) == sorted(r[0] for r in rows)
+
+
+def test_files_are_bounded_where_times_are_missing_or_equal(spark, monkeypatch):
+    """The largest slice sets the number of files: without times, or with one time for most rows, no file grows with them."""
+    t0 = datetime(2024, 1, 1)
+    monkeypatch.setattr(J, "FILE_BYTES", 8_000)
+    for most in (None, t0 + timedelta(days=3)):
+        rows = [(f"k{i}", "x" * 200, t0 + timedelta(days=i // 10) if i < 40 else most) for i in range(400)]
+        df = spark.createDataFrame(rows, "uniqueid string, text string, created_at timestamp")
+        path = J.stage_files(df, J.run_folder(spark, "test-src"), "created_at", 4)
+        held = spark.read.parquet(path).groupBy(F.input_file_name()).agg(F.sum(F.length("text")).alias("b")).collect()
+        assert max(r["b"] for r in held) <= 10_000
+        assert sorted(r[0] for r in spark.read.parquet(path).select("uniqueid").collect()) == sorted(r[0] for r in rows)
+        assert J._files_in(spark, path) % path.files_per_slice == 0
