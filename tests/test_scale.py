@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wren.operators import containment as C
 from wren.operators import feedback as FB
 from wren.session import shuffles_dropped, stored
@@ -119,3 +120,15 @@ def test_feedback_match_reads_held_posts_in_place(spark, tables):
     history = FX.history(spark, tables, posts)
     assert _rows(FB.feedback_match(history, posts, held=True)) == _rows(FB.feedback_match(history, FX.posts(spark, tables)))
     assert "eligible-" not in "".join(FB.store_eligible(posts, held=True).inputFiles())
+
+
+@pytest.mark.parametrize("name", ["stream_feedback"])
+def test_stream_feedback_stages_without_a_persisted_copy(spark, tables, monkeypatch, name):
+    kept, kind = [], type(spark.range(1))
+    real = kind.persist
+    monkeypatch.setattr(kind, "persist", lambda self, *a: kept.append(self.columns) or real(self, *a))
+    got = {r["seq"]: r["uniqueid"] for r in entry.queries()[name](spark, tables).collect()}
+    assert not any("tweet" in c for c in kept)
+    posts = FX.posts(spark, tables)
+    want = {r["seq"]: r["uniqueid"] for r in FB.feedback_match(FX.history(spark, tables, posts), posts).collect()}
+    assert got == {s: u for s, u in want.items() if name == "stream_feedback" or 0 <= s and s % 45 < 30}
