@@ -122,7 +122,7 @@ def test_feedback_match_reads_held_posts_in_place(spark, tables):
     assert "eligible-" not in "".join(FB.store_eligible(posts, held=True).inputFiles())
 
 
-@pytest.mark.parametrize("name", ["stream_feedback"])
+@pytest.mark.parametrize("name", ["stream_feedback", "stream_feedback_window"])
 def test_stream_feedback_stages_without_a_persisted_copy(spark, tables, monkeypatch, name):
     kept, kind = [], type(spark.range(1))
     real = kind.persist
