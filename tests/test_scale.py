@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from wren.operators import containment as C
 from wren.operators import feedback as FB
+from wren.operators import requests as RQ
 from wren.session import shuffles_dropped, stored
 from wren.sources import fixtures as FX
 
@@ -77,6 +78,33 @@ def test_posts_beside_a_large_customer_table_shuffle_their_texts_once(spark, tab
     assert _rows(large) == _rows(small) and large.count() > 88
 
 
+def test_texts_are_read_again_for_the_missed_rows_alone(spark, tables, nothing_is_sent):
+    """The requests that are read again are picked before they meet their texts."""
+    r = FX.requests(spark, tables)
+    ids = r.select(F.col("request_id").alias("_row")).filter("_row % 3 = 0").distinct()
+    again = FX.requests_of(spark, tables, ids)
+    assert _rows(again) == _rows(r.join(ids, r["request_id"] == ids["_row"], "left_semi"))
+    assert exchanges(again) <= exchanges(r)
+    q = entry.queries()
+    found = {n: _rows(q[n](spark, tables)) for n in ("reuse_scored", "store_scored")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    assert found == {n: _rows(q[n](spark, f"{tables}/.")) for n in found}
+
+
+def test_reuse_scored_asks_for_missed_rows(spark):
+    rows = [("a", "x", 1), ("a", "x", 4), ("b", "y", 2), ("c", "z", 3)]
+    keys = spark.createDataFrame(rows, "key string, text string, n long")
+    scored = spark.createDataFrame([("a", "old", datetime(2024, 1, 30, 23, 30))], "key string, result string, scored_at timestamp")
+    asked = []
+
+    def rows_of(ids):
+        asked.extend(r[0] for r in ids.collect())
+        return keys.join(ids, keys["n"] == ids[0], "left_semi")
+
+    run = lambda *more: _rows(RQ.reuse_scored(keys, scored, F.lit("2024-01-31").cast("timestamp"), 3600, F.upper, "n", *more))
+    assert run(rows_of) == run() and sorted(asked) == [2, 3]
+
+
 def test_shuffle_files_go_when_a_step_ends(spark):
     df = spark.range(0, 5000, 1, 4).withColumn("v", F.xxhash64("id")).repartition(3, "v")
     before, setting = shuffle_files(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"

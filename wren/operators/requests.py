@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -60,7 +61,8 @@ def result_key(kind: Column, text: Column, iterations: Column, variations: Colum
 
 
 # C6
-def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int, score_fn, row: str | None = None) -> DataFrame:
+def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int, score_fn, row: str | None = None,
+                 rows_of: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Serve fresh cached results, compute the misses once per distinct key.
 
     ``keys(key, text)``; ``scored(key, result, scored_at)``.  Returns one row per
@@ -70,7 +72,9 @@ def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int,
 
     With ``row``, a column that numbers the rows of ``keys``, keys should be digests
     themselves: one row of each key stands for it, and only the rows of the keys
-    that were not found are read again with their texts, which no shuffle carries.
+    that were not found are read again with their texts.  ``rows_of`` reads them: it gets
+    their numbers (one column) and returns those rows of ``keys``.  Without it they are
+    picked from ``keys``, whose texts are shuffled for that if Spark can't pick them earlier.
     """
     digest = F.md5("key")
     fresh = scored.filter(F.col("scored_at") > as_of - F.make_dt_interval(secs=F.lit(ttl_s)))
@@ -82,8 +86,9 @@ def reuse_scored(keys: DataFrame, scored: DataFrame, as_of: Column, ttl_s: int,
         joined = first.withColumn("_id", digest).join(fresh, "_id", "left").withColumn("hit", F.coalesce("_hit", F.lit(False)))
         joined = stored(joined.select("key", "_row", "hit", F.col("_found").alias("result")), "reused")
         missed = joined.filter(~F.col("hit"))
-        again = keys.join(missed.select("_row").distinct(), F.col(row).eqNullSafe(F.col("_row")), "left_semi").select(
-            "key", F.xxhash64("text").alias("_h"), score_fn(F.col("text")).alias("result"))
+        numbers = missed.select("_row").distinct()
+        again = rows_of(numbers) if rows_of else keys.join(numbers, F.col(row).eqNullSafe(F.col("_row")), "left_semi")
+        again = again.select("key", F.xxhash64("text").alias("_h"), score_fn(F.col("text")).alias("result"))
         again = top_n_per_group(again.join(missed.select(F.col("key").alias("_key")), F.col("key").eqNullSafe(F.col("_key")), "left_semi"),
                                 ["key"], [F.asc("_h")], 1)
         return joined.filter("hit").select("key", "hit", "result").unionByName(again.select("key", F.lit(False).alias("hit"), "result"))

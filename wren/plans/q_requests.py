@@ -33,13 +33,16 @@ def q_valid_requests(spark, sf):
     return RQ.validate_requests(req(spark, sf))
 
 
-def _keys(spark, sf):
-    r = req(spark, sf)
+def _keyed(r):
     kind = RQ.endpoint_kind(F.col("endpoint"))
     key = RQ.result_key(kind, F.col("text"), F.coalesce("iterations", F.lit(1)), F.coalesce("variations", F.lit(5)))
     return r.select("request_id", key.alias("key"), "text")
 
 
+def _keys(spark, sf):
+    return _keyed(req(spark, sf))
+
+
 def _scored_table(keys):
     """Cache table fixture: half of the distinct keys (by their first request
     id), scored ``first_id % 7200`` seconds before ``as_of``."""
@@ -64,20 +67,25 @@ LEFT JOIN (SELECT key, arg_max(result, scored_at) AS result FROM scored
            WHERE scored_at > timestamp '2024-01-31 00:00:00' - INTERVAL 3600 SECOND GROUP BY key) f ON k.key = f.key"""
 
 
-def _served(keys, scored):
+def _served(spark, sf, keys, scored):
     return RQ.reuse_scored(keys, scored, FX.as_of_lit(), RQ.PREDICT_TTL_S,
-                           lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"), "request_id")
+                           lambda t: F.round(E.confidence(F.length(t) / F.lit(1.0)), 6).cast("string"), "request_id",
+                           lambda ids: _digested(_keyed(FX.requests_of(spark, sf, ids))))
 
 
-def _digests(spark, sf):
+def _digested(keys):
     """Requests under the digests of their keys, which hold whole texts."""
-    return _keys(spark, sf).withColumn("key", F.md5("key"))
+    return keys.withColumn("key", F.md5("key"))
+
+
+def _digests(spark, sf):
+    return _digested(_keys(spark, sf))
 
 
 @register("reuse_scored", "C6 S22 S16", V(_SERVED_SQL, "requests", extra=(_SCORED_CTE,)))
 def q_reuse_scored(spark, sf):
     keys = _digests(spark, sf)
-    return _served(keys, _scored_table(keys)).select(F.col("key").alias("key_md5"), "hit", "result")
+    return _served(spark, sf, keys, _scored_table(keys)).select(F.col("key").alias("key_md5"), "hit", "result")
 
 
 @register("store_scored", "C6", V(f"""
@@ -88,7 +96,7 @@ def q_store_scored(spark, sf):
     """The result cache after the run."""
     keys = _digests(spark, sf)
     scored = _scored_table(keys)
-    return RQ.store_scored(scored, _served(keys, scored), FX.as_of_lit()).select(
+    return RQ.store_scored(scored, _served(spark, sf, keys, scored), FX.as_of_lit()).select(
         F.col("key").alias("key_md5"), "result", "scored_at")
 
 
