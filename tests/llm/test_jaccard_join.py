@@ -141,3 +141,27 @@ def test_sets_known_only_without_id_link(spark):
     docs = spark.createDataFrame([(1, a), (None, b), (2, c), (4, "other words here")], "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in J.similarity_groups(docs).collect()}
     assert got == {1: 1, None: 1, 2: 1, 4: 4}
+
+
+def test_steps_leave_no_shuffle_files_behind(spark, monkeypatch):
+    """What the steps before the last one shuffled is gone when the last one begins."""
+    from contextlib import nullcontext
+
+    from wren.llm import graph, jaccard_join
+
+    def files():
+        blocks = spark._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()
+        return {str(blocks.apply(i)) for i in range(blocks.size()) if str(blocks.apply(i)).startswith("shuffle_")}
+
+    rows = [(i, " ".join(f"w{(i // 3) * 50 + j}" for j in range(40)) + " end" * (i % 3)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def left():
+        before = files()
+        jaccard_join.one_of_each_group(docs)  # all steps but the last
+        return len(files() - before)
+
+    dropped = left()
+    for module in (graph, jaccard_join):
+        monkeypatch.setattr(module, "shuffles_dropped", lambda spark: nullcontext())
+    assert dropped < left()

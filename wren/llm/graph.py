@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wren.session import ensure_checkpoint_dir
+from wren.session import ensure_checkpoint_dir, shuffles_dropped
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     result is written to the checkpoint folder.
     """
     ensure_checkpoint_dir(edges.sparkSession)
-    now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint(eager=True)
+    with shuffles_dropped(edges.sparkSession):
+        now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct().checkpoint(eager=True)
     state = None
     while True:
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row["n"], row["h"]) == state or not row["n"]:
             break
         state = row["n"], row["h"]
-        now = _round(now).checkpoint(eager=True)
+        with shuffles_dropped(edges.sparkSession):
+            now = _round(now).checkpoint(eager=True)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

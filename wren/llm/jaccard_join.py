@@ -38,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wren.session import shuffles_dropped
+
 from .frames import fresh, map_text
 from .graph import components
 
@@ -399,7 +401,8 @@ def grouped_sets(read: DataFrame, size: int, num: int, den: int) -> DataFrame:
     frequent = frequent_shingles(read, size)
     signed = sign_documents(read, size, num, den, frequent)
     rows = signed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(scan_runs, ROWS)
-    rows = rows.checkpoint(eager=True)  # documents and meetings; signatures are gone
+    with shuffles_dropped(read.sparkSession):
+        rows = rows.checkpoint(eager=True)  # documents and meetings; signatures are gone
     found = rows.where(F.col("tag") >= 0).select(F.col("other").alias("id"), F.col("tag").alias("n"), "node")
     meetings = rows.where(F.col("tag") == MEETING).select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
     families = components(meetings)
@@ -446,7 +449,8 @@ def one_of_each_group(docs: DataFrame, size: int = 5, num: int = 80, den: int =
     of rows that repeat both one stays.  Documents without words link with nothing and all stay, as do rows without id.
     """
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    rows = grouped_sets(read, size, num, den).checkpoint(eager=True)  # numbers only
+    with shuffles_dropped(docs.sparkSession):
+        rows = grouped_sets(read, size, num, den).checkpoint(eager=True)  # numbers only
     chosen = rows.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("id", "node")).alias("k")).select("k.id", "k.node")
     twice = rows.groupBy("id").count().where("count > 1").select("id")
     gone = rows.where("root IS NOT NULL").join(chosen, ["id", "node"], "left_anti").select("id").unionByName(twice).distinct()
