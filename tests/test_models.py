@@ -121,3 +121,30 @@ def test_classification_report_zero_division(spark):
     assert rows["0"]["precision"] == 0.0 and rows["0"]["recall"] == 0.0 and rows["0"]["support"] == 1
     assert rows["1"]["precision"] == pytest.approx(0.666667) and rows["1"]["recall"] == 1.0
     assert rows["accuracy"]["precision"] == pytest.approx(0.666667)
+
+
+def test_training_takes_every_post_and_episodes_grow_with_the_table(spark, monkeypatch):
+    from wren.operators import selection as S
+    from wren.plans import q_models as Q
+
+    p = spark.createDataFrame([(f"p{k}", f"text {k}" + "!" * (k % 4)) for k in range(2040)], "uniqueid string, text string")
+    fitted, taken, rounds = [], [], Q.optimize_appended
+
+    class Fitted:
+        lexicon, topic_words = Q.LX.lexicon_table(spark), Q.LX.topic_words_table(spark)
+
+        @staticmethod
+        def predict(df):
+            return df.withColumn("predicted_engagement", F.col("text_length") * 1.0)
+
+    monkeypatch.setattr(Q, "_trained", lambda spark, sf, max_iter=100: fitted.append(max_iter) or (p, Fitted()))
+    monkeypatch.setattr(Q, "optimize_appended", lambda seeds, *a, **k: taken.append(seeds.count()) or rounds(seeds, *a, **k))
+    got = Q.q_simulate_training(spark, "").collect()
+    assert fitted == [100] and taken == [2040]
+    assert sorted(r["episode"] for r in got) == list(range(1, 101)) and {r["n"] for r in got} == {102}
+    # what is left out by the bound before the shuffle changes no draw
+    cut = sorted(S.episode_sample(p, "uniqueid", 7, 102).select("episode", "uniqueid").collect())
+    monkeypatch.setattr(S, "_digest_bound", lambda rows, n: None)
+    assert cut == sorted(S.episode_sample(p, "uniqueid", 7, 102).select("episode", "uniqueid").collect())
+    monkeypatch.setattr(S, "_digest_bound", lambda rows, n: "01")  # too few below it
+    assert cut == sorted(S.episode_sample(p, "uniqueid", 7, 102).select("episode", "uniqueid").collect())

@@ -82,16 +82,18 @@ def optimization_records(history: DataFrame, key: str = "uniqueid") -> DataFrame
     return g.withColumn("improvement", F.when(o > 0, (n / o - 1) * 100).otherwise(F.lit(0.0)))
 
 
-def simulate_training(posts: DataFrame, scorer: Scorer, episodes: int, batch_size: int,
-                      n_iterations: int = 3, n_variations: int = 5, key: str = "uniqueid") -> DataFrame:
-    """Episodes of sampled posts optimized once, reward = improvement.
+def simulate_training(posts: DataFrame, scorer: Scorer | None, episodes: int, batch_size: int,
+                      n_iterations: int = 3, n_variations: int = 5, key: str = "uniqueid",
+                      rounds: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Episodes of sampled posts, reward = improvement.
 
-    All episodes' samples are optimized in the same rounds (a post drawn in
-    two episodes is optimized once: the candidates are deterministic)."""
+    Every post is optimized, once and in the same rounds as all others: the candidates
+    are deterministic, so a post drawn in several episodes has one improvement.  Episodes
+    draw keys only.  ``rounds`` makes the history of the seeds instead of ``optimize_posts``."""
     from .selection import episode_sample
-    sample = episode_sample(posts.select(key, "text"), key, episodes, batch_size)
-    seeds = sample.select(key, "text").distinct()
-    hist = optimize_posts(seeds, scorer, n_iterations, n_variations, key=key)
+    sample = episode_sample(posts.select(key), key, episodes, batch_size)
+    seeds = posts.select(key, "text").distinct()
+    hist = rounds(seeds) if rounds else optimize_posts(seeds, scorer, n_iterations, n_variations, key=key)
     rec = optimization_records(hist, key).select(
         key, F.when(F.col("original_engagement") != 0,
                     (F.col("optimized_engagement") - F.col("original_engagement"))

@@ -191,16 +191,17 @@ def q_optimize_posts(spark, sf):
                                                  F.md5("optimized_text").alias("optimized_md5"))
 
 
-@register("simulate_training", "")  # a sketch of M12, which covers nothing
-def q_simulate_training(spark, sf):
-    p, em = _trained(spark, sf, max_iter=20)
+#: The reference's episodes, and the share of its table that each draws: 50 of 1,000 posts.
+EPISODES, DRAWN, OF = 100, 50, 1000
 
-    def scorer(df):
-        keyed = df.withColumn("_k", F.concat_ws(":", *[F.col(c).cast("string") for c in df.columns if c != "text"]))
-        s = em.score(keyed.select("_k", "text"), key="_k").select("_k", F.col("predicted_engagement").alias("score"))
-        return keyed.join(s, "_k").drop("_k")
 
-    rows = OPT.simulate_training(p, scorer, episodes=5, batch_size=20)
+@register("simulate_training", "M12")
+def q_simulate_training(spark, sf):
+    """Every post is optimized; an episode draws as large a share of the table as the reference's."""
+    p, em = _trained(spark, sf)
+    batch_size = max(DRAWN, -(-p.count() * DRAWN // OF))
+    rows = OPT.simulate_training(p, None, EPISODES, batch_size, rounds=lambda seeds: optimize_appended(
+        seeds, em.predict, em.lexicon, em.topic_words, n_iterations=3, n_variations=5))
     return episode_summary(rows)
 
 
