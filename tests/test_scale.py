@@ -140,6 +140,13 @@ def test_few_grams_of_a_text_are_shuffled(spark, monkeypatch):
     got = C.first_containing(q, d)
     assert {r["needle"]: r["uniqueid"] for r in got.collect()} == want
     assert exchanges(got, "_text") == 0
+    windows, joined = [], C._joined_windows
+    monkeypatch.setattr(C, "_joined_windows", lambda *a: windows.append(joined(*a)) or windows[-1])
+    monkeypatch.setattr(C, "_text_windows", lambda texts, known, names, real=C._text_windows: windows.append(real(texts, known, names)) or windows[-1])
+    for sent in (0, 200_000):  # what is compared is little more than what is equal
+        monkeypatch.setattr(C, "MAX_BROADCAST", sent)
+        assert {r["needle"]: r["uniqueid"] for r in C.first_containing(q, d).collect()} == want
+    assert all(w.distinct().count() <= 1.1 * sum(n in t for n in want for _, t in docs) for w in windows) and len(windows) == 2
     assert made[0].count() * 20 < grams(d.toDF("_doc", "_text"), [0, 1, 2, 6]).count()
 
 
